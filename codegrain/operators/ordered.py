@@ -46,6 +46,24 @@ def running_sum(
     return joined.drop("__cell", *[f"__b_{n}" for n in values])
 
 
+def salted_join(big: DataFrame, dim: DataFrame, key: str, weight: str, how: str = "inner", most: int = 1000) -> DataFrame:
+    """``big`` joined with ``dim`` (one row per ``key``), keys that are frequent in ``big`` spread out.
+
+    ``weight`` is the column of ``dim`` with the key's number of rows in ``big``.  Keys with more than
+    1/``most`` of all rows are at most ``most``: only these are broadcast, as numbers of salts; ``dim``
+    is repeated per salt and ``big`` spread over the salts.  The weight column is dropped.
+    """
+    total = dim.agg(F.sum(weight)).first()[0] or 0
+    unit = max(total // most, 1)
+    parts = F.ceil(F.col(weight) / F.lit(unit)).cast("int")
+    hot = dim.where(F.col(weight) > unit).select(F.col(key).alias("__k"), parts.alias("__parts"))
+    spread = big.join(F.broadcast(hot), big[key] == F.col("__k"), "left").drop("__k")
+    spread = spread.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copies = F.when(F.col(weight) > unit, parts).otherwise(1)
+    each = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
+    return spread.join(each, [key, "__salt"], how).drop("__salt")
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
