@@ -38,6 +38,117 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _overlaps(spark, d).pairs
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).groupBy("file_id").agg(F.count("*").alias("n")).where("n > 1").select("file_id")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.chunking import split_items
+
+    out = split_items(table(spark, d, "token_streams"), "file_id", "offsets", "seq_len", "overlap", "block_starts", "built_at")
+    return out.withColumnRenamed("id", "file_id")
+
+
+def _families(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.splits import families
+
+    return families(_files(spark, d), table(spark, d, "repos"), "file_id", "path", "ingested_at", "split", "lang")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.splits import torn
+
+    return torn(_families(spark, d), "split").select(F.col("doc").alias("file_id"))
+
+
+def _canonical_lang(spark: SparkSession, d: str) -> DataFrame:
+    """``alias, lang`` of the fixed language table."""
+    dim = table(spark, d, "lang_dim")
+    names = F.array_union(F.array("lang"), F.coalesce("aliases", F.array().cast("array<string>")))
+    return dim.select(F.explode(F.transform(names, F.lower)).alias("alias"), "lang").dropDuplicates(["alias"])
+
+
+def p3_split(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.splits import assign
+
+    fams = _families(spark, d).withColumn("alias", F.lower(F.trim("lang"))).drop("lang")
+    fams = fams.join(F.broadcast(_canonical_lang(spark, d)), "alias", "left").select("doc", "family", F.coalesce("lang", "alias").alias("lang"))
+    out = assign(fams, "lang")
+    return out.select(F.col("doc").alias("file_id"), "family", F.col("label").alias("lang"), "split")
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    return p3_split(spark, d).groupBy("lang", "split").agg(F.count("*").alias("n_files"))
+
+
+def _origins(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.origin import origins
+
+    return origins(_files(spark, d), "file_id", "path", "text", "lang", "ingested_at")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).where("origin IS NOT NULL").select(F.col("doc").alias("file_id"))
+
+
+def p4_origins(spark: SparkSession, d: str) -> DataFrame:
+    return _origins(spark, d).withColumnRenamed("doc", "file_id").select("file_id", "origin", "family", "family_files", "family_projects")
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.crosssplit import report
+
+    one = _files(spark, d).groupBy(F.col("file_id").alias("doc")).agg(F.max_by(F.struct("path", "lang"), F.struct("ingested_at", F.xxhash64("path", "lang"))).alias("x"))
+    rest = F.regexp_extract("x.path", r"(?i)(?:^|[/\\])raw[/\\]+[^/\\]+[/\\]+(.+)$", 1)
+    parts = F.split(rest, r"__|[/\\]")
+    repo = F.when(F.size(parts) > 2, F.lower(F.concat_ws("__", F.slice(parts, 1, 2)))).otherwise("?")
+    return report(_overlaps(spark, d), one.select("doc", repo.alias("repo"), F.lower(F.trim("x.lang")).alias("lang")))
+
+
+def _token_counts(spark: SparkSession, d: str, *carry: str) -> DataFrame:
+    from codegrain.llm.tokens import token_counts
+
+    return token_counts(table(spark, d, "documents"), "doc_id", "text", *carry, version_col="ingested_at")
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.packing import pack
+
+    out = pack(_token_counts(spark, d), "doc", "n_tokens", (512, 1024, 2048))
+    return out.withColumnRenamed("doc", "doc_id")
+
+
+def _mixture(spark: SparkSession, d: str):
+    from codegrain.llm.mixing import mix
+
+    return mix(_token_counts(spark, d, "source"), table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).docs.withColumnRenamed("doc", "doc_id")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).shares
+
+
+def p7_order(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d).order.withColumnRenamed("doc", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.confusables import look_alikes, normalized
+
+    return look_alikes(normalized(table(spark, d, "documents"), "doc_id", "text", "ingested_at", keep_text=False))
+
+
+def p8_forms(spark: SparkSession, d: str) -> DataFrame:
+    from codegrain.llm.confusables import normalized
+
+    out = normalized(table(spark, d, "documents"), "doc_id", "text", "ingested_at")
+    return out.select(F.col("doc").alias("doc_id"), "form", "changed", "has_visible")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
