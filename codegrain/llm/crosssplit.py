@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.llm.neardup import expand_pairs
-from codegrain.llm.similarity import fits, prefixes, representatives, survey, verify
+from codegrain.llm.similarity import meetings, postings, prefixes, representatives, survey, verify
 from codegrain.operators.durable import durable
 
 EVAL = ("val", "test")
@@ -45,16 +45,9 @@ def cross_split(
     of_class = texts.groupBy("fp").agg(F.min("doc").alias("rep"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
     texts = durable(texts.drop("rep").join(of_class, "fp"), "crosssplit-texts")
     docs = representatives(prefixes(df, id_col, text_col, sketch, k, num, den, least_words, adaptive=False), texts, "in_train", "in_eval")
-    post = docs.select("doc", "size", "in_train", "in_eval", F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
-    post = post.select("doc", "size", "in_train", "in_eval", "pos", F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"))
-    index = post.where("in_eval").select(F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("pos").alias("pos_a"), "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    probe = post.where("in_train").select(F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), "token", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("salt"))
-    # at the first shared shingle of a pair, what follows it bounds the overlap
-    bound = F.lit(1) + F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) - F.lit(1)
-    long_enough = bound.cast("long") * F.lit(num + den) >= (F.col("size_a") + F.col("size_b")).cast("long") * F.lit(num)
-    met = probe.join(index, ["token", "salt"]).where((F.col("a") != F.col("b")) & fits(F.col("size_a"), F.col("size_b"), num, den) & long_enough)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    candidates = durable(pairs, "crosssplit-candidates")
+    post = postings(docs, "in_train", "in_eval", positions=True)
+    met = meetings(post.where("in_train"), post.where("in_eval"), num, den, "l.doc <> r.doc")
+    candidates = durable(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "crosssplit-candidates")
     links = durable(verify(candidates, df, texts, id_col, text_col, k, num, den), "crosssplit-links")
     return CrossSplit(texts, links, expand_pairs(texts, links, "split = 'train'", "split <> 'train'"))
 

@@ -1,8 +1,8 @@
 """Problem 1: near-duplicate texts by adaptive multi-match prefixes.
 
 Each text's prefix is lengthened by estimated candidate cost; a pair becomes a candidate only if it
-shares as many prefix shingles as the shorter of both lengthenings asks for, and is then verified on
-the full shingle sets.  The join is exact: no link of the threshold or more is lost.
+shares as many prefix shingles as the lengthening (and the sizes of both) ask for, and is then verified
+on the full shingle sets.  The join is exact: no link of the threshold or more is lost.
 
 Defined results: null texts and texts under the least number of words belong to no link; rows of one id
 count once (the latest delivered); equal texts are one class; empty tables give empty results; columns
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.llm.similarity import fits, prefixes, representatives, survey, verify
+from codegrain.llm.similarity import meetings, postings, prefixes, representatives, survey, verify
 from codegrain.operators.durable import durable
 from codegrain.operators.graph import connected_components
 
@@ -36,14 +36,8 @@ def near_duplicates(
     texts, sketch = survey(df, id_col, text_col, version_col, k, "neardup")
     texts = texts.where(F.col("n_words") >= least_words)
     docs = representatives(prefixes(df, id_col, text_col, sketch, k, num, den, least_words, adaptive=True), texts)
-    post = docs.select("doc", "size", "level", F.explode(F.arrays_zip("tokens", "parts")).alias("t"))
-    post = post.select("doc", "size", "level", F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"))
-    # frequent shingles are salted: the left side is spread, the right side repeated
-    left = post.select(F.col("doc").alias("a"), F.col("size").alias("size_a"), F.col("level").alias("level_a"), "token", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("salt"))
-    right = post.select(F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("level").alias("level_b"), "token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    met = left.join(right, ["token", "salt"]).where((F.col("a") < F.col("b")) & fits(F.col("size_a"), F.col("size_b"), num, den))
-    found = met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(F.least("level_a", "level_b")).alias("least_shared"))
-    candidates = durable(found.where("shared >= least_shared").select("a", "b"), "neardup-candidates")
+    post = postings(docs)
+    candidates = durable(meetings(post, post, num, den, "l.doc < r.doc"), "neardup-candidates")
     links = durable(verify(candidates, df, texts, id_col, text_col, k, num, den), "neardup-links")
     return NearDuplicates(texts, links)
 

@@ -14,13 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import HASH_BITS, shingle_sets
 from codegrain.operators.durable import durable
 
-SKETCH_BITS = 22  # 4 Mi counters: 16 MiB on the driver and in each executor, at any input size
+SKETCH_BITS = 21  # 2 Mi counters: 8 MiB on the driver and in each executor, at any input size
 SEGMENT_BITS = 14
 HOT = 4_000  # postings of one shingle that may meet in one task; more are salted
 LEVELS = 6  # most extra shared prefix shingles that the adaptive scheme asks for
@@ -112,7 +112,7 @@ def prefixes(
 
     With ``adaptive`` the prefix is lengthened by ``level - 1`` shingles where the estimated cost of
     scanning its postings and verifying what they bring is least; two similar texts then share at least
-    ``min(level, level)`` shingles of their prefixes.  ``parts`` is the number of salts of each shingle.
+    ``min(level, level)`` shingles of their prefixes.  ``parts`` is the number of blocks of each shingle's postings.
     Texts of fewer than ``least_words`` words, or without a shingle, give no row.
     """
     spark = df.sparkSession
@@ -173,9 +173,42 @@ def representatives(pre: DataFrame, texts: DataFrame, *carry: str) -> DataFrame:
     return joined.groupBy("doc").agg(F.first(F.struct(*cols)).alias("x")).select("doc", *[f"x.{c}" for c in cols])
 
 
-def fits(a: Column, b: Column, num: int, den: int) -> Column:
-    """Length filter: sets of these sizes can reach the threshold."""
-    return F.least(a, b).cast("long") * F.lit(den) >= F.greatest(a, b).cast("long") * F.lit(num)
+def postings(docs: DataFrame, *carry: str, positions: bool = False) -> DataFrame:
+    """``doc, info, token, meet`` (and ``pos``): one row per prefix shingle and meeting place.
+
+    ``info`` packs size, level, whether all postings met here may pair, and the block.  A frequent
+    shingle's postings are cut into blocks; each block meets every other in a place of its own, so no task
+    gets them all.
+    """
+    flat = docs.select("doc", "size", "level", *carry, F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
+    flat = flat.select("doc", "size", "level", *carry, *(["pos"] if positions else []), F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"))
+    flat = flat.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    flat = flat.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
+    info = F.expr("(CAST(size AS BIGINT) * 16 + level) * 2097152 + IF(parts = 1 OR meet DIV parts = meet % parts, 1048576, 0) + block")
+    return flat.select("doc", info.alias("info"), *carry, *(["pos"] if positions else []), "token", "meet")
+
+
+def meetings(left: DataFrame, right: DataFrame, num: int, den: int, order: str) -> DataFrame:
+    """Pairs ``(a, b)`` of documents that pass the prefix, length and (with positions) position filters.
+
+    Shingles that both have but that were not seen to be shared lie behind the prefix of the one whose
+    prefix ends first, and behind the last shared one in both documents; so the overlap is bounded by the
+    shared ones and what lies there.  Pairs whose bound is under the overlap they need are dropped.
+    """
+    positions = "pos" in left.columns
+    size = lambda x: F.shiftright(F.col(f"{x}.info"), 25)
+    level = lambda x: F.shiftright(F.col(f"{x}.info"), 21).bitwiseAND(15)
+    rest = lambda x: F.greatest(F.ceil(size(x) * num / F.lit(den)) - level(x), F.lit(0))
+    met = left.alias("l").join(right.alias("r"), F.expr(f"l.token = r.token AND l.meet = r.meet AND {order} AND ((l.info & 1048576) <> 0 OR (l.info & 1048575) <> (r.info & 1048575))"))
+    met = met.where(F.least(size("l"), size("r")) * F.lit(den) >= F.greatest(size("l"), size("r")) * F.lit(num))
+    counts = [F.count("*").alias("shared"), F.first(size("l")).alias("size_a"), F.first(size("r")).alias("size_b"), F.first(F.greatest(rest("l"), rest("r"))).alias("rest")]
+    if positions:
+        counts += [F.max("l.pos").alias("pos_a"), F.max("r.pos").alias("pos_b")]
+    pairs = met.groupBy(F.col("l.doc").alias("a"), F.col("r.doc").alias("b")).agg(*counts)
+    behind = F.col("rest").cast("long")
+    if positions:
+        behind = F.least(behind, F.col("size_a") - F.col("pos_a") - F.lit(1), F.col("size_b") - F.col("pos_b") - F.lit(1))
+    return pairs.where((F.col("shared") + behind) * F.lit(num + den) >= (F.col("size_a") + F.col("size_b")) * F.lit(num)).select("a", "b")
 
 
 def docs_bitmap(ids: DataFrame, bits: int = 24) -> bytes:
