@@ -71,9 +71,19 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
     plan = spark.createDataFrame(rows, "source string, stock long, passes long, rest long, demand double, slope double")
     before = running_sum(used, ["source"], "h", ["doc"], {"before": "n_tokens"})
     placed = before.join(F.broadcast(plan), "source")
-    # the last, partial pass takes a document if at least half of it lies before the cut
-    partial = (F.col("before") * 2 + F.col("n_tokens") <= F.col("rest") * 2).cast("int")
-    placed = durable(placed.withColumn("times", (F.col("passes") + partial).cast("int")), "mix-placed")
+    # the last, partial pass takes the documents that lie whole before the cut, and then the one document
+    # that comes nearest to what is still missing
+    partial = F.col("before") + F.col("n_tokens") <= F.col("rest")
+    placed = durable(placed.withColumn("inside", partial), "mix-placed")
+    got = placed.groupBy("source").agg(F.first("rest").alias("rest"), F.sum(F.when(F.col("inside"), F.col("n_tokens")).otherwise(0)).alias("got")).collect()
+    gap = spark.createDataFrame([(r["source"], r["rest"] - r["got"]) for r in got], "source string, gap long")
+    off = F.abs(F.col("n_tokens") - F.col("gap"))
+    near = placed.where("NOT inside").join(F.broadcast(gap), "source").where(off < F.col("gap"))
+    near = {r["source"]: r["doc"] for r in near.groupBy("source").agg(F.min_by("doc", F.struct(off, "h", "doc")).alias("doc")).collect()}
+    last = spark.createDataFrame(list(near.items()), f"source string, last {kind}")
+    placed = placed.join(F.broadcast(last), "source", "left")
+    more = (F.col("inside") | (F.col("last").isNotNull() & (F.col("last") == F.col("doc")))).cast("int")
+    placed = durable(placed.withColumn("times", (F.col("passes") + F.coalesce(more, F.lit(0))).cast("int")), "mix-taken")
     times = placed.select("doc", "source", "n_tokens", "times")
     nothing = base.where(~(F.coalesce(F.col("source").isin(list(want)), F.lit(False)) & (F.col("n_tokens") > 0)))
     every = times.union(nothing.select("doc", "source", "n_tokens", F.lit(0).alias("times")))
@@ -92,5 +102,5 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
     x = F.least(F.lit(1.0), (F.col("pass_ix") * F.col("stock") + F.col("before") + F.col("n_tokens") / 2) / F.greatest("demand", F.lit(1.0)))
     a = F.col("slope")
     inverse = F.when(F.abs(a) < 1e-12, x).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * x)) / (2 * a))
-    order = turns.select(inverse.alias("position"), F.col("doc").cast(kind).alias("doc"), F.col("pass_ix").cast("int").alias("pass_ix"), "source", "n_tokens")
+    order = turns.select(F.least(inverse, F.lit(1.0)).alias("position"), F.col("doc").cast(kind).alias("doc"), F.col("pass_ix").cast("int").alias("pass_ix"), "source", "n_tokens")
     return Mixture(every, shares, order.repartitionByRange("position", "doc").sortWithinPartitions("position", "doc", "pass_ix"))
