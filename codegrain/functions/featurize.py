@@ -52,6 +52,7 @@ class Tokens:
         before = np.concatenate(([0], np.cumsum(lead)))
         self.b = np.where(raw[lead] > 127, 95, raw[lead]).astype(np.uint8)
         self.bounds = before[offsets]  # of the texts, in characters
+        self.wide = raw[lead] > 127
         b, n = self.b, len(self.b)
         kind = _KIND[b]
         same = np.zeros(n, bool)

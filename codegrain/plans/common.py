@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.functions.featurize import token_rows
-from codegrain.functions.lexing import SCAN
+from codegrain.functions.lexing import NUMERIC, SCAN
 from codegrain.tables import table
 
 
@@ -90,3 +90,13 @@ kept2 AS (SELECT *, coalesce(lead(gap_prev) OVER w, 2) AS gap_next, sum(db) OVER
 kept AS (SELECT *, sb - least(0, min(sb) OVER w) - (db > 0)::INT AS brace, sp2 - least(0, min(sp2) OVER w) - (dp > 0)::INT AS paren,
   coalesce(lead(trans_prev) OVER w, 0) AS trans_next, coalesce(lead(sym_prev) OVER w, 0) AS sym_next FROM kept2 WINDOW w AS (PARTITION BY file_id ORDER BY ix))"""
 )
+#: Raw tokens with their rule class (-1 for blanks), as SQL.
+SQL_GOLD = (
+    SQL_TOKENS
+    + r""",
+nx AS (SELECT *, lead(t) OVER w AS n1, lead(t, 2) OVER w AS n2, coalesce(sum(len) OVER (PARTITION BY file_id ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tok WINDOW w AS (PARTITION BY file_id ORDER BY ix)),
+gold AS (SELECT *, CASE WHEN gold < 0 THEN -1 WHEN kind = 3 THEN 8 ELSE 0 END AS pred FROM (SELECT *, CASE WHEN kind IN (1, 2) THEN -1 WHEN kind = 3 THEN 8 WHEN regexp_matches(t, '"""
+    + NUMERIC
+    + r"""') THEN 3 WHEN length(t) > 1 AND regexp_matches(t, '^[A-Z][A-Z0-9_]*$') THEN 7
+  WHEN n1 = '(' OR (regexp_matches(n1, '^[ \t]+$') AND n2 = '(') THEN 6 ELSE 0 END AS gold FROM nx))""".replace("\\t", "\t")
+)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexing",)
+MODULES = ("lexing", "labels", "metrics")
 
 
 def _all(name: str) -> dict:
