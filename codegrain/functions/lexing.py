@@ -89,4 +89,4 @@ def rule_class(token_kind: Column, text: Column, applied: Column) -> Column:
 def split_of(text: Column, val: int = 5, test: int = 5) -> Column:
     """Content split: the first 32 bits of the SHA-1 modulo 100."""
     bucket = F.conv(F.substring(F.sha1(text), 1, 8), 16, 10).cast("long") % 100
-    return F.when(bucket < test, "test").when(bucket < test + val, "val").otherwise("train")
+    return F.when(bucket < test, "test").when(bucket < test + val, "val").when(bucket.isNotNull(), "train")

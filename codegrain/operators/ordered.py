@@ -28,22 +28,22 @@ def running_sum(
 
     Rows are ordered within ``key`` by the hash column ``order_hash`` and then ``ties``, which must make
     the order total.  Null summands count 0; null keys form a key of their own.  Helper columns begin
-    with two underscores.
+    with ``__rs_``.
     """
     k = [F.col(c) for c in key]
-    size = df.groupBy(*k).agg(F.count("*").alias("__n"))
+    size = df.groupBy(*k).agg(F.count("*").alias("__rs_n"))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
     cond = same(df, size)
     with_n = df.join(size, cond[0] if len(cond) == 1 else _all(cond)).drop(*[size[c] for c in key])
-    cells = with_n.withColumn("__cell", hash_cell(F.col(order_hash), F.col("__n"), per_cell)).drop("__n")
-    per = cells.groupBy(*k, F.col("__cell")).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"__s_{n}") for n, v in values.items()])
-    w = Window.partitionBy(*k).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*k, "__cell", *[F.coalesce(F.sum(f"__s_{n}").over(w), F.lit(0)).alias(f"__b_{n}") for n in values])
-    inner = Window.partitionBy(*k, F.col("__cell")).orderBy(order_hash, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    joined = cells.join(per, _all([*same(cells, per), cells["__cell"] == per["__cell"]])).drop(*[per[c] for c in [*key, "__cell"]])
+    cells = with_n.withColumn("__rs_cell", hash_cell(F.col(order_hash), F.col("__rs_n"), per_cell)).drop("__rs_n")
+    per = cells.groupBy(*k, F.col("__rs_cell")).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"__rs_s_{n}") for n, v in values.items()])
+    w = Window.partitionBy(*k).orderBy("__rs_cell").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(*k, "__rs_cell", *[F.coalesce(F.sum(f"__rs_s_{n}").over(w), F.lit(0)).alias(f"__rs_b_{n}") for n in values])
+    inner = Window.partitionBy(*k, F.col("__rs_cell")).orderBy(order_hash, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    joined = cells.join(per, _all([*same(cells, per), cells["__rs_cell"] == per["__rs_cell"]])).drop(*[per[c] for c in [*key, "__rs_cell"]])
     for n, v in values.items():
-        joined = joined.withColumn(n, F.col(f"__b_{n}") + F.coalesce(F.sum(F.coalesce(F.col(v), F.lit(0))).over(inner), F.lit(0)))
-    return joined.drop("__cell", *[f"__b_{n}" for n in values])
+        joined = joined.withColumn(n, F.col(f"__rs_b_{n}") + F.coalesce(F.sum(F.coalesce(F.col(v), F.lit(0))).over(inner), F.lit(0)))
+    return joined.drop("__rs_cell", *[f"__rs_b_{n}" for n in values])
 
 
 def salted_join(big: DataFrame, dim: DataFrame, key: str, weight: str, how: str = "inner", most: int = 1000) -> DataFrame:
@@ -56,12 +56,12 @@ def salted_join(big: DataFrame, dim: DataFrame, key: str, weight: str, how: str
     total = dim.agg(F.sum(weight)).first()[0] or 0
     unit = max(total // most, 1)
     parts = F.ceil(F.col(weight) / F.lit(unit)).cast("int")
-    hot = dim.where(F.col(weight) > unit).select(F.col(key).alias("__k"), parts.alias("__parts"))
-    spread = big.join(F.broadcast(hot), big[key] == F.col("__k"), "left").drop("__k")
-    spread = spread.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    hot = dim.where(F.col(weight) > unit).select(F.col(key).alias("__sj_key"), parts.alias("__sj_parts"))
+    spread = big.join(F.broadcast(hot), big[key] == F.col("__sj_key"), "left").drop("__sj_key")
+    spread = spread.withColumn("__sj_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("__sj_parts", F.lit(1))).cast("int")).drop("__sj_parts")
     copies = F.when(F.col(weight) > unit, parts).otherwise(1)
-    each = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
-    return spread.join(each, [key, "__salt"], how).drop("__salt")
+    each = dim.withColumn("__sj_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
+    return spread.join(each, [key, "__sj_salt"], how).drop("__sj_salt")
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexing", "labels", "metrics")
+MODULES = ("lexing", "labels", "metrics", "curation")
 
 
 def _all(name: str) -> dict:
