@@ -35,6 +35,14 @@ def segments(offsets: np.ndarray, blocks: np.ndarray, limit: int, overlap: int)
     strength: list[int] = []
     at = 0
     is_block = np.isin(offsets, blocks)
+    # the first piece has no overlap and so holds lines that no other piece could: if one of them stands
+    # before the last block end in reach, what comes before that end is one segment
+    near = np.flatnonzero(is_block & (offsets > 0) & (offsets <= limit))
+    if len(near) and np.any(np.diff(offsets[: near[-1] + 1])[1:] > limit - overlap):
+        at = int(offsets[near[-1]])
+        ends.append(at)
+        strength.append(BLOCK)
+        offsets, is_block = offsets[near[-1] :], is_block[near[-1] :]
     for end, block in zip(offsets[1:].tolist(), is_block[1:].tolist(), strict=True):
         while end - at > (room := limit - (overlap if at else 0)):
             at += room
