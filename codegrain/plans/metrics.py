@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codegrain.functions.lexing import CLASSES
+from codegrain.operators.durable import durable
 from codegrain.plans.common import SQL_FILES, SQL_GOLD, file_values, files, per_file
 from codegrain.plans.labels import SQL_LABELLED, labelled, scored
 from codegrain.tables import table
@@ -123,7 +124,7 @@ def A13_health(s: S, d: str) -> DataFrame:
     """Per language: files, tokens, share of the largest repository, masked share, leading classes."""
     rows = labelled(s, d, "compact_v2", ["kind"]).withColumn("repo", repo_of(F.col("path")))
     keys = ["line_no", "lang", "repo", "label"]
-    cell = per_file(rows, keys, n=F.count("*"))
+    cell = durable(per_file(rows, keys, n=F.count("*")), "health-cells")
     files_ = cell.select("lang", "line_no", "file_id").distinct().groupBy("lang").agg(F.count("*").alias("files"))
     total = cell.groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("masked"))
     repo = cell.groupBy("lang", "repo").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.max("n").alias("top_repo"))
