@@ -51,7 +51,7 @@ def test_what_paths_say(path, says):
     [
         ("// Code generated by toolx v1.2. DO NOT EDIT.", "generated"), ("# Diese Datei wurde automatisch aus a.idl erzeugt, nicht bearbeiten", "generated"), ("# Fichier produit par toolx 2.1, ne pas modifier", "generated"),
         ("// Used to be generated from a.idl, edited by hand since 2013.", "kept"), ('// "Generated by toolx, do not edit" + name', ""), ("// We dropped the vendored q library here and wrote our own.", ""),
-        ("// Vendored: upstream own/lib @ 4579c463", "vendored"), ("# bundled copy of lib 1.2.3 (origin: someone)", "vendored"), ("# bundled copy of lib 1.2.3 (origin: me)", ""),
+        ("// Vendored: upstream own/lib @ 4579c463", "vendored"), ("# bundled copy of lib 1.2.3 (origin: someone)", "vendored"), ("# bundled copy of mine 1.2.3 (origin: me)", ""),
         ("// lib v9.5.6, embedded here so that no package download is needed", "vendored"), ("// (c) 2012 the own/lib project. Free to use.", ""),
     ],
 )
