@@ -2,7 +2,8 @@
 
 A plain window gathers a whole key in one task.  Here the order column is cut into cells, each cell is
 summed first (map-side combined), cells are summed up in order, and only rows of one cell meet in a
-task.  The cell count follows the key's size, so a key that holds a third of all rows is spread out.
+task.  The number of cells follows the table's size, so a key that holds a third of all rows is spread out
+as evenly as the rest, and no join is on the key alone.
 """
 
 from __future__ import annotations
@@ -31,11 +32,9 @@ def running_sum(
     with ``__rs_``.
     """
     k = [F.col(c) for c in key]
-    size = df.groupBy(*k).agg(F.count("*").alias("__rs_n"))
     same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in key]
-    cond = same(df, size)
-    with_n = df.join(size, cond[0] if len(cond) == 1 else _all(cond)).drop(*[size[c] for c in key])
-    cells = with_n.withColumn("__rs_cell", hash_cell(F.col(order_hash), F.col("__rs_n"), per_cell)).drop("__rs_n")
+    # the cells are cut by the size of the whole table: a key's share of rows is its share of a full cell
+    cells = df.withColumn("__rs_cell", hash_cell(F.col(order_hash), F.lit(df.count()), per_cell))
     per = cells.groupBy(*k, F.col("__rs_cell")).agg(*[F.sum(F.coalesce(F.col(v), F.lit(0))).alias(f"__rs_s_{n}") for n, v in values.items()])
     w = Window.partitionBy(*k).orderBy("__rs_cell").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select(*k, "__rs_cell", *[F.coalesce(F.sum(f"__rs_s_{n}").over(w), F.lit(0)).alias(f"__rs_b_{n}") for n in values])
@@ -64,6 +63,22 @@ def salted_join(big: DataFrame, dim: DataFrame, key: str, weight: str, how: str
     return spread.join(each, [key, "__sj_salt"], how).drop("__sj_salt")
 
 
+def self_pairs(df: DataFrame, key: str, id_col: str, condition: str = "true", per_block: int = 2_000) -> DataFrame:
+    """Pairs of rows with one ``key``, as columns ``l`` and ``r`` of structs, the smaller id left.
+
+    ``condition`` is SQL over ``l`` and ``r``.  Rows of a frequent key are cut into blocks; each two blocks
+    meet in a place of their own, so a key of any size is spread over tasks.  Null keys pair with nothing.
+    """
+    n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__sp_n")).where("__sp_n > 1")
+    n = n.withColumn("__sp_parts", F.ceil(F.col("__sp_n") / F.lit(per_block)).cast("int"))
+    rows = salted_join(df, n, key, "__sp_n").withColumn("__sp_block", F.pmod(F.xxhash64(id_col), F.col("__sp_parts")).cast("int"))
+    place = F.expr("explode(transform(sequence(0, __sp_parts - 1), j -> CAST(least(__sp_block, j) AS BIGINT) * __sp_parts + greatest(__sp_block, j)))")
+    rows = rows.withColumn("__sp_meet", place).withColumn("__sp_alone", F.expr("__sp_meet DIV __sp_parts = __sp_meet % __sp_parts"))
+    l, r = rows.alias("l"), rows.alias("r")
+    met = l.join(r, F.expr(f"l.`{key}` = r.`{key}` AND l.__sp_meet = r.__sp_meet AND l.`{id_col}` < r.`{id_col}` AND (l.__sp_alone OR l.__sp_block <> r.__sp_block) AND ({condition})"))
+    return met.select(*[F.struct(*[F.col(f"{x}.{c}") for c in df.columns]).alias(x) for x in ("l", "r")])
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
