@@ -27,6 +27,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.operators.durable import durable
+from codegrain.operators.ordered import salted_join, self_pairs
+
 # Letters that Unicode's confusables draw like a Latin letter, by script.
 LOOKALIKES: dict[str, dict[str, str]] = {
     "Cyrillic": dict(zip("АВЕЅІЈКМНОРСТУХҮԚԜаеоѕіјрсухһԁԛԝӏү", "ABESIJKMHOPCTYXYQWaeosijpcyxhdqwly", strict=True)),
@@ -154,9 +157,8 @@ def look_alikes(forms: DataFrame) -> DataFrame:
 
     Only forms that several different texts share meet in the join; equal texts give no pair.
     """
-    seen = forms.where("has_visible").select("doc", "form_fp", "text_fp")
+    seen = durable(forms.where("has_visible").select("doc", "form_fp", "text_fp"), "forms")
     shared = seen.groupBy("form_fp").agg(F.min("text_fp").alias("lo"), F.max("text_fp").alias("hi")).where("lo < hi").select("form_fp")
-    some = seen.join(shared, "form_fp", "left_semi")
-    a, b = some.alias("a"), some.alias("b")
-    met = a.join(b, F.expr("a.form_fp = b.form_fp AND a.text_fp <> b.text_fp AND a.doc < b.doc"))
-    return met.select(F.col("a.doc").alias("doc_id_a"), F.col("b.doc").alias("doc_id_b"))
+    some = salted_join(seen, seen.groupBy("form_fp").agg(F.count("*").alias("n")).join(shared.select("form_fp"), "form_fp"), "form_fp", "n")
+    met = self_pairs(some, "form_fp", "doc", "l.text_fp <> r.text_fp")
+    return met.select(F.col("l.doc").alias("doc_id_a"), F.col("r.doc").alias("doc_id_b"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from codegrain.llm.neardup import expand_pairs
 from codegrain.llm.similarity import meetings, postings, prefixes, representatives, survey, verify
 from codegrain.operators.durable import durable
+from codegrain.operators.ordered import salted_join
 
 EVAL = ("val", "test")
 
@@ -42,8 +43,8 @@ def cross_split(
     texts = texts.where(F.col("n_words") >= least_words).join(sides, "doc")
     texts = texts.where(F.col("split").isin("train", *EVAL))
     # the representative of a class stands for its members of either side, whatever its own split
-    of_class = texts.groupBy("fp").agg(F.min("doc").alias("rep"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"))
-    texts = durable(texts.drop("rep").join(of_class, "fp"), "crosssplit-texts")
+    of_class = texts.groupBy("fp").agg(F.min("doc").alias("rep"), F.max(F.col("split") == "train").alias("in_train"), F.max(F.col("split") != "train").alias("in_eval"), F.count("*").alias("n"))
+    texts = durable(salted_join(texts.drop("rep"), of_class, "fp", "n"), "crosssplit-texts")
     docs = representatives(prefixes(df, id_col, text_col, sketch, k, num, den, least_words, adaptive=False), texts, "in_train", "in_eval")
     post = postings(docs, "in_train", "in_eval", positions=True)
     met = meetings(post.where("in_train"), post.where("in_eval"), num, den, "l.doc <> r.doc")

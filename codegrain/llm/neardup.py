@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from codegrain.llm.similarity import meetings, postings, prefixes, representatives, survey, verify
 from codegrain.operators.durable import durable
 from codegrain.operators.graph import connected_components
+from codegrain.operators.ordered import salted_join, self_pairs
+
+PER_BLOCK = 2_000  # members of one class that meet in one task
 
 
 @dataclass(frozen=True)
@@ -50,13 +53,21 @@ def expand_pairs(texts: DataFrame, links: DataFrame, left_where: str = "true", r
     """
     symmetric = left_where == right_where
     both = links.select("a", "b") if symmetric else links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = texts.where(left_where).select(F.col("doc").alias("x"), F.col("rep").alias("a"))
-    right = texts.where(right_where).select(F.col("doc").alias("y"), F.col("rep").alias("b"))
-    across = both.join(left, "a").join(right, "b").select("x", "y")
-    # classes of one text are most; only those of several meet in the join
-    several = texts.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rep").alias("b"))
-    within = right.join(several, "b", "left_semi")
-    within = left.join(within, F.col("a") == F.col("b")).where("x < y" if symmetric else "x <> y").select("x", "y")
+    # members of large classes are spread: a link is repeated once per block of its ends' members
+    sizes = texts.groupBy("rep").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int"))
+    ends = both.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("w")).join(sizes, "rep").select("rep", "w", "parts")
+    place = lambda n: F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(n)
+    spread = salted_join(both, ends.withColumnRenamed("rep", "a"), "a", "w").select("a", "b", place("pa"))
+    spread = salted_join(spread, ends.withColumnRenamed("rep", "b"), "b", "w").select("a", "b", "pa", place("pb"))
+    # only classes with a link, in rows that know their block
+    linked = salted_join(texts, ends.join(sizes.select("rep", "n"), "rep").select("rep", "n", "parts"), "rep", "n")
+    linked = linked.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    left = linked.where(left_where).select(F.col("doc").alias("x"), F.col("rep").alias("a"), F.col("block").alias("pa"))
+    right = linked.where(right_where).select(F.col("doc").alias("y"), F.col("rep").alias("b"), F.col("block").alias("pb"))
+    across = spread.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("x", "y")
+    either = "(l.one AND r.two) OR (l.two AND r.one)"
+    rows = texts.select("doc", "rep", F.expr(left_where).alias("one"), F.expr(right_where).alias("two"))
+    within = self_pairs(rows, "rep", "doc", either, PER_BLOCK).select(F.col("l.doc").alias("x"), F.col("r.doc").alias("y"))
     every = across.union(within)
     return every.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b")).distinct()
 
@@ -67,6 +78,6 @@ def groups(found: NearDuplicates) -> DataFrame:
     comp = connected_components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     copies = found.texts.groupBy("rep").agg(F.count("*").alias("n_copies"))
-    out = found.texts.select("doc", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.join(degree, "rep", "left").join(copies, "rep")
+    classes = copies.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").join(degree, "rep", "left")
+    out = salted_join(found.texts.select("doc", "rep"), classes.withColumn("w", F.col("n_copies")), "rep", "w")
     return out.select("doc", "rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import HASH_BITS, shingle_sets
 from codegrain.operators.durable import durable
+from codegrain.operators.ordered import salted_join
 
 SKETCH_BITS = 21  # 2 Mi counters: 8 MiB on the driver and in each executor, at any input size
 SEGMENT_BITS = 14
@@ -96,8 +97,8 @@ def survey(df: DataFrame, id_col: str, text_col: str, version_col: str | None, k
 
     docs = both.where("doc is not null").groupBy("doc").agg(F.max_by(F.struct("fp", "n_words"), F.struct("version", "fp")).alias("x"))
     docs = docs.select("doc", "x.fp", "x.n_words")
-    reps = docs.groupBy("fp").agg(F.min("doc").alias("rep"))
-    return durable(docs.join(reps, "fp").select("doc", "rep", "fp", "n_words"), f"{name}-texts"), sketch.tobytes()
+    reps = docs.groupBy("fp").agg(F.min("doc").alias("rep"), F.count("*").alias("n"))
+    return durable(salted_join(docs, reps, "fp", "n").select("doc", "rep", "fp", "n_words"), f"{name}-texts"), sketch.tobytes()
 
 
 def required(n: np.ndarray, num: int, den: int) -> np.ndarray:
