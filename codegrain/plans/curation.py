@@ -200,7 +200,7 @@ def J07_logits(s: S, d: str) -> DataFrame:
     """Windows joined with a vector by their number; rows without a partner show as missing."""
     e = table(s, d, "embeddings").groupBy("vec_id").agg(F.max("label").alias("label"))
     w = windows(s, d).withColumn("vec_id", F.col("lang_id").cast("long"))
-    return w.join(F.broadcast(e), "vec_id", "left").groupBy("vec_id").agg(F.count("*").alias("windows"), F.count("label").alias("with_vector"))
+    return w.join(e, "vec_id", "left").groupBy("vec_id").agg(F.count("*").alias("windows"), F.count("label").alias("with_vector"))
 
 
 def J08_fold_mix(s: S, d: str) -> DataFrame:

@@ -112,3 +112,30 @@ def test_batched_equals_single(spark):
                 assert alone == both[i]
                 assert all(a["end"] <= b["start"] and a["type"] != b["type"] for a, b in zip(alone, alone[1:], strict=False))
     assert md.parse(spark, "") == [] and md.parse(spark, "x = 1")
+
+
+def test_weight_files_round_trip(tmp_path):
+    from codegrain.sources import weights as wt
+
+    rng = np.random.default_rng(2)
+    tensors = {"a": rng.normal(size=(9, 70)), "b": rng.normal(size=(4, 5)), "c": rng.normal(size=33), "d": np.zeros((2, 2))}
+    tensors = {k: v.astype(np.float32) for k, v in tensors.items()}
+    wt.save_weights(tmp_path, tensors, {"a": 4, "b": 1})
+    back = wt.load_weights(tmp_path)
+    assert {k: v.shape for k, v in back.items()} == {k: v.shape for k, v in tensors.items()}
+    assert np.abs(back["a"] - tensors["a"]).max() <= np.abs(tensors["a"]).max() / 7 * 0.6
+    assert (np.sign(back["b"]) == np.where(tensors["b"] >= 0, 1, -1)).all()
+    assert np.abs(back["c"] - tensors["c"]).max() <= np.abs(tensors["c"]).max() / 250
+    assert wt.verify(tmp_path, tensors) < 3e-3
+    (tmp_path / "weights.bin").write_bytes(b"\0")
+    with pytest.raises(ValueError, match="does not fit"):
+        wt.load_weights(tmp_path)
+
+
+def test_table_function(spark):
+    from codegrain.functions.sql import register
+
+    register(spark)
+    spark.createDataFrame([("a b\r\n(",), (None,), ("",)], "t string").createOrReplaceTempView("texts")
+    rows = spark.sql("SELECT token, kind FROM texts, LATERAL tokenize(t)").collect()
+    assert [(r[0], r[1]) for r in rows] == [("a", 0), (" ", 1), ("b", 0), ("\r\n", 2), ("(", 3)]
