@@ -27,6 +27,8 @@ from codegrain.operators.ordered import running_sum, salted_join
 QUOTAS = {"train": 90, "val": 5, "test": 5}  # per cent
 MOST_LABELS = 500
 EXACT = 256  # component sizes up to this are bundled exactly, larger ones in eighths of an octave
+SINGLE = "=1"  # class of single records
+RESERVE = 0.45  # share of the single records kept for each smaller split, to close what families leave open
 BIG = 1 << 60
 
 
@@ -115,8 +117,10 @@ class Flow:
                 self.edges[e ^ 1][2] += push
 
 
-def allocate(bundles: list[tuple[str, str, int, int, int]], quotas: dict[str, int]) -> dict[tuple[str, str], dict[str, int]]:
-    """Components of each bundle per split.
+def allocate(
+    bundles: list[tuple[str, str, int, int, int]], quotas: dict[str, int], aim: dict[tuple[str, str], float] | None = None
+) -> dict[tuple[str, str], dict[str, int]]:
+    """Components of each bundle per split; ``aim`` replaces the records wanted per label and smaller split.
 
     ``bundles``: (label, class, records of a component, components, records).  A component larger than one
     and a half times what a split may hold of its label, or than the split's quota, must go to the largest
@@ -124,15 +128,18 @@ def allocate(bundles: list[tuple[str, str, int, int, int]], quotas: dict[str, in
     """
     main = max(quotas, key=lambda s: quotas[s])
     rest = [s for s in quotas if s != main]
-    whole = sum(b[4] for b in bundles)
     share = sum(quotas.values())
     per_label: dict[str, int] = defaultdict(int)
     for b in bundles:
         per_label[b[0]] += b[4]
     quota = {(lb, s): round(n * quotas[s] / share) for lb, n in per_label.items() for s in quotas}
+    if aim is not None:
+        quota |= {(lb, s): round(aim.get((lb, s), 0)) for lb in per_label for s in rest}
+        quota |= {(lb, main): max(0, n - sum(quota[lb, s] for s in rest)) for lb, n in per_label.items()}
+    wanted = {s: sum(quota[lb, s] for lb in per_label) for s in quotas}
 
     def free(b: tuple) -> bool:
-        return all(b[2] <= max(1, 1.5 * quota[b[0], s]) and b[2] <= max(1, whole * quotas[s] / share) for s in rest)
+        return all(b[2] <= max(1, 1.5 * quota[b[0], s]) and b[2] <= max(1, wanted[s]) for s in rest)
 
     flow, supply = Flow(), defaultdict(int)
     for b in bundles:
@@ -144,8 +151,8 @@ def allocate(bundles: list[tuple[str, str, int, int, int]], quotas: dict[str, in
     for (lb, s), q in sorted(quota.items()):
         flow.add(("label", lb, s), ("split", s), q, 0)
         flow.add(("label", lb, s), ("split", s), BIG, 1)
-    for s, q in quotas.items():
-        flow.add(("split", s), "sink", round(whole * q / share), 0)
+    for s in quotas:
+        flow.add(("split", s), "sink", wanted[s], 0)
         flow.add(("split", s), "sink", BIG, 4)
     flow.run("source", "sink")
     sent: dict[tuple[str, bool, str], int] = {}
@@ -185,21 +192,66 @@ def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) ->
     per = fams.groupBy("unit", F.when(F.col("label").isin(kept), F.col("label")).otherwise("(rest)").alias("label")).agg(F.count("*").alias("c"))
     units = per.groupBy("unit").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count("*").alias("labels"))
     units = durable(units, "split-units")
+    per = durable(per, "split-labels")
     total = units.agg(F.sum("n")).first()[0]
     names = list(quotas)
     if not total:
         return fams.select("doc", "family", "label", F.lit(None).cast("string").alias("split"))
     size_class = (
-        F.when(F.col("n") * 1000 > total, F.concat(F.lit("one:"), "unit"))
+        F.when(F.col("n") <= 1, F.lit(SINGLE))
+        .when(F.col("n") * 1000 > total, F.concat(F.lit("one:"), "unit"))
         .when(F.col("n") <= EXACT, F.concat(F.lit("="), F.col("n").cast("string")))
         .otherwise(F.concat(F.lit("~"), F.floor(F.log2(F.col("n").cast("double")) * 8).cast("string")))
     )
     units = units.withColumn("cls", F.concat(size_class, F.when(F.col("labels") > 1, "+").otherwise("")))
     rows = units.groupBy("main_label", "cls").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
-    plan = allocate([(r["main_label"], r["cls"], -(-r["n"] // r["k"]), r["k"], r["n"]) for r in rows], quotas)
-    spark = fams.sparkSession
+    labels = {r["label"]: r["n"] for r in per.groupBy("label").agg(F.sum("c").alias("n")).collect()}
     main = max(quotas, key=lambda s: quotas[s])
     rest = [s for s in names if s != main]
+    share = sum(quotas.values())
+    quota = {(lb, s): n * quotas[s] / share for lb, n in labels.items() for s in rest}
+    # single records come last and close what the families leave open in each language: a part of the quotas
+    # is kept for them, as far as there are enough
+    singles = {r["main_label"]: r["k"] for r in rows if r["cls"] == SINGLE}
+    kept = {(lb, s): min(q, RESERVE * singles.get(lb, 0)) for (lb, s), q in quota.items()}
+    bundles = [(r["main_label"], r["cls"], -(-r["n"] // r["k"]), r["k"], r["n"]) for r in rows if r["cls"] != SINGLE]
+    mixed = per.join(units.where(F.col("cls") != SINGLE).select("unit", "main_label", "cls"), "unit").groupBy("main_label", "cls", "label").agg(F.sum("c").alias("n")).collect()
+    plan = _refined(bundles, {(r["main_label"], r["cls"], r["label"]): r["n"] for r in mixed}, quotas, {k: q - kept[k] for k, q in quota.items()})
+    first = durable(_by_rank(units.where(F.col("cls") != SINGLE), plan, rest, main), "split-families")
+    have = {(r["label"], r["split"]): r["n"] for r in per.join(first, "unit").groupBy("label", "split").agg(F.sum("c").alias("n")).collect()}
+    last = {}
+    for lb, k in singles.items():
+        open_ = {s: max(0.0, quota[lb, s] - have.get((lb, s), 0)) for s in rest}
+        scale = min(1.0, k / (sum(open_.values()) or 1.0))
+        take = {s: int(x * scale + 0.5) for s, x in open_.items()}
+        take[rest[-1]] = min(take[rest[-1]], k - sum(take[s] for s in rest[:-1]))
+        last[lb, SINGLE] = take | {main: k - sum(take.values())}
+    chosen = first.union(_by_rank(units.where(F.col("cls") == SINGLE), last, rest, main))
+    return salted_join(fams, chosen, "unit", "n").select("doc", "family", "label", "split")
+
+
+def _refined(bundles: list[tuple], mixed: dict[tuple[str, str, str], int], quotas: dict[str, int], want: dict[tuple[str, str], float], rounds: int = 12) -> dict:
+    """The best of some allocations, each aiming off by what the one before is expected to miss.
+
+    ``mixed`` has the records per bundle and label: families led by one language bring others along.
+    """
+    k = {(b[0], b[1]): b[3] for b in bundles}
+    aim, best = dict(want), (float("inf"), {})
+    for _ in range(rounds):
+        plan = allocate(bundles, quotas, aim)
+        got: dict[tuple[str, str], float] = defaultdict(float)
+        for (lb, cl, label), n in mixed.items():
+            for s, take in plan[lb, cl].items():
+                got[label, s] += n * take / k[lb, cl]
+        miss = sum(abs(w - got[key]) for key, w in want.items())
+        best = min(best, (miss, plan), key=lambda x: x[0])
+        aim = {key: max(0.0, aim[key] + 0.7 * (w - got[key])) for key, w in want.items()}
+    return best[1]
+
+
+def _by_rank(units: DataFrame, plan: dict[tuple[str, str], dict[str, int]], rest: list[str], main: str) -> DataFrame:
+    """``unit, n, split``: the members of each bundle told apart by the rank of their hash."""
+    spark = units.sparkSession
     cuts = [(lb, cl, *[sum(t[s] for s in rest[: i + 1]) for i in range(len(rest))]) for (lb, cl), t in plan.items()]
     schema = "main_label string, cls string, " + ", ".join(f"cut{i} long" for i in range(len(rest)))
     ranked = running_sum(units.withColumn("h", F.xxhash64("unit")).withColumn("one", F.lit(1)), ["main_label", "cls"], "h", ["unit"], {"rank": "one"})
@@ -207,5 +259,4 @@ def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) ->
     split = F.lit(main)
     for i in reversed(range(len(rest))):
         split = F.when(F.col("rank") < F.col(f"cut{i}"), F.lit(rest[i])).otherwise(split)
-    chosen = ranked.select("unit", "n", split.alias("split"))
-    return salted_join(fams, chosen, "unit", "n").select("doc", "family", "label", "split")
+    return ranked.select("unit", "n", split.alias("split"))
