@@ -34,16 +34,17 @@ def _remove_own() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(spark: SparkSession, path: str, at_exit: bool = False) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at) if at_exit else fs.delete(at, True)
 
 
 def write_table(df: DataFrame, name: str) -> str:
     """Write ``df`` once to the shared folder and return the path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _delete(df.sparkSession, path, at_exit=True)
     return path
 
 
