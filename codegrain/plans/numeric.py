@@ -24,18 +24,16 @@ def vectors(s: S, d: str) -> DataFrame:
     return table(s, d, "embeddings").where("embedding IS NOT NULL").groupBy("vec_id").agg(F.first("embedding").alias("v"), F.max("label").alias("label"))
 
 
-def _quantized(s: S, d: str, bits: int) -> DataFrame:
-    v = vectors(s, d).withColumn("scale", codec.row_scale(F.col("v"), bits))
-    return v.withColumn("code", codec.codes(F.col("v"), F.col("scale"), bits))
+BITS = (1, 2, 3, 4)
 
 
 def _all_bits(s: S, d: str) -> DataFrame:
-    out = None
-    for bits in (1, 2, 3, 4):
-        one = _quantized(s, d, bits).withColumn("bits", F.lit(bits))
-        one = one.withColumn("back", codec.dequantize(F.col("code"), F.col("scale"), bits))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``vec_id, v, bits, scale, code, back`` from one scan."""
+    v = vectors(s, d)
+    v = v.withColumns({f"s{b}": codec.row_scale(F.col("v"), b) for b in BITS})
+    v = v.withColumns({f"c{b}": codec.codes(F.col("v"), F.col(f"s{b}"), b) for b in BITS})
+    each = [F.struct(F.lit(b).alias("bits"), F.col(f"s{b}").alias("scale"), F.col(f"c{b}").alias("code"), codec.dequantize(F.col(f"c{b}"), F.col(f"s{b}"), b).alias("back")) for b in BITS]
+    return v.select("vec_id", "v", F.explode(F.array(*each)).alias("q")).select("vec_id", "v", "q.*")
 
 
 def N01_row_scale(s: S, d: str) -> DataFrame:
@@ -59,13 +57,9 @@ def N03_codes(s: S, d: str) -> DataFrame:
 
 
 def N04_bitplanes(s: S, d: str) -> DataFrame:
-    out = None
-    for bits in (1, 2, 3, 4):
-        q = _quantized(s, d, bits)
-        for p in range(bits):
-            one = q.select("vec_id", F.lit(bits).alias("bits"), F.lit(p).alias("plane"), F.posexplode(codec.plane_words(F.col("code"), p)).alias("word", "value"))
-            out = one if out is None else out.union(one)
-    return out
+    planes = F.array(*[F.when(F.col("bits") > p, F.struct(F.lit(p).alias("plane"), codec.plane_words(F.col("code"), p).alias("words"))) for p in range(max(BITS))])
+    each = _all_bits(s, d).select("vec_id", "bits", F.explode(F.array_compact(planes)).alias("p"))
+    return each.select("vec_id", "bits", F.col("p.plane").alias("plane"), F.posexplode("p.words").alias("word", "value"))
 
 
 def _scalar_codes(s: S, d: str, how: str) -> DataFrame:
