@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import row_chunks, text_buffers
+from codegrain.operators.parallel import spread
 from codegrain.schemas import LAYOUTS
 
 WORD, SPACE, NEWLINE, SYMBOL = range(4)
@@ -275,7 +276,7 @@ def token_rows(df: DataFrame, id_col: str, text_col: str, name: str, fields: lis
                 cols += [pa.array((np.arange(len(row)) - first).astype(np.int32))] + [pa.array(f[w].astype(np.int64 if w[0] == "w" and packed else np.int32)) for w in want]
                 yield pa.RecordBatch.from_arrays(cols, names=[*rest, "tok_ix", *want])
 
-    src = df.select(F.col(id_col), *carry, F.col(text_col).alias("text"))
+    src = spread(df.select(F.col(id_col), *carry, F.col(text_col).alias("text")))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("text").schema]
     kinds += ["tok_ix int"] + [f"`{w}` {'long' if w[0] == 'w' and packed else 'int'}" for w in want]
     return src.mapInArrow(work, ", ".join(kinds))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from codegrain.functions.featurize import SPACE, SYMBOL, WORD, Tokens, features
 from codegrain.functions.lexing import NUMERIC, SCREAMING
 from codegrain.functions.shingles import row_chunks, text_buffers
+from codegrain.operators.parallel import spread
 
 _NUMERIC, _SCREAMING = re.compile(NUMERIC), re.compile(SCREAMING)
 _RUN = re.compile(r"([0-9]):([0-9]+)")
@@ -133,7 +134,7 @@ def scored_rows(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataF
                 cols = [batch.column(batch.schema.get_field_index(n)).take(take) for n in rest] + [pa.array(v.astype(np.int32)) for v in vals]
                 yield pa.RecordBatch.from_arrays(cols, names=[*rest, *names])
 
-    src = df.select(F.col(id_col), *carry, F.col(text_col).alias("text"))
+    src = spread(df.select(F.col(id_col), *carry, F.col(text_col).alias("text")))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("text").schema] + [f"{n} int" for n in names]
     return src.mapInArrow(work, ", ".join(kinds))
 
@@ -150,7 +151,7 @@ def gold_rle(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFram
                 out += [encode_rle(gold[a:b], t.length[a:b]) for a, b in zip(t.at[:-1].tolist(), t.at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in rest], pa.array(out, pa.string())], names=[*rest, "rle"])
 
-    src = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), *carry, F.col(text_col).alias("text"))
+    src = spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col), *carry, F.col(text_col).alias("text")))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.drop("text").schema]
     return src.mapInArrow(work, ", ".join([*kinds, "rle string"]))
 

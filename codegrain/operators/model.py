@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from codegrain.functions.featurize import features
 from codegrain.functions.lexing import CLASSES
 from codegrain.functions.shingles import text_buffers
+from codegrain.operators.parallel import spread
 from codegrain.schemas import LAYOUTS, N_FLAGS, WORD_HASHES
 
 
@@ -206,7 +207,7 @@ class Lexer:
                     ix = np.arange(len(row)) - np.searchsorted(row, row)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places[row])), *[pa.array(v.astype(np.int32)) for v in (ix, f["start"], f["end"], cls)]], names=[id_col, "tok_ix", "start", "end", "cls"])
 
-        src = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+        src = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")))
         return src.mapInArrow(work, f"`{id_col}` {src.schema[0].dataType.simpleString()}, tok_ix int, start int, end int, cls int")
 
     def spans(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -224,7 +225,7 @@ class Lexer:
                 kind = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=[id_col, "spans"])
 
-        src = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+        src = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")))
         return src.mapInArrow(work, f"`{id_col}` {src.schema[0].dataType.simpleString()}, spans {SPAN}")
 
 
