@@ -322,7 +322,7 @@ SQL = {
     "L40_filled_spans": _sql_spans("true", 0),
     "L41_label_checks": f"WITH {SQL_FILES}, {_RUNS}, c AS (SELECT ll.line_no, ll.path, coalesce(sum(n), 0) AS covered FROM ll LEFT JOIN r0 ON ll.line_no = r0.line_no GROUP BY ALL) SELECT CASE WHEN text IS NULL THEN 'no text' WHEN covered = length(text) THEN 'exact' WHEN covered < length(text) THEN 'short' ELSE 'long' END AS verdict, count(*) AS n, sum(covered)::BIGINT AS covered FROM c JOIN f ON c.path = f.path GROUP BY ALL",
     "L42_spans": f"WITH {SQL_GOLD}, {_ISLANDS} SELECT lang, cls, count(*) AS n_spans, sum(s)::BIGINT AS start_sum FROM spn GROUP BY ALL",
-    "L43_pieces": f"WITH {SQL_GOLD}, {_ISLANDS}, q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY file_id ORDER BY s), 0) AS b FROM spn), z AS (SELECT file_id, count(*) AS n_spans, count_if(s > b) AS gaps, max(e) AS l, sum(e - s) AS covered FROM q GROUP BY file_id) SELECT f.file_id, coalesce(n_spans, 0) AS n_spans, coalesce(gaps, 0) + (coalesce(length(text), 0) > coalesce(l, 0))::INT AS n_gaps, coalesce(covered, 0)::BIGINT AS covered FROM f LEFT JOIN z USING (file_id)",
+    "L43_pieces": f"WITH {SQL_GOLD}, {_ISLANDS}, q AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY file_id ORDER BY s), 0) AS b FROM spn), z AS (SELECT file_id, count(*) AS n_spans, count_if(s > b) AS gaps, max(e) AS l, sum(e - s) AS covered FROM q GROUP BY file_id) SELECT f.file_id, coalesce(n_spans, 0) AS n_spans, (coalesce(gaps, 0) + (coalesce(length(text), 0) > coalesce(l, 0))::INT)::BIGINT AS n_gaps, coalesce(covered, 0)::BIGINT AS covered FROM f LEFT JOIN z USING (file_id)",
     "L44_html": f"WITH {SQL_FILES}, h AS (SELECT file_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') || CASE WHEN ends_with(text, chr(10)) THEN ' ' ELSE '' END AS html FROM f) SELECT file_id, md5(html) AS digest, length(html)::INT AS n FROM h",
     "L45_codecs": "WITH e AS (SELECT vec_id, coalesce(max(label), 0) AS label FROM embeddings GROUP BY vec_id), w AS (SELECT vec_id, label, lower(lpad(hex(label & 255), 2, '0') || lpad(hex((label >> 8) & 255), 2, '0') || lpad(hex((label >> 16) & 255), 2, '0') || lpad(hex((label >> 24) & 255), 2, '0')) AS word FROM e) SELECT vec_id, word, to_base64(unhex(word)) AS b64, label::BIGINT AS back FROM w",
     "J01_align": f"WITH {SQL_LABELLED} SELECT lang, kind, coalesce(label, -100)::INT AS label, count(*) AS n FROM al GROUP BY ALL",
