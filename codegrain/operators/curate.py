@@ -85,6 +85,7 @@ def budget_cut(files: DataFrame, lang: str, order: str, size: str, budgets: dict
     """
     spark = files.sparkSession
     kind = files.schema[lang].dataType.simpleString()
+    files = durable(files, "budget-files")  # light rows, read several times below
     plan = spark.createDataFrame(list(budgets.items()), f"`{lang}` {kind}, __budget long")
     run = running_sum(order_key(files, order), [lang], "__key", [order], {"__before": size})
     return run.join(F.broadcast(plan), lang).where("__before < __budget").drop("__before", "__budget", "__key")
@@ -110,7 +111,7 @@ def build(chunks: DataFrame, lang: str, order: str, chunk: str, fingerprint: str
         kept = cap_duplicates(base.join(F.broadcast(now), lang).where(F.col(order) < F.col("__cut")).drop("__cut"), fingerprint, [order, chunk], most)
         # every file has its turn, also one of which nothing is kept
         got = kept.groupBy(lang, order).agg(F.sum(size).alias("__n"))
-        turns = base.select(lang, order).distinct().join(got, [lang, order], "left").na.fill(0, ["__n"])
+        turns = durable(base.select(lang, order).distinct().join(got, [lang, order], "left").na.fill(0, ["__n"]), "build-turns")
         run = running_sum(order_key(turns, order), [lang], "__key", [order], {"__before": "__n"})
         plan = spark.createDataFrame(list(budgets.items()), f"`{lang}` {kind}, __budget long")
         hit = run.join(F.broadcast(plan), lang).where("__before >= __budget").groupBy(lang).agg(F.min(order).alias("c")).collect()
