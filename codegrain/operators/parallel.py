@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt out over the cores if its scan has fewer partitions than there are cores.
+    """``df`` dealt out over the cores if its scan has fewer partitions, or files, than there are cores.
 
-    For work that costs far more than moving its rows (featurising, inference).  Inputs of any size beyond a
+    A file of one row group is read by one task, however many splits are planned for it.
+
+    For work that costs far more than moving its rows, such as inference.  Inputs of any size beyond a
     few splits are read in enough partitions and pass unchanged, without a shuffle.  Streams pass unchanged.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = df.rdd.getNumPartitions()
+    few = parts < cores or (parts <= 4 * cores and 0 < len(df.inputFiles()) < cores)
+    return df.repartition(cores) if few else df
