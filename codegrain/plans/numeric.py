@@ -114,10 +114,15 @@ def N21_decay(s: S, d: str) -> DataFrame:
 def N23_group_runs(s: S, d: str) -> DataFrame:
     """Run lengths of equal labels in the order of vectors."""
     v = table(s, d, "embeddings").groupBy("vec_id").agg(F.max("label").alias("label"))
-    cell = F.floor(F.col("vec_id") / 100_000)  # runs are cut at cells and joined again below
-    w = Window.partitionBy("cell").orderBy("vec_id")
-    r = v.withColumn("cell", cell).withColumn("new", F.coalesce((~F.lag("label").over(w).eqNullSafe(F.col("label"))).cast("int"), F.lit(1)))
-    runs = r.withColumn("run", F.sum("new").over(w)).groupBy("cell", "run").agg(F.min("vec_id").alias("first"), F.max("label").alias("label"), F.count("*").alias("n"))
+    # as in W08_file_groups: cells of ids, each with the last label of the cell before and the runs begun before it
+    v = v.withColumn("cell", F.floor(F.col("vec_id") / 100_000))
+    inner, cells = Window.partitionBy("cell").orderBy(F.col("vec_id").asc_nulls_last()), Window.orderBy(F.col("cell").asc_nulls_last())
+    edge = v.groupBy("cell").agg(F.max_by(F.struct("label"), "vec_id").alias("last")).select(F.col("cell").alias("at"), F.lag("last").over(cells).alias("before"))
+    r = v.join(edge, F.col("cell").eqNullSafe(F.col("at"))).drop("at").withColumn("prev", F.coalesce(F.lag(F.struct("label")).over(inner), F.col("before")))
+    r = r.withColumn("new", (F.col("prev").isNull() | ~F.col("prev.label").eqNullSafe(F.col("label"))).cast("long"))
+    base = r.groupBy("cell").agg(F.sum("new").alias("s")).select(F.col("cell").alias("at"), F.coalesce(F.sum("s").over(cells.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    r = r.join(base, F.col("cell").eqNullSafe(F.col("at"))).withColumn("run", F.col("base") + F.sum("new").over(inner))
+    runs = r.groupBy("run").agg(F.min("vec_id").alias("first"), F.max("label").alias("label"), F.count("*").alias("n"))
     return runs.select("first", "label", "n")
 
 
