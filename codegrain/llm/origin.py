@@ -1,8 +1,8 @@
 """Problem 4: generated, minified, vendored and data files among source files.
 
 Every file is masked to a stream of token kinds (identifier, number, punctuation byte); its shingles of five
-kinds that recur in the file are its frame.  Frames are clustered by MinHash banding, and every member is
-verified against its cluster's first member on the whole frames.  What a cluster says depends on where its
+kinds that recur in the file are its frame.  Files are banded by MinHash on their whole shingle sets; all pairs
+of a bucket are verified on these, and families are the components of the links.  What a cluster says depends on where its
 members lie and what they hold:
 
 * frames that carry most of a file and recur in other files come from a tool's template: generated;
@@ -22,6 +22,7 @@ and belong to no repository; ids count once (the latest delivered); an empty tab
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +32,16 @@ from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import _WORD, mix64, row_chunks, text_buffers
 from codegrain.operators.durable import durable
+from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import salted_join
 
 K = 5
-BANDS, ROWS = 8, 4
-NUM, DEN = 4, 5  # similarity of frames
+BANDS, ROWS = 14, 6  # two files at the least similarity share a band with a probability of 0.986
+NUM, DEN = 4, 5  # similarity of shingle sets
+PER_BLOCK, COLUMNS = 2_000, 2_048  # members that meet at once, and shingles that are compared at once
 CARRIES, ALONE = 0.72, 0.8  # share of a file in its frame: with a cluster, and without
 TABLE = 40  # frames of marks or statements up to this size come from a tool, hand-written ones vary more
 BLOB = 0.5  # share of a file in long unbroken runs of encoded data
-FRAME = 64  # shingles of a frame, the most frequent ones
 
 # ------------------------------------------------------------------ what a path or a notice says
 
@@ -223,14 +225,15 @@ def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 _ALL_WORDS = np.uint64(sum(1 << (8 * j) for j in range(K)))
 
 
-def frames(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: the frame (recurring shingles), its share of all shingles, share of literals, tokens."""
+def frames(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per row: its set of shingles, the number of those that recur (the frame), the frame's share of all
+    occurrences, share of literals, tokens."""
     rows_n = len(offsets) - 1
     kind, row = masked_tokens(raw, offsets)
     n_tokens = np.bincount(row, minlength=rows_n)
     number = np.bincount(row[(kind == 2) | (kind == 34) | (kind == 39)], minlength=rows_n)
     if len(kind) < K:
-        return [np.zeros(0, np.uint64)] * rows_n, np.zeros(rows_n), number / np.maximum(n_tokens, 1), n_tokens
+        return [np.zeros(0, np.uint64)] * rows_n, np.zeros(rows_n, np.int64), np.zeros(rows_n), number / np.maximum(n_tokens, 1), n_tokens
     acc = np.zeros(len(kind) - K + 1, np.uint64)
     for j in range(K):
         acc = (acc << np.uint64(8)) | kind[j : len(kind) - K + 1 + j]
@@ -242,26 +245,31 @@ def frames(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.n
     of = (key >> np.uint64(40)).astype(np.int64)
     per_row = np.bincount(of, weights=count, minlength=rows_n)
     often = count >= np.maximum(4, per_row[of] * 0.008)
-    key, of, count = key[often], of[often], count[often]
-    share = np.bincount(of, weights=count, minlength=rows_n) / np.maximum(per_row, 1)
+    size = np.bincount(of[often], minlength=rows_n)
+    share = np.bincount(of[often], weights=count[often], minlength=rows_n) / np.maximum(per_row, 1)
     bounds = np.searchsorted(of, np.arange(rows_n + 1))
-    out = []
-    for i in range(rows_n):
-        lo, hi = bounds[i], bounds[i + 1]
-        if hi - lo > FRAME:
-            best = np.argsort(-count[lo:hi], kind="stable")[:FRAME]
-            out.append(np.sort(key[lo:hi][best] & np.uint64((1 << 40) - 1)))
-        else:
-            out.append(key[lo:hi] & np.uint64((1 << 40) - 1))
-    return out, share, number / np.maximum(n_tokens, 1), n_tokens
+    key &= np.uint64((1 << 40) - 1)
+    return [key[bounds[i] : bounds[i + 1]] for i in range(rows_n)], size, share, number / np.maximum(n_tokens, 1), n_tokens
+
+
+def pack(shingles: np.ndarray) -> bytes:
+    """A set of 40-bit shingles, sorted, byte by byte of all of them."""
+    return zlib.compress(np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1].T).tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, 4::-1] = planes.T
+    return out.view("<u8").ravel()
 
 
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def bands(frame: np.ndarray) -> list[int]:
-    """One hash per band of the MinHash signature of a frame."""
-    sig = mix64(frame[:, None] * _SEEDS[None, :]).min(axis=0).reshape(BANDS, ROWS)
+def bands(shingles: np.ndarray) -> list[int]:
+    """One hash per band of the MinHash signature of a set of shingles."""
+    sig = (mix64(shingles)[:, None] * _SEEDS[None, :]).min(axis=0).reshape(BANDS, ROWS)
     acc = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
         acc = mix64(acc * np.uint64(0xD1342543DE82EF95) + sig[:, j])
@@ -270,7 +278,7 @@ def bands(frame: np.ndarray) -> list[int]:
 
 # ------------------------------------------------------------------ the operator
 
-_FACTS = "doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, n_tokens long, frame binary, bands array<long>"
+_FACTS = "doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, n_tokens long, frame_size int, shingles binary"
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +289,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in row_chunks(offsets):
             part = raw[offsets[lo] : offsets[hi]]
             at = offsets[lo : hi + 1] - offsets[lo]
-            frame, share, literal, n_tokens = frames(part, at)
+            shingles, frame_size, share, literal, n_tokens = frames(part, at)
             # bytes in lines of 200 or more, and blanks, per row
             cuts = np.union1d(np.flatnonzero(part == 10) + 1, at)
             length = np.diff(cuts)
@@ -296,26 +304,93 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size = int(at[i + 1] - at[i])
                 text = text or ""
                 compact = size >= 200 and long[i] >= 0.6 * size and (blank[i] if size else 0) <= 0.1 * size
-                f = frame[i]
-                usable = len(f) >= 3 and share[i] >= 0.3
                 rows.append((
                     ids[lo + i], versions[lo + i], f"{owner}/{repo}" if owner else None, said_by_path(path), said_by_head(head_lines(text), owner, repo), bool(compact), is_lock(text), is_blob(text), kind_of(path, langs[lo + i], text),
-                    float(share[i]), float(literal[i]), int(n_tokens[i]), f.astype("<u8").tobytes() if usable else None, bands(f) if usable else None,
+                    float(share[i]), float(literal[i]), int(n_tokens[i]), int(frame_size[i]), pack(shingles[i]) if len(shingles[i]) else None,
                 ))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def _same_frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(b.column("frame").to_pylist(), b.column("lead_frame").to_pylist(), strict=True)):
-            u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            if both * DEN >= NUM * (len(u) + len(v) - both):
-                keep.append(i)
-        take = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc").take(take), b.column("lead").take(take)], names=["doc", "lead"])
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([bands(unpack(x)) for x in b.column("shingles").to_pylist()], pa.list_(pa.int64()))], names=["rep", "bands"])
+
+
+def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of ``left`` and ``right`` whose sets reach the similarity."""
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    at = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int(at[-1]) + 1, COLUMNS):
+        i, j = np.searchsorted(at, (lo, lo + COLUMNS))
+        has = np.zeros((len(sets), min(COLUMNS, int(at[-1]) + 1 - lo)), np.float32)
+        has[row[i:j], at[i:j] - lo] = 1
+        both += has[left] @ has[right].T
+    x, y = np.nonzero(both * DEN >= NUM * (sizes[left][:, None] + sizes[right][None, :] - both))
+    return left[x], right[y]
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the members of each place; rows of a place follow each other.
+
+    All pairs are compared; of those alike, each member keeps the link to the least of its component there.
+    """
+
+    def of_place(members: list[tuple]) -> tuple[list[int], list[int]]:
+        alone = all(m[2] == members[0][2] for m in members)
+        block = np.array([m[2] for m in members])
+        everyone = np.arange(len(members))
+        left, right = (everyone, everyone) if alone else (everyone[block == block.min()], everyone[block == block.max()])
+        x, y = _alike([unpack(m[4]) for m in members], left, right)
+        ids = np.array([m[3] for m in members])
+        least = ids.copy()
+        while True:
+            before = least.copy()
+            np.minimum.at(least, x, before[y])
+            np.minimum.at(least, y, least[x])
+            if (before == least).all():
+                break
+        out = np.flatnonzero(least != ids)
+        return ids[out].tolist(), least[out].tolist()
+
+    place: list[tuple] = []
+    for b in batches:
+        a, c = [], []
+        for m in zip(*(b.column(k).to_pylist() for k in ("bucket", "meet", "block", "rep", "shingles")), strict=True):
+            if place and place[0][:2] != m[:2]:
+                if len(place) > 1:
+                    u, v = of_place(place)
+                    a, c = a + u, c + v
+                place = []
+            place.append(m)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+    if len(place) > 1:
+        u, v = of_place(place)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+
+
+def families(sets: DataFrame) -> DataFrame:
+    """``doc, family`` of ``doc, shingles``: families are the components of verified links, named by their least id.
+
+    One file stands for all with the same set.  All pairs of a bucket are compared, a frequent bucket in blocks of
+    which each two meet in a place of their own.
+    """
+    some = sets.where("shingles IS NOT NULL")
+    same = durable(some.withColumn("same", F.md5("shingles")).groupBy("same").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "origin-same")
+    reps = durable(some.join(same.select(F.col("rep").alias("doc")), "doc").select(F.col("doc").alias("rep"), "shingles"), "origin-sets")
+    member = durable(reps.mapInArrow(_banded, "rep long, bands array<long>").select("rep", F.explode("bands").alias("bucket")), "origin-bands")
+    many = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int"))
+    met = salted_join(member, many, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = met.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
+    met = met.select("bucket", "meet", "block", "rep").join(reps, "rep").repartition("bucket", "meet").sortWithinPartitions("bucket", "meet")
+    links = durable(met.mapInArrow(_links, "a long, b long").distinct(), "origin-links")
+    comp = connected_components(links, "a", "b")
+    named = same.join(comp, same["rep"] == comp["node"], "left").select("same", F.coalesce("component", "rep").alias("family"), "n")
+    return salted_join(some.select("doc", F.md5("shingles").alias("same")), named, "same", "n").select("doc", "family")
 
 
 def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col: str, version_col: str | None = None) -> DataFrame:
@@ -329,15 +404,7 @@ def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col:
     cols = [x.strip().split(" ")[0] for x in _FACTS.split(", ")][2:]
     facts = facts.groupBy("doc").agg(F.max_by(F.struct(*cols), F.struct("version", "n_tokens", "head_says")).alias("x")).select("doc", *[f"x.{c}" for c in cols])
     facts = durable(facts, "origin-facts")
-    # candidates: the first file of each band bucket leads it; members are verified against the leader
-    member = facts.where("frame is not null").select("doc", F.explode("bands").alias("bucket"))
-    # (a bucket's number holds its band's) frequent buckets and leaders are spread over tasks
-    leads = member.groupBy("bucket").agg(F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    pairs = salted_join(member.select("doc", "bucket"), leads, "bucket", "n").select("doc", "lead").distinct()
-    frame = facts.where("frame is not null").select("doc", "frame")
-    lead_frame = pairs.groupBy("lead").agg(F.count("*").alias("n")).join(frame.select(F.col("doc").alias("lead"), F.col("frame").alias("lead_frame")), "lead")
-    both = salted_join(pairs.join(frame, "doc"), lead_frame, "lead", "n").select("doc", "frame", "lead", "lead_frame")
-    family = durable(both.mapInArrow(_same_frame, "doc long, lead long").groupBy("doc").agg(F.min("lead").alias("family")), "origin-families")
+    family = durable(families(facts.select("doc", "shingles")), "origin-families")
     of = facts.select("doc", "project", "head_says", "carries").join(family, "doc")
     stats = of.groupBy("family").agg(
         F.count("*").alias("family_files"),
@@ -346,7 +413,7 @@ def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col:
     )
     out = salted_join(facts.join(family, "doc", "left"), stats.withColumn("w", F.col("family_files")), "family", "w", "left")
     literal_only = F.col("literals") >= 0.295
-    size = F.coalesce(F.octet_length("frame"), F.lit(0)) / 8
+    size = F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0)
     recurs = F.coalesce(F.col("family_files") >= 2, F.lit(False))
     code = (F.col("kind") == "code") & ((F.col("carries") >= ALONE) | ((F.col("carries") >= CARRIES) & recurs))
     # hand-written marks and statements recur as well, but not in so few forms
