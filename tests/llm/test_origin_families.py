@@ -35,3 +35,10 @@ def test_families_are_closed_over_links(spark):
     df = spark.createDataFrame([(i + 1, bytes(s)) for i, s in enumerate([*chain, chain[4]])] + [(9, None)], "doc long, shingles binary")
     assert {r["doc"]: r["family"] for r in o.families(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5}
     assert o.families(df.where("false")).count() == 0
+
+
+def test_copies_of_written_files_are_families(spark):
+    plain = "import a\n\ndef f(x):\n    y = g(x) + h(1)\n    return y if x else None\n\nclass B:\n    z = [1, 2]\n"
+    rows = [(1, "raw/python/a__b__f.py", plain, "python"), (2, "raw/python/c__d__g.py", plain.replace("x", "other").replace("B", "Named"), "python")]
+    got = o.origins(spark.createDataFrame(rows, "id long, path string, text string, lang string"), "id", "path", "text", "lang").collect()
+    assert {(r["doc"], r["origin"], r["family"], r["family_files"], r["family_projects"]) for r in got} == {(1, None, 1, 2, 2), (2, None, 1, 2, 2)}
