@@ -2,13 +2,13 @@
 
 Every file is masked to a stream of token kinds (identifier, number, punctuation byte); its shingles of five
 kinds that recur in the file are its frame.  Files are banded by MinHash on their whole shingle sets; all pairs
-of a bucket are verified on these, and families are the components of the links.  What a cluster says depends on where its
-members lie and what they hold:
+of a bucket are verified on these, and families are the components of the links.
 
-* frames that carry most of a file and recur in other files come from a tool's template: generated;
-* clusters of frames that hold little but literals are data in the form of code;
-* clusters across repositories, of which a member says where it is from (by path or by a notice at its
-  head), are taken over from elsewhere.  Likeness alone, or a licence notice alone, is no evidence.
+Origins come from single files, not from clusters: ``vendored`` from the file's own path or head, ``minified``
+from its lines, ``data`` from checksums, encoded runs or literals.  The rules "clusters across repositories mean
+vendoring" and "families within one mean generation" are replaced by these, because a case needs a path or text
+that shows it, and likeness to another file, even to one that says where it is from, is none.  A family
+decides only where a frame carries less than 80 % of a code file, and for marks: recurrence tells a template.
 
 Statements count where tools and people put them: in the comment lines at the head of a file, at the start
 of a line.  The same words further down, in quotes or in the past tense are talk about such files.  A frame
@@ -405,11 +405,10 @@ def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col:
     facts = facts.groupBy("doc").agg(F.max_by(F.struct(*cols), F.struct("version", "n_tokens", "head_says")).alias("x")).select("doc", *[f"x.{c}" for c in cols])
     facts = durable(facts, "origin-facts")
     family = durable(families(facts.select("doc", "shingles")), "origin-families")
-    of = facts.select("doc", "project", "head_says", "carries").join(family, "doc")
+    of = facts.select("doc", "project").join(family, "doc")
     stats = of.groupBy("family").agg(
         F.count("*").alias("family_files"),
         F.approx_count_distinct("project").alias("family_projects"),
-        F.avg((F.col("head_says") == "generated").cast("double")).alias("family_told"),
     )
     out = salted_join(facts.join(family, "doc", "left"), stats.withColumn("w", F.col("family_files")), "family", "w", "left")
     literal_only = F.col("literals") >= 0.295
