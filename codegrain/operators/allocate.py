@@ -63,10 +63,10 @@ def weak_multiplier(accuracy: Column) -> Column:
 
 
 def weighted_sample(df: DataFrame, id_col: str, weight: str, size: int, seed: int) -> DataFrame:
-    """A sample of about ``size`` draws with replacement: ``id, times``, one row per drawn id.
+    """A rounded-expectation sample of about ``size`` draws: ``id, times``, one row per drawn id.
 
-    Each row draws its own Poisson number with mean size * weight / total from uniforms hashed from id and
-    seed, so the sample needs one global sum and no ordering; repeated runs agree.
+    Each row is drawn floor or ceil of its mean size * weight / total times, by a uniform hashed from id and
+    seed.  This is not a draw with replacement: no row with a mean under 1 is drawn twice.  So the sample needs one global sum and no ordering; repeated runs agree.
     """
     total = df.agg(F.sum(weight)).first()[0] or 1.0
     mean = F.col(weight) * F.lit(size / total)
