@@ -1,22 +1,25 @@
 """Problem 4: generated, minified, vendored and data files among source files.
 
-Every file is masked to a stream of token kinds (identifier, number, punctuation byte); its shingles of five
-kinds that recur in the file are its frame.  Files are banded by MinHash on their whole shingle sets; all pairs
-of a bucket are verified on these, and families are the components of the links.
+Units of every file are masked and clustered: the whole text (identifiers and numbers become kinds), windows of
+``WINDOW`` tokens of it, and each comment line at its head (names become one sign, plain words stay).  Units
+are banded by MinHash on their shingle sets; all links of a bucket are verified on whole sets, and families
+are the components of the links.  What a file's families are decides what it can be:
 
-Origins come from single files, not from clusters: ``vendored`` from the file's own path or head, ``minified``
-from its lines, ``data`` from checksums, encoded runs or literals.  The rules "clusters across repositories mean
-vendoring" and "families within one mean generation" are replaced by these, because a case needs a path or text
-that shows it, and likeness to another file, even to one that says where it is from, is none.  A family
-decides only where a frame carries less than 80 % of a code file, and for marks: recurrence tells a template.
+* a family within one repository (its whole text like another file there, most of its windows like others
+  of its own, or its notice worded like that of other files) indicates generation or compaction;
+* a cluster across repositories indicates that it was taken over;
+* a family of literals only indicates data.
+
+No file is a case without such a family.  An exact check follows, because by the definition likeness alone is
+no case: of the path and the head for files taken over, of the head, the recurring share or the lines for
+generated and compacted ones, of checksums, encoded runs or literals for data.
 
 Statements count where tools and people put them: in the comment lines at the head of a file, at the start
-of a line.  The same words further down, in quotes or in the past tense are talk about such files.  A frame
-that carries nearly the whole file needs no second file (templates that occur once are found exactly so).
-Compaction shows in the text alone: most of it in long lines with hardly a blank.
+of a line.  The same words further down, in quotes or in the past tense are talk about such files.
 
-Defined results: null texts and blank texts are never cases unless the path says so; null paths say nothing
-and belong to no repository; ids count once (the latest delivered); an empty table gives no rows.
+Defined results: null texts and blank texts are never cases; null paths say nothing and belong to no
+repository (such a file is a repository of its own); ids count once (the latest delivered); an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import _WORD, mix64, row_chunks, text_buffers
@@ -36,10 +40,14 @@ from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import salted_join
 
 K = 5
-BANDS, ROWS = 14, 6  # two files at the least similarity share a band with a probability of 0.986
+LINE_K = 3  # words of a shingle of a comment line
+WINDOW = 64  # tokens of a window; a template of up to some fifty tokens shows as alike windows
+BANDS, ROWS = 14, 6  # two units at the least similarity share a band with a probability of 0.986
+INNER_BANDS, INNER_ROWS = 8, 3  # the same for windows of one file, compared where they are read: 0.997
 NUM, DEN = 4, 5  # similarity of shingle sets
-PER_BLOCK, COLUMNS = 2_000, 2_048  # members that meet at once, and shingles that are compared at once
-CARRIES, ALONE = 0.72, 0.8  # share of a file in its frame: with a cluster, and without
+PER_BLOCK = 2_000  # members that meet at once
+CARRIES, ALONE = 0.72, 0.8  # recurring share of a file: if the whole file has a family, and if its windows have one
+INNER = 0.5  # share of a file in windows that have a family
 TABLE = 40  # frames of marks or statements up to this size come from a tool, hand-written ones vary more
 BLOB = 0.5  # share of a file in long unbroken runs of encoded data
 
@@ -65,16 +73,18 @@ _SKIP = re.compile(r"^\s*(?:<\?php|<\?xml.*|#!.*|\"use strict\";?|package \w+;?|
 _BY_TOOL = re.compile(
     r"""^(?:
       @generated\b | <auto-?generated | auto-?\s?generated\b | machine[- ](?:written|made|generated)\b
-    | (?:this\ (?:file|code|source|module|class|header)\ (?:is|was|has\ been)\ )?(?:automatically\ |auto-?|machine[- ])?generated\ (?:by|from|on|with|using|at|file|code|source)\b
-    | (?:this\ )?(?:code|file|source|header)\ (?:is\ |was\ |has\ been\ )?(?:auto(?:matically)?[- ]?)?(?:generated|created|produced|emitted|written)\ (?:automatically|by|from|with|using)\b
+    | (?:this\ (?:file|code|source|module|class|header)\ (?:is|was|has\ been)\ )?(?:automatically\ |auto-?|machine[- ])?generated\ (?:by|from|on|with|using|at|file|code|source)\b(?!\ (?:hand|love|care))
+    | (?:this\ )?(?:code|file|source|header)\ (?:is\ |was\ |has\ been\ )?(?:auto(?:matically)?[- ]?)?(?:generated|produced|emitted)\ (?:automatically|by|from|with|using)\b(?!\ (?:hand|love|care))
+    | (?:this\ )?(?:code|file|source|header)\ (?:is\ |was\ |has\ been\ )?(?:auto(?:matically)?[- ]?(?:created|written)|(?:created|written)\ (?:automatically|by\ (?:a|the)\ (?:tool|generator|compiler|script)))\b
     | output\ of\ \S+ | produced\ by\ \S+\ v?\d | emitted\ by\ \S+
+    | .*(?:created|produced|made)\ automatically\ by\b
     | (?:diese|dieser)\ \w+\ wurde\ .*(?:erzeugt|generiert|erstellt) | automatisch\ (?:erzeugt|generiert)
     | (?:ce\ )?(?:fichier|code)\ .*(?:produit|généré|cree|créé)\ (?:automatiquement|par)\b
-    | (?:este\ )?(?:archivo|fichero|código|ficheiro|arquivo)\ .*(?:generado|gerado)\b
+    | (?:este\ )?(?:archivo|fichero|código|ficheiro|arquivo)\ .*(?:generado|gerado|cread[oa]\ autom\w+|criado\ autom\w+)\b
     | (?:questo\ )?file\ .*generato\b | (?:ten\ )?plik\ .*wygenerowan
     | .*(?:автоматически\ (?:создан|сгенерирован)|сгенерирован) | .*(?:自动生成|自動生成) | .*tự\ động\ tạo
     | (?:warning|note|attention)[:!]\ .*(?:auto-?|automatically\ )generated
-    | do\ not\ (?:edit|modify)\b
+    | do\ not\ (?:edit|modify)(?:\ this\ file|\ by\ hand|\ manually|\s*[-.!,;:(]|\s*$)
     )""",
     re.I | re.X,
 )
@@ -85,8 +95,8 @@ _TAKEN = re.compile(
     r"""^(?:
       vendored(?:\ (?:copy|from|in)|:)
     | (?:a\ )?(?:bundled|verbatim|unmodified|unchanged|local|embedded|vendored|pristine)\ copy\ of\b
-    | (?:this\ (?:file|code)\ (?:is|was)\ )?(?:copied|taken|imported|mirrored|synced|synchroni[sz]ed|extracted|borrowed|lifted|pulled)\b(?:\ (?:as\ is|verbatim|over|unchanged|unmodified|directly))*\ from\b
-    | upstream(?:\ source)?:\ \S+ | origin:\ \S+ | source:\ \S+/\S+\ @
+    | (?:this\ (?:file|code)\ (?:is|was)\ )?(?:copied|taken|imported|mirrored|synced|synchroni[sz]ed|extracted|borrowed|lifted|pulled)\b(?:\ (?:as\ is|verbatim|over|unchanged|unmodified|directly))*\ (?:from|with\ upstream)\b
+    | upstream(?:\ source)?:\ \S+ | origin:\ \S+ | source:\ \S+/\S+\ @\ ?(?:v?\d|[0-9a-f]{7})
     | \S+\ v?\d+\.\d+\S*,?\ (?:embedded|bundled|included|vendored|shipped|copied|inlined)\ (?:here|verbatim|as\ is|unchanged)\b
     )""",
     re.I | re.X,
@@ -140,42 +150,88 @@ def said_by_path(path: str | None) -> str:
     return "minified" if _MIN_NAME.search(inner) else ""
 
 
+#: Signs that open a comment of several lines, and those that close it.
+_BLOCKS = {"/*": "*/", "<!--": "-->", "(*": "*)", "{-": "-}", '"""': '"""', "'''": "'''"}
+_INSIDE = re.compile(r"^\s*(?:\*+(?!/))?\s*")
+
+
 def head_lines(text: str) -> list[str]:
-    """The comment lines at the head of a text, without comment signs."""
+    """All comment lines at the head of a text, without comment signs; a block comment to its end."""
     out: list[str] = []
-    at = 0
-    while at < len(text) and len(out) < 40:
+    at, shut = 0, ""
+    while at < len(text):
         end = text.find("\n", at)
         end = len(text) if end < 0 else end
         line = text[at:end].rstrip("\r")
         at = end + 1
-        lead = _LEAD.match(line)
-        if lead and not line.startswith(("#include", "#define", "#!", "#if")):
-            out.append(_TRAIL.sub("", line[lead.end() :]).strip())
-        elif not _SKIP.match(line):
-            break
+        if shut:
+            body = line[_INSIDE.match(line).end() :]
+        else:
+            lead = _LEAD.match(line)
+            if not lead or line.startswith(("#include", "#define", "#!", "#if")):
+                if _SKIP.match(line):
+                    continue
+                break
+            body = line[lead.end() :]
+            sign = lead.group().strip()
+            shut = next((c for o, c in _BLOCKS.items() if sign.startswith(o)), "")
+        if shut and shut in body:
+            body, shut = body[: body.index(shut)], ""
+        out.append(_TRAIL.sub("", body).strip())
     return out
 
 
-def said_by_head(lines: list[str], owner: str, repo: str) -> str:
-    """``generated`` or ``vendored`` if a notice at the head states it, else ``""``."""
+def statements(lines: list[str], owner: str, repo: str) -> list[str]:
+    """What each line states of the file: ``generated``, ``vendored``, ``kept`` or nothing."""
+    out = []
     for line in lines:
+        says = ""
         if _KEPT_BY_HAND.search(line):
-            return "kept"
-    for line in lines:
-        if _BY_TOOL.match(line):
-            return "generated"
-        if _TAKEN.match(line):
+            says = "kept"
+        elif _BY_TOOL.match(line):
+            says = "generated"
+        elif _TAKEN.match(line):
             owners, names = set(), set()
             for a, b, c, d in _NAMES.findall(line):
                 owners |= {_slim(a)} if a else set()
                 names |= {_slim(x) for x in (b, c, d) if x}
             owners |= {_slim(x) for x in _BY.findall(line)}
             # the project's own name, or its owner without any name, is no foreign origin
-            if owner and (repo in names or (not names and owner in owners)):
-                continue
-            return "vendored"
-    return ""
+            says = "" if owner and (repo in names or (not names and owner in owners)) else "vendored"
+        out.append(says)
+    return out
+
+
+def said_by_head(lines: list[str], owner: str, repo: str) -> str:
+    """What the first statement says; ``kept`` if any line takes such statements back."""
+    says = statements(lines, owner, repo)
+    return "kept" if "kept" in says else next((s for s in says if s), "")
+
+
+_TERM = re.compile(r"[^\s,;!()<>\[\]{}\"'`]+")
+_QUOTED = re.compile(r"`[^`]*`|\([^()]*\)|\"[^\"]*\"")
+#: Words before the name of a tool, project or file.
+_BEFORE_NAMES = frozenset("by with of from using via par aus von mit con por".split())
+
+
+def line_shingles(line: str) -> np.ndarray:
+    """The shingles of a comment line: plain words stay, names, paths, versions and numbers are one sign.
+
+    A word is a name if it is not all letters of one case, if it is quoted or in brackets, or if it stands where names
+    do, behind a colon or a word such as "by".
+    """
+    words = ["^"]
+    for m in _TERM.findall(_QUOTED.sub(" 0 ", line)):
+        w = m.strip(".-/*=#:")
+        if not w:
+            continue
+        plain = w.isalpha() and (w.islower() or w.isupper() or w.istitle()) and words[-1] not in _BEFORE_NAMES and words[-1][-1] != ":"
+        words.append((w.lower() if plain else "0") + (":" if m[-1] == ":" else ""))
+    words.append("$")
+    if len(words) < LINE_K:
+        return np.zeros(0, np.uint64)
+    joined = [" ".join(words[i : i + LINE_K]).encode("utf-8", "surrogatepass") for i in range(len(words) - LINE_K + 1)]
+    return np.unique(mix64(np.array([zlib.crc32(x) | (len(x) & 255) << 32 for x in joined], np.uint64)) & _MASK)
 
 
 def is_lock(text: str) -> bool:
@@ -203,8 +259,14 @@ def kind_of(path: str | None, lang: str | None, text: str) -> str:
 # ------------------------------------------------------------------ frames
 
 
+_MASK = np.uint64((1 << 40) - 1)
+_CODED = _WORD.copy()
+_CODED[[43, 47, 61]], _CODED[128:], _CODED[95] = True, False, False
+LONG_RUN = 40  # bytes of an unbroken run of encoded data, which is one literal
+
+
 def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kind (1 identifier, 2 number, else the byte) and row of every token; blanks are no tokens."""
+    """Kind (1 identifier, 2 number or run of encoded data, else the byte) and row of every token; blanks are no tokens."""
     n = len(raw)
     word = _WORD[raw]
     first = np.zeros(n, bool)
@@ -219,21 +281,47 @@ def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     is_word = word[at]
     kind[is_word & digit] = 2
     kind[is_word & ~digit] = 1
-    return kind, np.searchsorted(offsets, at, "right") - 1
+    row = np.searchsorted(offsets, at, "right") - 1
+    # runs of encoded data: letters and digits with + and /, cut by marks at random places
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], _CODED[raw].astype(np.int8), [0]))))
+    lo, hi = edge[::2], edge[1::2]
+    long = hi - lo >= LONG_RUN
+    if long.any():
+        lo, hi = np.searchsorted(at, lo[long]), np.searchsorted(at, hi[long])
+        step = np.zeros(len(at) + 1, np.int64)
+        np.add.at(step, lo, 1)
+        np.add.at(step, hi, -1)
+        inside = np.cumsum(step)[:-1] > 0
+        first = np.zeros(len(at), bool)
+        first[lo[lo < len(at)]] = True
+        kind[inside] = 2
+        stay = ~inside | first
+        kind, row = kind[stay], row[stay]
+    return kind, row
 
 
 _ALL_WORDS = np.uint64(sum(1 << (8 * j) for j in range(K)))
 
 
-def frames(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per row: its set of shingles, the number of those that recur (the frame), the frame's share of all
-    occurrences, share of literals, tokens."""
+@dataclass(frozen=True)
+class Frames:
+    """Per row: its set of shingles, how many of them recur (the frame), shares of the file, tokens."""
+
+    sets: list[np.ndarray]
+    size: np.ndarray
+    carries: np.ndarray  # occurrences of recurring shingles, of all
+    literals: np.ndarray  # literal tokens, of all
+    n_tokens: np.ndarray
+    inner: np.ndarray  # tokens in windows that have a family of windows of the same file, of all
+
+
+def frames(raw: np.ndarray, offsets: np.ndarray) -> Frames:
     rows_n = len(offsets) - 1
     kind, row = masked_tokens(raw, offsets)
     n_tokens = np.bincount(row, minlength=rows_n)
     number = np.bincount(row[(kind == 2) | (kind == 34) | (kind == 39)], minlength=rows_n)
     if len(kind) < K:
-        return [np.zeros(0, np.uint64)] * rows_n, np.zeros(rows_n, np.int64), np.zeros(rows_n), number / np.maximum(n_tokens, 1), n_tokens
+        return Frames([np.zeros(0, np.uint64)] * rows_n, np.zeros(rows_n, np.int64), np.zeros(rows_n), number / np.maximum(n_tokens, 1), n_tokens, np.zeros(rows_n))
     acc = np.zeros(len(kind) - K + 1, np.uint64)
     for j in range(K):
         acc = (acc << np.uint64(8)) | kind[j : len(kind) - K + 1 + j]
@@ -248,8 +336,74 @@ def frames(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.n
     size = np.bincount(of[often], minlength=rows_n)
     share = np.bincount(of[often], weights=count[often], minlength=rows_n) / np.maximum(per_row, 1)
     bounds = np.searchsorted(of, np.arange(rows_n + 1))
-    key &= np.uint64((1 << 40) - 1)
-    return [key[bounds[i] : bounds[i + 1]] for i in range(rows_n)], size, share, number / np.maximum(n_tokens, 1), n_tokens
+    key &= _MASK
+    first = np.searchsorted(row, np.arange(rows_n))
+    slot = (np.arange(len(row)) - first[row]) // WINDOW
+    begins = np.concatenate(([True], (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])))
+    window = np.cumsum(begins) - 1
+    kin = alike_windows(window[: len(acc)][ok], acc[ok], row[begins])
+    inner = np.bincount(row, weights=kin[window], minlength=rows_n) / np.maximum(n_tokens, 1)
+    return Frames([key[bounds[i] : bounds[i + 1]] for i in range(rows_n)], size, share, number / np.maximum(n_tokens, 1), n_tokens, inner)
+
+
+def alike_windows(window: np.ndarray, shingle: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which windows have another of the same row whose set of shingles reaches the similarity.
+
+    ``window`` and ``shingle`` are the occurrences, ``row`` the row of each window.  Windows of equal sets are
+    one; neighbours in a MinHash bucket, and each with the first of it, are verified on whole sets.
+    """
+    out = np.zeros(len(row), bool)
+    key = np.unique((window.astype(np.uint64) << np.uint64(40)) | shingle)
+    of, key = (key >> np.uint64(40)).astype(np.int64), key & _MASK
+    some, start = np.unique(of, return_index=True)
+    if len(some) < 2:
+        return out
+    size = np.diff(np.concatenate((start, [len(key)])))
+    print_ = np.add.reduceat(mix64(key), start)
+    # equal sets of a row
+    order = np.lexsort((size, print_, row[some]))
+    r, p, z = row[some][order], print_[order], size[order]
+    new = np.concatenate(([True], (r[1:] != r[:-1]) | (p[1:] != p[:-1]) | (z[1:] != z[:-1])))
+    group = np.empty(len(some), np.int64)
+    group[order] = np.cumsum(new) - 1
+    kin = np.bincount(group) > 1
+    lead = np.empty(len(kin), np.int64)  # a window that stands for the group
+    lead[group[order]] = order
+    # others of the row: only rows with several groups
+    per = np.bincount(row[some][lead], minlength=int(row.max()) + 1)
+    lead = lead[per[row[some][lead]] > 1]
+    if len(lead):
+        at = np.repeat(start[lead], size[lead]) + np.arange(size[lead].sum()) - np.repeat(np.cumsum(size[lead]) - size[lead], size[lead])
+        sig = signatures(key[at], size[lead], INNER_BANDS, INNER_ROWS)
+        n, b = sig.shape
+        who = np.repeat(np.arange(n), b)
+        flat = mix64(sig.ravel() + row[some][lead][who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], who[order]
+        fresh = np.concatenate(([True], flat[1:] != flat[:-1]))
+        head = who[np.maximum.accumulate(np.where(fresh, np.arange(len(who)), 0))]
+        pairs = np.concatenate((np.stack((who[:-1], who[1:]), 1)[~fresh[1:]], np.stack((head, who), 1)[~fresh]))
+        pairs = np.sort(pairs[row[some][lead][pairs[:, 0]] == row[some][lead][pairs[:, 1]]], axis=1)
+        pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+        if len(pairs):
+            pairs = np.unique(pairs, axis=0)
+            first = np.cumsum(size[lead]) - size[lead]
+            for lo in range(0, len(pairs), 50_000):
+                part = pairs[lo : lo + 50_000]
+                both = common(key[at], first, size[lead], part)
+                good = part[both * DEN >= NUM * (size[lead][part].sum(axis=1) - both)]
+                kin[group[lead[good.ravel()]]] = True
+    out[some] = kin[group]
+    return out
+
+
+def common(keys: np.ndarray, first: np.ndarray, size: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Number of shared members of each pair of sets; sets lie in ``keys`` from ``first`` on."""
+    ends = pairs.ravel()
+    n = size[ends]
+    at = np.repeat(first[ends], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    both = np.sort((np.repeat(np.arange(len(pairs)), n.reshape(-1, 2).sum(axis=1)).astype(np.uint64) << np.uint64(40)) | keys[at])
+    return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(pairs))
 
 
 def pack(shingles: np.ndarray) -> bytes:
@@ -267,35 +421,49 @@ def unpack(data: bytes) -> np.ndarray:
 _SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def bands(shingles: np.ndarray) -> list[int]:
-    """One hash per band of the MinHash signature of a set of shingles."""
-    sig = (mix64(shingles)[:, None] * _SEEDS[None, :]).min(axis=0).reshape(BANDS, ROWS)
-    acc = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
-        acc = mix64(acc * np.uint64(0xD1342543DE82EF95) + sig[:, j])
-    return acc.astype(np.int64).tolist()
+def signatures(keys: np.ndarray, sizes: np.ndarray, n_bands: int, n_rows: int, at_once: int = 1 << 16) -> np.ndarray:
+    """Band hashes (a row per set) of the MinHash signatures of sets that follow each other in ``keys``."""
+    mixed, seeds = mix64(keys), _SEEDS[: n_bands * n_rows]
+    ends = np.cumsum(sizes)
+    out = np.empty((len(sizes), n_bands), np.uint64)
+    lo = 0
+    while lo < len(sizes):
+        base = ends[lo] - sizes[lo]
+        hi = max(int(np.searchsorted(ends, base + at_once, "right")), lo + 1)
+        starts = ends[lo:hi] - sizes[lo:hi] - base
+        part = mixed[base : ends[hi - 1]]
+        least = np.stack([np.minimum.reduceat(part * s, starts) for s in seeds], 1).reshape(hi - lo, n_bands, n_rows)
+        acc = np.broadcast_to(np.arange(n_bands, dtype=np.uint64), (hi - lo, n_bands))
+        for j in range(n_rows):
+            acc = mix64(acc * np.uint64(0xD1342543DE82EF95) + least[:, :, j])
+        out[lo:hi] = acc
+        lo = hi
+    return out
 
 
 # ------------------------------------------------------------------ the operator
 
-_FACTS = "doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, n_tokens long, frame_size int, shingles binary"
+_LINE = "struct<says:string,shingles:binary>"
+_FACTS = f"doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, inner float, n_tokens long, frame_size int, shingles binary, lines array<{_LINE}>"
+_FACT_NAMES = [x.split(" ")[0] for x in _FACTS.split(", ")]
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.strip().split(" ")[0] for x in _FACTS.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("says", pa.string()), ("shingles", pa.binary())]))]
     for b in batches:
         offsets, raw = text_buffers(b.column("text"))
         ids, versions, paths, langs = (b.column(c).to_pylist() for c in ("doc", "version", "path", "lang"))
         for lo, hi in row_chunks(offsets):
             part = raw[offsets[lo] : offsets[hi]]
             at = offsets[lo : hi + 1] - offsets[lo]
-            shingles, frame_size, share, literal, n_tokens = frames(part, at)
+            f = frames(part, at)
             # bytes in lines of 200 or more, and blanks, per row
             cuts = np.union1d(np.flatnonzero(part == 10) + 1, at)
             length = np.diff(cuts)
             line_row = np.searchsorted(at, cuts[:-1], "right") - 1
             long = np.bincount(line_row, weights=np.where(length > 200, length, 0), minlength=hi - lo)
-            blank = np.add.reduceat(np.concatenate((((part == 32) | (part == 9)).astype(np.int64), [0])), at[:-1]) if len(part) else np.zeros(hi - lo)
+            total = np.concatenate(([0], np.cumsum((part == 32) | (part == 9))))
+            blank = total[at[1:]] - total[at[:-1]]
             texts = b.column("text").slice(lo, hi - lo).to_pylist()
             rows = []
             for i, text in enumerate(texts):
@@ -303,128 +471,167 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 owner, repo = own_project(path)
                 size = int(at[i + 1] - at[i])
                 text = text or ""
-                compact = size >= 200 and long[i] >= 0.6 * size and (blank[i] if size else 0) <= 0.1 * size
+                head = head_lines(text)
+                says = statements(head, owner, repo)
+                stated = "kept" if "kept" in says else next((s for s in says if s), "")
+                lines = [{"says": s, "shingles": pack(x)} for s, x in zip(says, map(line_shingles, head), strict=True) if len(x)]
+                compact = size >= 200 and long[i] >= 0.6 * size and blank[i] <= 0.1 * size
                 rows.append((
-                    ids[lo + i], versions[lo + i], f"{owner}/{repo}" if owner else None, said_by_path(path), said_by_head(head_lines(text), owner, repo), bool(compact), is_lock(text), is_blob(text), kind_of(path, langs[lo + i], text),
-                    float(share[i]), float(literal[i]), int(n_tokens[i]), int(frame_size[i]), pack(shingles[i]) if len(shingles[i]) else None,
+                    ids[lo + i], versions[lo + i], f"{owner}/{repo}" if owner else None, said_by_path(path), stated, bool(compact), is_lock(text), is_blob(text), kind_of(path, langs[lo + i], text),
+                    float(f.carries[i]), float(f.literals[i]), float(f.inner[i]), int(f.n_tokens[i]), int(f.size[i]), pack(f.sets[i]) if len(f.sets[i]) else None, lines,
                 ))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FACT_NAMES)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([bands(unpack(x)) for x in b.column("shingles").to_pylist()], pa.list_(pa.int64()))], names=["rep", "bands"])
+        sets = [unpack(x) for x in b.column("shingles").to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        found = signatures(np.concatenate(sets), sizes, BANDS, ROWS) if len(sets) else np.zeros((0, BANDS), np.uint64)
+        level = b.column("level").to_numpy().astype(np.uint64)  # texts and lines do not meet
+        found = mix64(found + level[:, None] * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
+        offsets = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["rep", "bands"])
 
 
-def _alike(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs of ``left`` and ``right`` whose sets reach the similarity."""
+def _components(sets: list[np.ndarray]) -> np.ndarray:
+    """The first member of each member's component, links being all pairs that reach the similarity.
+
+    A search from each member in turn compares it with those not reached yet, so a bucket of one family costs one
+    comparison per member, and no link between components is left out.
+    """
     sizes = np.array([len(x) for x in sets])
-    row = np.repeat(np.arange(len(sets)), sizes)
     at = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    both = np.zeros((len(left), len(right)), np.float32)
-    for lo in range(0, int(at[-1]) + 1, COLUMNS):
-        i, j = np.searchsorted(at, (lo, lo + COLUMNS))
-        has = np.zeros((len(sets), min(COLUMNS, int(at[-1]) + 1 - lo)), np.float32)
-        has[row[i:j], at[i:j] - lo] = 1
-        both += has[left] @ has[right].T
-    x, y = np.nonzero(both * DEN >= NUM * (sizes[left][:, None] + sizes[right][None, :] - both))
-    return left[x], right[y]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    of = np.full(len(sets), -1)
+    has = np.zeros(int(at.max()) + 1, bool)
+    left = np.arange(len(sets))  # not reached
+    while len(left):
+        root, left = left[0], left[1:]
+        of[root] = root
+        queue = [int(root)]
+        while queue and len(left):
+            x = queue.pop()
+            mine = at[bounds[x] : bounds[x + 1]]
+            # only sizes that can reach the similarity
+            near = (sizes[left] * DEN >= sizes[x] * NUM) & (sizes[x] * DEN >= sizes[left] * NUM)
+            cand = left[near]
+            if not len(cand):
+                continue
+            has[mine] = True
+            n = sizes[cand]
+            first = np.cumsum(n) - n
+            both = np.add.reduceat(has[at[np.repeat(bounds[cand] - first, n) + np.arange(n.sum())]].astype(np.int32), first)
+            has[mine] = False
+            good = cand[both * DEN >= NUM * (n + sizes[x] - both)]
+            of[good] = root
+            queue += good.tolist()
+            left = left[of[left] < 0]
+    return of
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the members of each place; rows of a place follow each other.
-
-    All pairs are compared; of those alike, each member keeps the link to the least of its component there.
-    """
+    """Links of the members of each place, to the first of their component there; rows of a place follow each other."""
 
-    def of_place(members: list[tuple]) -> tuple[list[int], list[int]]:
-        alone = all(m[2] == members[0][2] for m in members)
-        block = np.array([m[2] for m in members])
-        everyone = np.arange(len(members))
-        left, right = (everyone, everyone) if alone else (everyone[block == block.min()], everyone[block == block.max()])
-        x, y = _alike([unpack(m[4]) for m in members], left, right)
-        ids = np.array([m[3] for m in members])
-        least = ids.copy()
-        while True:
-            before = least.copy()
-            np.minimum.at(least, x, before[y])
-            np.minimum.at(least, y, least[x])
-            if (before == least).all():
-                break
-        out = np.flatnonzero(least != ids)
-        return ids[out].tolist(), least[out].tolist()
+    def of_place(members: list[tuple]) -> tuple[list[bytes], list[bytes]]:
+        of = _components([unpack(m[3]) for m in members])
+        out = np.flatnonzero(of != np.arange(len(of)))
+        return [members[i][2] for i in out], [members[of[i]][2] for i in out]
 
     place: list[tuple] = []
     for b in batches:
         a, c = [], []
-        for m in zip(*(b.column(k).to_pylist() for k in ("bucket", "meet", "block", "rep", "shingles")), strict=True):
+        for m in zip(*(b.column(k).to_pylist() for k in ("bucket", "meet", "rep", "shingles")), strict=True):
             if place and place[0][:2] != m[:2]:
                 if len(place) > 1:
                     u, v = of_place(place)
                     a, c = a + u, c + v
                 place = []
             place.append(m)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
     if len(place) > 1:
         u, v = of_place(place)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["a", "b"])
 
 
-def families(sets: DataFrame) -> DataFrame:
-    """``doc, family`` of ``doc, shingles``: families are the components of verified links, named by their least id.
+def families(units: DataFrame) -> DataFrame:
+    """``units`` (``doc, level, …, shingles``) with ``family`` instead of the shingles; units without shingles drop out.
 
-    One file stands for all with the same set.  All pairs of a bucket are compared, a frequent bucket in blocks of
-    which each two meet in a place of their own.
+    One unit stands for all of its level with the same set.  Buckets with the same members are compared once,
+    a frequent bucket in blocks of which each two meet in a place of their own.
     """
-    some = sets.where("shingles IS NOT NULL")
-    same = durable(some.withColumn("same", F.md5("shingles")).groupBy("same").agg(F.min("doc").alias("rep"), F.count("*").alias("n")), "origin-same")
-    reps = durable(some.join(same.select(F.col("rep").alias("doc")), "doc").select(F.col("doc").alias("rep"), "shingles"), "origin-sets")
-    member = durable(reps.mapInArrow(_banded, "rep long, bands array<long>").select("rep", F.explode("bands").alias("bucket")), "origin-bands")
-    many = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int"))
+    some = durable(units.where("shingles IS NOT NULL").withColumn("rep", F.unhex(F.md5(F.concat(F.col("level").cast("string").cast("binary"), "shingles")))), "origin-units")
+    same = some.groupBy("rep").agg(F.count("*").alias("n"), F.first("level").alias("level"), F.first("shingles").alias("shingles"))
+    reps = durable(same, "origin-sets")
+    member = durable(reps.mapInArrow(_banded, "rep binary, bands array<long>").select("rep", F.explode("bands").alias("bucket")), "origin-bands")
+    h = F.xxhash64("rep")
+    many = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).where("n > 1")
+    many = many.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int").alias("parts"))
     met = salted_join(member, many, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     met = met.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
-    met = met.select("bucket", "meet", "block", "rep").join(reps, "rep").repartition("bucket", "meet").sortWithinPartitions("bucket", "meet")
-    links = durable(met.mapInArrow(_links, "a long, b long").distinct(), "origin-links")
+    met = met.select("bucket", "meet", "rep").join(reps.select("rep", "shingles"), "rep").repartition("bucket", "meet").sortWithinPartitions("bucket", "meet")
+    links = durable(met.mapInArrow(_links, "a binary, b binary").distinct(), "origin-links")
     comp = connected_components(links, "a", "b")
-    named = same.join(comp, same["rep"] == comp["node"], "left").select("same", F.coalesce("component", "rep").alias("family"), "n")
-    return salted_join(some.select("doc", F.md5("shingles").alias("same")), named, "same", "n").select("doc", "family")
+    named = reps.select("rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("family"), "n")
+    return salted_join(some.drop("shingles"), named, "rep", "n").drop("rep")
 
 
 def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col: str, version_col: str | None = None) -> DataFrame:
-    """One row per id: ``doc, origin, family, family_files, family_projects, carries, literals``.
+    """One row per id: ``doc, origin, family, family_files, family_projects, own_files`` and the facts behind them.
 
-    ``origin`` is ``generated``, ``minified``, ``vendored``, ``data`` or null (hand-written).
+    ``origin`` is ``generated``, ``minified``, ``vendored``, ``data`` or null (hand-written).  ``family`` is the least
+    id of the files whose whole text is alike, ``own_files`` how many of them lie in the file's repository.
     """
     version = F.unix_micros(F.col(version_col).cast("timestamp")) if version_col else F.lit(0).cast("long")
     src = df.select(F.col(id_col).cast("long").alias("doc"), version.alias("version"), F.col(path_col).alias("path"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("doc is not null")
-    facts = src.mapInArrow(_facts, _FACTS)
-    cols = [x.strip().split(" ")[0] for x in _FACTS.split(", ")][2:]
-    facts = facts.groupBy("doc").agg(F.max_by(F.struct(*cols), F.struct("version", "n_tokens", "head_says")).alias("x")).select("doc", *[f"x.{c}" for c in cols])
+    cols = _FACT_NAMES[2:]
+    facts = src.mapInArrow(_facts, _FACTS).groupBy("doc").agg(F.max_by(F.struct(*cols), F.struct("version", "n_tokens", "head_says")).alias("x")).select("doc", *[f"x.{c}" for c in cols])
     facts = durable(facts, "origin-facts")
-    family = durable(families(facts.select("doc", "shingles")), "origin-families")
-    of = facts.select("doc", "project").join(family, "doc")
-    stats = of.groupBy("family").agg(
-        F.count("*").alias("family_files"),
-        F.approx_count_distinct("project").alias("family_projects"),
+    home = F.coalesce("project", F.concat(F.lit("\0"), F.col("doc").cast("string"))).alias("home")
+    whole = facts.select("doc", home, F.lit(0).alias("level"), F.lit("").alias("says"), "shingles")
+    lines = facts.select("doc", home, F.lit(1).alias("level"), F.explode("lines").alias("u")).select("doc", "home", "level", "u.says", "u.shingles")
+    of = durable(families(whole.union(lines)), "origin-families")
+    # a file counts once in a family of lines
+    once = of.groupBy("level", "family", "home", "doc").agg(F.max("says").alias("says"))
+    per = once.groupBy("level", "family", "home").agg(F.count("*").alias("own_files"), F.min("doc").alias("least"))
+    stats = per.groupBy("level", "family").agg(F.sum("own_files").alias("family_files"), F.count("*").alias("family_projects"), F.min("least").alias("least"))
+    stats = durable(stats, "origin-stats")
+    texts = salted_join(once.where("level = 0").select("doc", "family", "home"), stats.where("level = 0").select("family", "family_files", "family_projects", "least", F.col("family_files").alias("w")), "family", "w")
+    own = per.where("level = 0 AND own_files > 1").select(F.struct("family", "home").alias("place"), "own_files", F.col("own_files").alias("w"))
+    texts = salted_join(texts.withColumn("place", F.struct("family", "home")), own, "place", "w", "left").select("doc", F.col("least").alias("family"), "family_files", "family_projects", F.coalesce("own_files", F.lit(1)).alias("own_files"))
+    said = once.where("level = 1 AND says IN ('generated', 'vendored')")
+    told = stats.where("level = 1").join(said.groupBy("family").agg(F.count("*").alias("w")), "family").select("family", "family_files", "family_projects", "w")
+    told = salted_join(said.select("doc", "says", "family"), told, "family", "w").groupBy("doc").agg(
+        F.max(F.when(F.col("says") == "generated", F.col("family_files"))).alias("notice_files"), F.max(F.when(F.col("says") == "vendored", F.col("family_projects"))).alias("notice_projects")
     )
-    out = salted_join(facts.join(family, "doc", "left"), stats.withColumn("w", F.col("family_files")), "family", "w", "left")
-    literal_only = F.col("literals") >= 0.295
-    size = F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0)
-    recurs = F.coalesce(F.col("family_files") >= 2, F.lit(False))
-    code = (F.col("kind") == "code") & ((F.col("carries") >= ALONE) | ((F.col("carries") >= CARRIES) & recurs))
+    out = facts.drop("shingles", "lines").join(texts, "doc", "left").join(told, "doc", "left")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    out = out.select(
+        "doc", F.coalesce("family", "doc").alias("family"), one("family_files").alias("family_files"), one("family_projects").alias("family_projects"), one("own_files").alias("own_files"), one("notice_files").alias("notice_files"),
+        one("notice_projects").alias("notice_projects"), *[c for c in cols if c not in ("project", "shingles", "lines", "frame_size")], F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0).alias("frame_size"),
+    )
+    return out.select("doc", origin_of().alias("origin"), *[c for c in out.columns if c != "doc"])
+
+
+def origin_of() -> Column:
+    """The origin by a row's families and the exact check of what they indicate."""
+    windows = F.col("inner") >= INNER
+    copied = F.col("family_files") >= 2
+    # what the families indicate
+    within = (F.col("own_files") >= 2) | windows | copied
+    across = F.col("family_projects") >= 2
+    literal_only = (F.col("literals") >= 0.295) & (copied | windows)
+    # what path, head and text show
+    code = (F.col("kind") == "code") & (((F.col("carries") >= ALONE) & windows) | ((F.col("carries") >= CARRIES) & copied))
     # hand-written marks and statements recur as well, but not in so few forms
-    marks = (F.col("kind") == "marks") & (F.col("carries") >= 0.9) & (size <= TABLE) & (size > 0) & (recurs | literal_only)
+    marks = (F.col("kind") == "marks") & (F.col("carries") >= 0.9) & F.col("frame_size").between(1, TABLE) & (copied | literal_only)
     mechanical = (F.col("n_tokens") >= 60) & (code | marks)
-    origin = (
-        F.when(F.col("lock") | F.col("blob"), "data")
-        .when(F.col("path_says") == "vendored", "vendored")
-        .when(F.col("head_says") == "vendored", "vendored")
-        .when(F.col("head_says") == "generated", "generated")
-        .when(F.col("compact"), "minified")
+    return (
+        F.when((F.col("lock") | F.col("blob")) & (copied | windows), "data")
+        .when((F.col("path_says") == "vendored") & across, "vendored")
+        .when((F.col("head_says") == "vendored") & (across | (F.col("notice_projects") >= 2)), "vendored")
+        .when((F.col("head_says") == "generated") & (within | (F.col("notice_files") >= 2)), "generated")
+        .when(F.col("compact") & within, "minified")
         .when(mechanical, F.when(literal_only, "data").otherwise("generated"))
-        .when((F.col("path_says") == "generated") & (F.col("n_tokens") > 0) & (F.col("head_says") != "kept"), "generated")
+        .when((F.col("path_says") == "generated") & (F.col("n_tokens") > 0) & (F.col("head_says") != "kept") & within, "generated")
     )
-    return out.select("doc", origin.alias("origin"), "family", F.coalesce("family_files", F.lit(1)).alias("family_files"), F.coalesce("family_projects", F.lit(1)).alias("family_projects"), "carries", "literals", "path_says", "head_says", "compact", "lock", "blob", "kind", "n_tokens", size.cast("int").alias("frame_size"))
