@@ -70,9 +70,10 @@ def test_origins_of_files(spark):
         (5, "raw/js/a__b__m.js", mini, "javascript", None), (6, "raw/toml/a__b__pins.toml", lock, "toml", None), (7, "raw/js/a__b__node_modules_q-1.0.0_i.js", plain, "javascript", None),
         (8, None, None, None, None), (9, None, "", None, None), (10, "raw/python/a__b__v.py", "# Vendored: upstream z/q @ 0123456\n" + plain, None, None), (None, None, made("x"), None, None),
         (11, "raw/python/z__q__f.py", plain, "python", None),  # the same in another repository: clusters across repositories indicate vendoring
+        (12, "raw/go/c__d__w.go", "// Vendored: upstream k/l @ 7654321\nvar w = [3]int{7, 8, 9}\n", "go", None),  # so do notices of one wording
     ]
     df = spark.createDataFrame([(*r, "x", "y") for r in [*rows, rows[1]]], "file_id long, path string, text string, lang string, ingested_at timestamp, origin string, doc string")
     got = {r["doc"]: (r["origin"], r["family_files"]) for r in o.origins(df, "file_id", "path", "text", "lang", "ingested_at").collect()}
-    assert {k: v[0] for k, v in got.items()} == {1: None, 2: "generated", 3: "generated", 4: "data", 5: "minified", 6: "data", 7: "vendored", 8: None, 9: None, 10: "vendored", 11: None}
+    assert {k: v[0] for k, v in got.items()} == {1: None, 2: "generated", 3: "generated", 4: "data", 5: "minified", 6: "data", 7: "vendored", 8: None, 9: None, 10: "vendored", 11: None, 12: "vendored"}
     assert got[2][1] == got[3][1] == 2
     assert o.origins(df.where("false"), "file_id", "path", "text", "lang").count() == 0
