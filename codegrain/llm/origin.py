@@ -1,9 +1,10 @@
 """Problem 4: generated, minified, vendored and data files among source files.
 
-Units of every file are masked and clustered: the whole text (identifiers and numbers become kinds), windows of
-``WINDOW`` tokens of it, and each comment line at its head (names become one sign, plain words stay).  Units
-are banded by MinHash on their shingle sets; all links of a bucket are verified on whole sets, and families
-are the components of the links.  What a file's families are decides what it can be:
+Units of every file are masked and clustered.  Whole texts, as shingles of five masked words with the marks
+behind each, are banded by MinHash; all links of a bucket are verified on whole sets, and families are the
+components of the links.  Windows of ``WINDOW`` tokens of one text are banded and verified in the task that
+reads it.  Comment lines at a head are one family if they are equal once names are masked (plain words stay).
+What a file's families are decides what it can be:
 
 * a family within one repository (its whole text like another file there, most of its windows like others
   of its own, or its notice worded like that of other files) indicates generation or compaction;
@@ -24,6 +25,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,7 +42,6 @@ from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import salted_join
 
 K = 5
-LINE_K = 3  # words of a shingle of a comment line
 WINDOW = 64  # tokens of a window; a template of up to some fifty tokens shows as alike windows
 BANDS, ROWS = 14, 6  # two units at the least similarity share a band with a probability of 0.986
 INNER_BANDS, INNER_ROWS = 8, 3  # the same for windows of one file, compared where they are read: 0.997
@@ -104,7 +105,7 @@ _TAKEN = re.compile(
 _NAMES = re.compile(r"([A-Za-z][\w.-]*)/([A-Za-z][\w.-]*)|\b(?:of|from(?: the)?|upstream) ([A-Za-z][\w.-]*)|^([A-Za-z][\w.-]*) v?\d+\.\d")
 _BY = re.compile(r"(?:\(origin: ?|\bby )([\w.-]+)")
 _LOCK = re.compile(r"\"?(?:integrity|checksum|resolved|sha256|sha512|hash|digest|content-hash)\"?\s*[:=]\s*\"?(?:sha\d*[-:])?[0-9A-Za-z+/=:.-]{16,}|^\S+ v?\d+\.\d+\.\d+\S* (?:h1:|sha\d+:)", re.I | re.M)
-_RUN = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+_LOCK_WORDS = ("integrity", "checksum", "resolved", "sha256", "sha512", "hash", "digest", " h1:", " sha")
 #: Files that are lists of settings, rules or marks by nature, by extension or language.
 _PLAIN = frozenset("json json5 yaml yml toml css scss sass less markdown md mdx rst txt text shell sh bash zsh bat hcl tf ini cfg conf properties make makefile mk dockerfile csv tsv".split())
 _MARKS = frozenset("html htm xhtml xml svg vue sql".split())
@@ -214,38 +215,34 @@ _QUOTED = re.compile(r"`[^`]*`|\([^()]*\)|\"[^\"]*\"")
 _BEFORE_NAMES = frozenset("by with of from using via par aus von mit con por".split())
 
 
-def line_shingles(line: str) -> np.ndarray:
-    """The shingles of a comment line: plain words stay, names, paths, versions and numbers are one sign.
+def line_form(line: str) -> bytes | None:
+    """Digest of a comment line with plain words kept and every name, path, version and number as one sign.
 
     A word is a name if it is not all letters of one case, if it is quoted or in brackets, or if it stands where names
     do, behind a colon or a word such as "by".
     """
-    words = ["^"]
+    words: list[str] = []
+    name = False
     for m in _TERM.findall(_QUOTED.sub(" 0 ", line)):
         w = m.strip(".-/*=#:")
-        if not w:
-            continue
-        plain = w.isalpha() and (w.islower() or w.isupper() or w.istitle()) and words[-1] not in _BEFORE_NAMES and words[-1][-1] != ":"
-        words.append((w.lower() if plain else "0") + (":" if m[-1] == ":" else ""))
-    words.append("$")
-    if len(words) < LINE_K:
-        return np.zeros(0, np.uint64)
-    joined = [" ".join(words[i : i + LINE_K]).encode("utf-8", "surrogatepass") for i in range(len(words) - LINE_K + 1)]
-    return np.unique(mix64(np.array([zlib.crc32(x) | (len(x) & 255) << 32 for x in joined], np.uint64)) & _MASK)
+        if w:
+            plain = not name and w.isalpha() and (w.islower() or w.isupper() or w.istitle())
+            w = w.lower() if plain else "0"
+            words.append(w)
+            name = m[-1] == ":" or w in _BEFORE_NAMES
+    return _digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
 
 
 def is_lock(text: str) -> bool:
     """A resolved list: pinned versions with checksums, many of them."""
+    low = text.lower()
+    # each checksum has one of these words: too few of them need no search
+    if sum(low.count(w) for w in _LOCK_WORDS) < max(3, len(text) / 220):
+        return False
     sums = len(_LOCK.findall(text))
     return sums >= 3 and len(_PIN.findall(text)) >= 3 and sums * 220 >= len(text)
 
 
-def is_blob(text: str) -> bool:
-    """Most of the text is long unbroken runs of encoded data."""
-    size = len(text)
-    return size >= 200 and sum(m.end() - m.start() for m in _RUN.finditer(text)) >= BLOB * size
-
-
 def kind_of(path: str | None, lang: str | None, text: str) -> str:
     """``plain`` (settings, rules), ``marks`` (markup, statements) or ``code``."""
     names = {(lang or "").lower(), path.rpartition(".")[2].lower() if path and "." in path else ""}
@@ -261,12 +258,15 @@ def kind_of(path: str | None, lang: str | None, text: str) -> str:
 
 _MASK = np.uint64((1 << 40) - 1)
 _CODED = _WORD.copy()
-_CODED[[43, 47, 61]], _CODED[128:], _CODED[95] = True, False, False
+_CODED[[43, 47]], _CODED[128:], _CODED[95] = True, False, False
 LONG_RUN = 40  # bytes of an unbroken run of encoded data, which is one literal
 
 
-def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kind (1 identifier, 2 number or run of encoded data, else the byte) and row of every token; blanks are no tokens."""
+def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Kind (1 identifier, 2 number or run of encoded data, else the byte) and row of every token; blanks are no tokens.
+
+    Last the bytes of each row that lie in such runs.
+    """
     n = len(raw)
     word = _WORD[raw]
     first = np.zeros(n, bool)
@@ -286,6 +286,7 @@ def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     edge = np.flatnonzero(np.diff(np.concatenate(([0], _CODED[raw].astype(np.int8), [0]))))
     lo, hi = edge[::2], edge[1::2]
     long = hi - lo >= LONG_RUN
+    coded = np.bincount(np.searchsorted(offsets, lo[long], "right") - 1, weights=(hi - lo)[long], minlength=len(offsets) - 1)
     if long.any():
         lo, hi = np.searchsorted(at, lo[long]), np.searchsorted(at, hi[long])
         step = np.zeros(len(at) + 1, np.int64)
@@ -297,7 +298,7 @@ def masked_tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         kind[inside] = 2
         stay = ~inside | first
         kind, row = kind[stay], row[stay]
-    return kind, row
+    return kind, row, coded
 
 
 _ALL_WORDS = np.uint64(sum(1 << (8 * j) for j in range(K)))
@@ -313,15 +314,16 @@ class Frames:
     literals: np.ndarray  # literal tokens, of all
     n_tokens: np.ndarray
     inner: np.ndarray  # tokens in windows that have a family of windows of the same file, of all
+    coded: np.ndarray  # bytes in long runs of encoded data
 
 
 def frames(raw: np.ndarray, offsets: np.ndarray) -> Frames:
     rows_n = len(offsets) - 1
-    kind, row = masked_tokens(raw, offsets)
+    kind, row, coded = masked_tokens(raw, offsets)
     n_tokens = np.bincount(row, minlength=rows_n)
     number = np.bincount(row[(kind == 2) | (kind == 34) | (kind == 39)], minlength=rows_n)
     if len(kind) < K:
-        return Frames([np.zeros(0, np.uint64)] * rows_n, np.zeros(rows_n, np.int64), np.zeros(rows_n), number / np.maximum(n_tokens, 1), n_tokens, np.zeros(rows_n))
+        return Frames([np.zeros(0, np.uint64)] * rows_n, np.zeros(rows_n, np.int64), np.zeros(rows_n), number / np.maximum(n_tokens, 1), n_tokens, np.zeros(rows_n), coded)
     acc = np.zeros(len(kind) - K + 1, np.uint64)
     for j in range(K):
         acc = (acc << np.uint64(8)) | kind[j : len(kind) - K + 1 + j]
@@ -329,21 +331,45 @@ def frames(raw: np.ndarray, offsets: np.ndarray) -> Frames:
     key = np.sort((row[: len(acc)][ok].astype(np.uint64) << np.uint64(40)) | acc[ok])
     new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.concatenate((new, [len(key)])))
-    key = key[new]
-    of = (key >> np.uint64(40)).astype(np.int64)
+    of = (key[new] >> np.uint64(40)).astype(np.int64)
     per_row = np.bincount(of, weights=count, minlength=rows_n)
     often = count >= np.maximum(4, per_row[of] * 0.008)
     size = np.bincount(of[often], minlength=rows_n)
     share = np.bincount(of[often], weights=count[often], minlength=rows_n) / np.maximum(per_row, 1)
-    bounds = np.searchsorted(of, np.arange(rows_n + 1))
-    key &= _MASK
     first = np.searchsorted(row, np.arange(rows_n))
     slot = (np.arange(len(row)) - first[row]) // WINDOW
     begins = np.concatenate(([True], (row[1:] != row[:-1]) | (slot[1:] != slot[:-1])))
     window = np.cumsum(begins) - 1
     kin = alike_windows(window[: len(acc)][ok], acc[ok], row[begins])
     inner = np.bincount(row, weights=kin[window], minlength=rows_n) / np.maximum(n_tokens, 1)
-    return Frames([key[bounds[i] : bounds[i + 1]] for i in range(rows_n)], size, share, number / np.maximum(n_tokens, 1), n_tokens, inner)
+    return Frames(word_shingles(kind, row, rows_n), size, share, number / np.maximum(n_tokens, 1), n_tokens, inner, coded)
+
+
+def distinct(key: np.ndarray) -> np.ndarray:
+    key = np.sort(key)
+    return key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+
+
+def word_shingles(kind: np.ndarray, row: np.ndarray, rows_n: int) -> list[np.ndarray]:
+    """Per row, the set of its shingles of ``K`` masked words, each with the marks behind it."""
+    word = np.flatnonzero(kind <= 2)
+    if len(word) < K:
+        return [np.zeros(0, np.uint64)] * rows_n
+    at = np.maximum.accumulate(np.where(kind <= 2, np.arange(len(kind)), word[0]))  # the word a mark stands behind
+    part = np.where(row == row[at], mix64(kind * np.uint64(0x9E3779B97F4A7C15) + (np.arange(len(kind)) - at).astype(np.uint64)), np.uint64(0))
+    unit = np.add.reduceat(part, word)
+    prose = unit == mix64(np.array([0x9E3779B97F4A7C15], np.uint64))[0]  # an identifier without a mark
+    n = len(word) - K + 1
+    acc, plain = np.zeros(n, np.uint64), np.ones(n, bool)
+    for j in range(K):
+        acc = acc * np.uint64(0xD1342543DE82EF95) + unit[j : j + n]
+        plain &= prose[j : j + n]
+    of = row[word]
+    ok = (of[:n] == of[K - 1 :]) & ~plain  # runs of words are prose
+    key = distinct((of[:n][ok].astype(np.uint64) << np.uint64(40)) | (mix64(acc[ok]) & _MASK))
+    bounds = np.searchsorted(key >> np.uint64(40), np.arange(rows_n + 1, dtype=np.uint64))
+    key &= _MASK
+    return [key[bounds[i] : bounds[i + 1]] for i in range(rows_n)]
 
 
 def alike_windows(window: np.ndarray, shingle: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -353,7 +379,7 @@ def alike_windows(window: np.ndarray, shingle: np.ndarray, row: np.ndarray) -> n
     one; neighbours in a MinHash bucket, and each with the first of it, are verified on whole sets.
     """
     out = np.zeros(len(row), bool)
-    key = np.unique((window.astype(np.uint64) << np.uint64(40)) | shingle)
+    key = distinct((window.astype(np.uint64) << np.uint64(40)) | shingle)
     of, key = (key >> np.uint64(40)).astype(np.int64), key & _MASK
     some, start = np.unique(of, return_index=True)
     if len(some) < 2:
@@ -443,13 +469,13 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, n_bands: int, n_rows: int, a
 
 # ------------------------------------------------------------------ the operator
 
-_LINE = "struct<says:string,shingles:binary>"
-_FACTS = f"doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, inner float, n_tokens long, frame_size int, shingles binary, lines array<{_LINE}>"
+_LINE = "struct<says:string,form:binary>"
+_FACTS = f"doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, inner float, n_tokens long, frame_size int, rep binary, shingles binary, lines array<{_LINE}>"
 _FACT_NAMES = [x.split(" ")[0] for x in _FACTS.split(", ")]
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([("says", pa.string()), ("shingles", pa.binary())]))]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("says", pa.string()), ("form", pa.binary())]))]
     for b in batches:
         offsets, raw = text_buffers(b.column("text"))
         ids, versions, paths, langs = (b.column(c).to_pylist() for c in ("doc", "version", "path", "lang"))
@@ -474,24 +500,27 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = head_lines(text)
                 says = statements(head, owner, repo)
                 stated = "kept" if "kept" in says else next((s for s in says if s), "")
-                lines = [{"says": s, "shingles": pack(x)} for s, x in zip(says, map(line_shingles, head), strict=True) if len(x)]
+                lines = [{"says": s, "form": x} for s, x in zip(says, map(line_form, head), strict=True) if x]
+                shingles = pack(f.sets[i]) if len(f.sets[i]) else None
                 compact = size >= 200 and long[i] >= 0.6 * size and blank[i] <= 0.1 * size
                 rows.append((
-                    ids[lo + i], versions[lo + i], f"{owner}/{repo}" if owner else None, said_by_path(path), stated, bool(compact), is_lock(text), is_blob(text), kind_of(path, langs[lo + i], text),
-                    float(f.carries[i]), float(f.literals[i]), float(f.inner[i]), int(f.n_tokens[i]), int(f.size[i]), pack(f.sets[i]) if len(f.sets[i]) else None, lines,
+                    ids[lo + i], versions[lo + i], f"{owner}/{repo}" if owner else None, said_by_path(path), stated, bool(compact), is_lock(text), size >= 200 and bool(f.coded[i] >= BLOB * size), kind_of(path, langs[lo + i], text),
+                    float(f.carries[i]), float(f.literals[i]), float(f.inner[i]), int(f.n_tokens[i]), int(f.size[i]), shingles and _digest(shingles), shingles, lines,
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FACT_NAMES)
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [unpack(x) for x in b.column("shingles").to_pylist()]
         sizes = np.array([len(x) for x in sets], np.int64)
         found = signatures(np.concatenate(sets), sizes, BANDS, ROWS) if len(sets) else np.zeros((0, BANDS), np.uint64)
-        level = b.column("level").to_numpy().astype(np.uint64)  # texts and lines do not meet
-        found = mix64(found + level[:, None] * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
         offsets = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["rep", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int64).ravel()))], names=["rep", "bands"])
 
 
 def _components(sets: list[np.ndarray]) -> np.ndarray:
@@ -555,22 +584,23 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def families(units: DataFrame) -> DataFrame:
-    """``units`` (``doc, level, …, shingles``) with ``family`` instead of the shingles; units without shingles drop out.
+    """``units`` (``doc, rep, …, shingles``) with ``family`` instead of ``rep`` and shingles; rows without ``rep`` drop out.
 
-    One unit stands for all of its level with the same set.  Buckets with the same members are compared once,
-    a frequent bucket in blocks of which each two meet in a place of their own.
+    ``rep`` is the digest of the set, and one unit stands for all with the same.  Buckets with the same members are
+    compared once, a frequent bucket in blocks of which each two meet in a place of their own.
     """
-    some = durable(units.where("shingles IS NOT NULL").withColumn("rep", F.unhex(F.md5(F.concat(F.col("level").cast("string").cast("binary"), "shingles")))), "origin-units")
-    same = some.groupBy("rep").agg(F.count("*").alias("n"), F.first("level").alias("level"), F.first("shingles").alias("shingles"))
-    reps = durable(same, "origin-sets")
-    member = durable(reps.mapInArrow(_banded, "rep binary, bands array<long>").select("rep", F.explode("bands").alias("bucket")), "origin-bands")
+    some = units.where("rep IS NOT NULL")
+    reps = durable(some.groupBy("rep").agg(F.count("*").alias("n"), F.first("shingles").alias("shingles")), "origin-sets")
+    member = reps.mapInArrow(_banded, "rep binary, bands array<long>").select("rep", F.explode("bands").alias("bucket"))
     h = F.xxhash64("rep")
+    # buckets of several members, each kept once per set of members
     many = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).where("n > 1")
     many = many.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int").alias("parts"))
+    many = durable(many, "origin-buckets")
     met = salted_join(member, many, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     met = met.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
     met = met.select("bucket", "meet", "rep").join(reps.select("rep", "shingles"), "rep").repartition("bucket", "meet").sortWithinPartitions("bucket", "meet")
-    links = durable(met.mapInArrow(_links, "a binary, b binary").distinct(), "origin-links")
+    links = met.mapInArrow(_links, "a binary, b binary").distinct()
     comp = connected_components(links, "a", "b")
     named = reps.select("rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("family"), "n")
     return salted_join(some.drop("shingles"), named, "rep", "n").drop("rep")
@@ -588,27 +618,24 @@ def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col:
     facts = src.mapInArrow(_facts, _FACTS).groupBy("doc").agg(F.max_by(F.struct(*cols), F.struct("version", "n_tokens", "head_says")).alias("x")).select("doc", *[f"x.{c}" for c in cols])
     facts = durable(facts, "origin-facts")
     home = F.coalesce("project", F.concat(F.lit("\0"), F.col("doc").cast("string"))).alias("home")
-    whole = facts.select("doc", home, F.lit(0).alias("level"), F.lit("").alias("says"), "shingles")
-    lines = facts.select("doc", home, F.lit(1).alias("level"), F.explode("lines").alias("u")).select("doc", "home", "level", "u.says", "u.shingles")
-    of = durable(families(whole.union(lines)), "origin-families")
-    # a file counts once in a family of lines
-    once = of.groupBy("level", "family", "home", "doc").agg(F.max("says").alias("says"))
-    per = once.groupBy("level", "family", "home").agg(F.count("*").alias("own_files"), F.min("doc").alias("least"))
-    stats = per.groupBy("level", "family").agg(F.sum("own_files").alias("family_files"), F.count("*").alias("family_projects"), F.min("least").alias("least"))
-    stats = durable(stats, "origin-stats")
-    texts = salted_join(once.where("level = 0").select("doc", "family", "home"), stats.where("level = 0").select("family", "family_files", "family_projects", "least", F.col("family_files").alias("w")), "family", "w")
-    own = per.where("level = 0 AND own_files > 1").select(F.struct("family", "home").alias("place"), "own_files", F.col("own_files").alias("w"))
+    of = durable(families(facts.select("doc", home, "rep", "shingles")), "origin-families")
+    per = of.groupBy("family", "home").agg(F.count("*").alias("own_files"), F.min("doc").alias("least"))
+    per = durable(per, "origin-homes")
+    # only families of several files; the others are told by their absence
+    stats = per.groupBy("family").agg(F.sum("own_files").alias("family_files"), F.count("*").alias("family_projects"), F.min("least").alias("least")).where("family_files > 1")
+    texts = salted_join(of, stats.withColumn("w", F.col("family_files")), "family", "w")
+    own = per.where("own_files > 1").select(F.struct("family", "home").alias("place"), "own_files", F.col("own_files").alias("w"))
     texts = salted_join(texts.withColumn("place", F.struct("family", "home")), own, "place", "w", "left").select("doc", F.col("least").alias("family"), "family_files", "family_projects", F.coalesce("own_files", F.lit(1)).alias("own_files"))
-    said = once.where("level = 1 AND says IN ('generated', 'vendored')")
-    told = stats.where("level = 1").join(said.groupBy("family").agg(F.count("*").alias("w")), "family").select("family", "family_files", "family_projects", "w")
-    told = salted_join(said.select("doc", "says", "family"), told, "family", "w").groupBy("doc").agg(
-        F.max(F.when(F.col("says") == "generated", F.col("family_files"))).alias("notice_files"), F.max(F.when(F.col("says") == "vendored", F.col("family_projects"))).alias("notice_projects")
-    )
-    out = facts.drop("shingles", "lines").join(texts, "doc", "left").join(told, "doc", "left")
-    one = lambda c: F.coalesce(F.col(c), F.lit(1))
+    # lines of one form; a file counts once
+    lines = facts.select("doc", home, F.explode("lines").alias("u")).groupBy("u.form", "doc").agg(F.max("home").alias("home"), F.max("u.says").alias("says"))
+    told = lines.groupBy("form").agg(F.count("*").alias("files"), F.min("home").alias("lo"), F.max("home").alias("hi"), F.count_if(F.expr("says IN ('generated', 'vendored')")).alias("w")).where("w > 0 AND files > 1")
+    told = salted_join(lines.where("says IN ('generated', 'vendored')"), told.select("form", "files", (F.col("lo") < F.col("hi")).alias("apart"), "w"), "form", "w")
+    told = told.groupBy("doc").agg(F.max(F.when(F.col("says") == "generated", F.col("files"))).alias("notice_files"), F.max((F.col("says") == "vendored") & F.col("apart")).alias("notice_apart"))
+    out = facts.drop("rep", "shingles", "lines").join(texts, "doc", "left").join(told, "doc", "left")
+    one = lambda c: F.coalesce(F.col(c), F.lit(1)).alias(c)
     out = out.select(
-        "doc", F.coalesce("family", "doc").alias("family"), one("family_files").alias("family_files"), one("family_projects").alias("family_projects"), one("own_files").alias("own_files"), one("notice_files").alias("notice_files"),
-        one("notice_projects").alias("notice_projects"), *[c for c in cols if c not in ("project", "shingles", "lines", "frame_size")], F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0).alias("frame_size"),
+        "doc", F.coalesce("family", "doc").alias("family"), one("family_files"), one("family_projects"), one("own_files"), one("notice_files"), F.coalesce("notice_apart", F.lit(False)).alias("notice_apart"),
+        *[c for c in cols if c not in ("project", "rep", "shingles", "lines", "frame_size")], F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0).alias("frame_size"),
     )
     return out.select("doc", origin_of().alias("origin"), *[c for c in out.columns if c != "doc"])
 
@@ -629,7 +656,7 @@ def origin_of() -> Column:
     return (
         F.when((F.col("lock") | F.col("blob")) & (copied | windows), "data")
         .when((F.col("path_says") == "vendored") & across, "vendored")
-        .when((F.col("head_says") == "vendored") & (across | (F.col("notice_projects") >= 2)), "vendored")
+        .when((F.col("head_says") == "vendored") & (across | F.col("notice_apart")), "vendored")
         .when((F.col("head_says") == "generated") & (within | (F.col("notice_files") >= 2)), "generated")
         .when(F.col("compact") & within, "minified")
         .when(mechanical, F.when(literal_only, "data").otherwise("generated"))
