@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import _WORD, mix64, row_chunks, text_buffers
+from codegrain.llm.similarity import docs_bitmap, with_slot
 from codegrain.operators.durable import durable
 from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import salted_join
@@ -432,19 +432,9 @@ def common(keys: np.ndarray, first: np.ndarray, size: np.ndarray, pairs: np.ndar
     return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(pairs))
 
 
-def pack(shingles: np.ndarray) -> bytes:
-    """A set of 40-bit shingles, sorted, byte by byte of all of them."""
-    return zlib.compress(np.ascontiguousarray(shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 4::-1].T).tobytes(), 1)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(5, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, 4::-1] = planes.T
-    return out.view("<u8").ravel()
-
-
-_SEEDS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SKETCH = 256  # bits of a sketch: one of each of as many MinHashes
+FAR = 47  # bits that sketches of sets at the least similarity differ in at most, but for three pairs in a million
+_SEEDS = mix64(np.arange(1, BANDS * ROWS + SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def signatures(keys: np.ndarray, sizes: np.ndarray, n_bands: int, n_rows: int, at_once: int = 1 << 16) -> np.ndarray:
@@ -470,12 +460,12 @@ def signatures(keys: np.ndarray, sizes: np.ndarray, n_bands: int, n_rows: int, a
 # ------------------------------------------------------------------ the operator
 
 _LINE = "struct<says:string,form:binary>"
-_FACTS = f"doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, inner float, n_tokens long, frame_size int, rep binary, shingles binary, lines array<{_LINE}>"
+_FACTS = f"doc long, version long, project string, path_says string, head_says string, compact boolean, lock boolean, blob boolean, kind string, carries float, literals float, inner float, n_tokens long, frame_size int, rep binary, bands array<long>, sketch binary, n_shingles int, lines array<{_LINE}>"
 _FACT_NAMES = [x.split(" ")[0] for x in _FACTS.split(", ")]
 
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.struct([("says", pa.string()), ("form", pa.binary())]))]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.list_(pa.struct([("says", pa.string()), ("form", pa.binary())]))]
     for b in batches:
         offsets, raw = text_buffers(b.column("text"))
         ids, versions, paths, langs = (b.column(c).to_pylist() for c in ("doc", "version", "path", "lang"))
@@ -490,6 +480,12 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             long = np.bincount(line_row, weights=np.where(length > 200, length, 0), minlength=hi - lo)
             total = np.concatenate(([0], np.cumsum((part == 32) | (part == 9))))
             blank = total[at[1:]] - total[at[:-1]]
+            sizes = np.array([len(x) for x in f.sets], np.int64)
+            some = np.flatnonzero(sizes)
+            place = np.cumsum(sizes > 0) - 1
+            keys = np.concatenate(f.sets)
+            banded = signatures(keys, sizes[some], BANDS, ROWS).astype(np.int64).tolist() if len(some) else []
+            drawn = sketches(keys, sizes[some]) if len(some) else []
             texts = b.column("text").slice(lo, hi - lo).to_pylist()
             rows = []
             for i, text in enumerate(texts):
@@ -501,11 +497,11 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 says = statements(head, owner, repo)
                 stated = "kept" if "kept" in says else next((s for s in says if s), "")
                 lines = [{"says": s, "form": x} for s, x in zip(says, map(line_form, head), strict=True) if x]
-                shingles = pack(f.sets[i]) if len(f.sets[i]) else None
+                own = (_digest(f.sets[i].tobytes()), banded[place[i]], drawn[place[i]]) if sizes[i] else (None, None, None)
                 compact = size >= 200 and long[i] >= 0.6 * size and blank[i] <= 0.1 * size
                 rows.append((
                     ids[lo + i], versions[lo + i], f"{owner}/{repo}" if owner else None, said_by_path(path), stated, bool(compact), is_lock(text), size >= 200 and bool(f.coded[i] >= BLOB * size), kind_of(path, langs[lo + i], text),
-                    float(f.carries[i]), float(f.literals[i]), float(f.inner[i]), int(f.n_tokens[i]), int(f.size[i]), shingles and _digest(shingles), shingles, lines,
+                    float(f.carries[i]), float(f.literals[i]), float(f.inner[i]), int(f.n_tokens[i]), int(f.size[i]), *own, int(sizes[i]), lines,
                 ))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_FACT_NAMES)
 
@@ -514,13 +510,65 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sketches(keys: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The sketch of each of the sets that follow each other in ``keys``."""
+    mixed, starts = mix64(keys), np.cumsum(sizes) - sizes
+    bits = np.empty((len(sizes), SKETCH), bool)
+    for j, seed in enumerate(_SEEDS[BANDS * ROWS :]):
+        bits[:, j] = np.minimum.reduceat(mixed * seed, starts) >> np.uint64(20) & np.uint64(1)
+    return [x.tobytes() for x in np.packbits(bits, axis=1)]
+
+
+def _places(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each place (equal ``keys``), which follow each other; places of one row are left out."""
+    place: list[tuple] = []
     for b in batches:
-        sets = [unpack(x) for x in b.column("shingles").to_pylist()]
-        sizes = np.array([len(x) for x in sets], np.int64)
-        found = signatures(np.concatenate(sets), sizes, BANDS, ROWS) if len(sets) else np.zeros((0, BANDS), np.uint64)
-        offsets = pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32())
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(offsets, pa.array(found.astype(np.int64).ravel()))], names=["rep", "bands"])
+        for m in zip(*(b.column(k).to_pylist() for k in (*keys, *rest)), strict=True):
+            if place and place[0][: len(keys)] != m[: len(keys)]:
+                if len(place) > 1:
+                    yield place
+                place = []
+            place.append(m)
+    if len(place) > 1:
+        yield place
+
+
+def _stars(found: Iterator[tuple[list, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Links of members to the first of their component."""
+    a: list = []
+    c: list = []
+    for ids, of in found:
+        out = np.flatnonzero(of != np.arange(len(of)))
+        a += [ids[i] for i in out]
+        c += [ids[of[i]] for i in out]
+        if len(a) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+            a, c = [], []
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+
+
+def near(sketch: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The first member of each member's component, links being pairs whose sketches are near."""
+    of = np.full(len(size), -1)
+    left = np.arange(len(size))
+    while len(left):
+        root, left = left[0], left[1:]
+        of[root] = root
+        queue = np.array([root])
+        while len(queue) and len(left):
+            some, queue = queue[:64], queue[64:]
+            ok = np.bitwise_count(sketch[some][:, None, :] ^ sketch[left][None, :, :]).sum(axis=2, dtype=np.int32) <= FAR
+            ok &= (size[some][:, None] * DEN >= size[left][None, :] * NUM) & (size[left][None, :] * DEN >= size[some][:, None] * NUM)
+            hit = left[ok.any(axis=0)]
+            of[hit] = root
+            queue = np.concatenate((queue, hit))
+            left = left[of[left] < 0]
+    return of
+
+
+def _near_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    places = _places(batches, ("bucket", "meet"), ("doc", "sketch", "n_shingles"))
+    yield from _stars(([m[2] for m in p], near(np.frombuffer(b"".join(m[3] for m in p), np.uint64).reshape(len(p), -1), np.array([m[4] for m in p]))) for p in places)
 
 
 def _components(sets: list[np.ndarray]) -> np.ndarray:
@@ -560,50 +608,63 @@ def _components(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the members of each place, to the first of their component there; rows of a place follow each other."""
+    places = _places(batches, ("coarse", "meet"), ("doc", "shingles"))
+    yield from _stars(([m[2] for m in p], _components([np.frombuffer(m[3], np.uint64) for m in p])) for p in places)
 
-    def of_place(members: list[tuple]) -> tuple[list[bytes], list[bytes]]:
-        of = _components([unpack(m[3]) for m in members])
-        out = np.flatnonzero(of != np.arange(len(of)))
-        return [members[i][2] for i in out], [members[of[i]][2] for i in out]
 
-    place: list[tuple] = []
-    for b in batches:
-        a, c = [], []
-        for m in zip(*(b.column(k).to_pylist() for k in ("bucket", "meet", "rep", "shingles")), strict=True):
-            if place and place[0][:2] != m[:2]:
-                if len(place) > 1:
-                    u, v = of_place(place)
-                    a, c = a + u, c + v
-                place = []
-            place.append(m)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(c, pa.binary())], names=["a", "b"])
-    if len(place) > 1:
-        u, v = of_place(place)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["a", "b"])
+def _meeting(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``meet``, those of a place together: frequent keys in blocks of which each two meet."""
+    parts = F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int").alias("parts")
+    met = salted_join(rows, sizes.select(key, "n", parts), key, "n").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    met = met.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
+    return met.drop("parts", "block")
+
+
+def _sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc, rep, shingles`` of the texts of ``df`` (``doc, text``) whose ids are in ``wanted`` (``doc``), and a few more."""
+    shared = df.sparkSession.sparkContext.broadcast(docs_bitmap(wanted))
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(shared.value, np.int64)
+        for b in batches:
+            slot = b.column("slot").to_numpy()
+            take = pa.array(np.flatnonzero((bitmap[slot >> 6] >> (slot & 63)) & 1))
+            if not len(take):
+                continue
+            ids, text = b.column("doc").take(take), b.column("text").take(take)
+            offsets, raw = text_buffers(text)
+            for lo, hi in row_chunks(offsets):
+                kind, row, _ = masked_tokens(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                found = [x.tobytes() for x in word_shingles(kind, row, hi - lo)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], names=["doc", "rep", "shingles"])
+
+    return with_slot(df).mapInArrow(work, "doc long, rep binary, shingles binary")
 
-def families(units: DataFrame) -> DataFrame:
-    """``units`` (``doc, rep, …, shingles``) with ``family`` instead of ``rep`` and shingles; rows without ``rep`` drop out.
 
-    ``rep`` is the digest of the set, and one unit stands for all with the same.  Buckets with the same members are
-    compared once, a frequent bucket in blocks of which each two meet in a place of their own.
+def families(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``doc, home, family`` of ``facts`` (``doc, home, rep, bands, sketch, n_shingles``) that have shingles.
+
+    ``rep`` is the digest of the set, and the least id with one stands for all.  In each bucket, members whose
+    sketches are near are linked; components of these links are the coarse families, in which all pairs are
+    verified on whole sets, read once more from ``texts`` (``doc, text``).  Frequent buckets and coarse families
+    are cut into blocks of which each two meet in a place of their own.
     """
-    some = units.where("rep IS NOT NULL")
-    reps = durable(some.groupBy("rep").agg(F.count("*").alias("n"), F.first("shingles").alias("shingles")), "origin-sets")
-    member = reps.mapInArrow(_banded, "rep binary, bands array<long>").select("rep", F.explode("bands").alias("bucket"))
-    h = F.xxhash64("rep")
-    # buckets of several members, each kept once per set of members
-    many = member.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("s"), F.bit_xor(h).alias("x")).where("n > 1")
-    many = many.groupBy("n", "s", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.ceil(F.col("n") / F.lit(PER_BLOCK)).cast("int").alias("parts"))
-    many = durable(many, "origin-buckets")
-    met = salted_join(member, many, "bucket", "n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    met = met.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
-    met = met.select("bucket", "meet", "rep").join(reps.select("rep", "shingles"), "rep").repartition("bucket", "meet").sortWithinPartitions("bucket", "meet")
-    links = met.mapInArrow(_links, "a binary, b binary").distinct()
+    some = facts.where("rep IS NOT NULL")
+    first = F.min_by(F.struct("bands", "sketch", "n_shingles"), "doc").alias("x")
+    reps = durable(some.groupBy("rep").agg(F.min("doc").alias("doc"), F.count("*").alias("n"), first).select("rep", "doc", "n", "x.*"), "origin-sets")
+    member = reps.select("doc", F.explode("bands").alias("bucket"))
+    many = durable(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "origin-buckets")
+    met = _meeting(member, many, "bucket").join(reps.select("doc", "sketch", "n_shingles"), "doc")
+    alike = durable(met.repartition("bucket", "meet").sortWithinPartitions("bucket", "meet").mapInArrow(_near_links, "a long, b long").distinct(), "origin-near")
+    coarse = connected_components(alike, "a", "b").select(F.col("node").alias("doc"), F.col("component").alias("coarse"))
+    wanted = durable(coarse.join(reps.select("doc", "rep"), "doc"), "origin-coarse")
+    # texts delivered twice, and ids whose later text is another, fall out here
+    sets = _sets(texts, wanted).join(wanted, ["doc", "rep"]).groupBy("doc").agg(F.first(F.struct("coarse", "shingles")).alias("x")).select("doc", "x.*")
+    met = _meeting(durable(sets, "origin-shingles"), wanted.groupBy("coarse").agg(F.count("*").alias("n")), "coarse")
+    links = durable(met.repartition("coarse", "meet").sortWithinPartitions("coarse", "meet").mapInArrow(_links, "a long, b long").distinct(), "origin-links")
     comp = connected_components(links, "a", "b")
-    named = reps.select("rep", "n").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("family"), "n")
-    return salted_join(some.drop("shingles"), named, "rep", "n").drop("rep")
+    named = reps.select("rep", "n", "doc").join(comp.select(F.col("node").alias("doc"), "component"), "doc", "left").select("rep", F.coalesce("component", "doc").alias("family"), "n")
+    return salted_join(some.select("doc", "home", "rep"), named, "rep", "n").drop("rep")
 
 
 def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col: str, version_col: str | None = None) -> DataFrame:
@@ -618,24 +679,23 @@ def origins(df: DataFrame, id_col: str, path_col: str, text_col: str, lang_col:
     facts = src.mapInArrow(_facts, _FACTS).groupBy("doc").agg(F.max_by(F.struct(*cols), F.struct("version", "n_tokens", "head_says")).alias("x")).select("doc", *[f"x.{c}" for c in cols])
     facts = durable(facts, "origin-facts")
     home = F.coalesce("project", F.concat(F.lit("\0"), F.col("doc").cast("string"))).alias("home")
-    of = durable(families(facts.select("doc", home, "rep", "shingles")), "origin-families")
-    per = of.groupBy("family", "home").agg(F.count("*").alias("own_files"), F.min("doc").alias("least"))
-    per = durable(per, "origin-homes")
+    of = durable(families(facts.select("doc", home, "rep", "bands", "sketch", "n_shingles"), src.select("doc", "text")), "origin-families")
+    per = durable(of.groupBy("family", "home").agg(F.count("*").alias("own_files")), "origin-homes")
     # only families of several files; the others are told by their absence
-    stats = per.groupBy("family").agg(F.sum("own_files").alias("family_files"), F.count("*").alias("family_projects"), F.min("least").alias("least")).where("family_files > 1")
+    stats = per.groupBy("family").agg(F.sum("own_files").alias("family_files"), F.count("*").alias("family_projects")).where("family_files > 1")
     texts = salted_join(of, stats.withColumn("w", F.col("family_files")), "family", "w")
     own = per.where("own_files > 1").select(F.struct("family", "home").alias("place"), "own_files", F.col("own_files").alias("w"))
-    texts = salted_join(texts.withColumn("place", F.struct("family", "home")), own, "place", "w", "left").select("doc", F.col("least").alias("family"), "family_files", "family_projects", F.coalesce("own_files", F.lit(1)).alias("own_files"))
+    texts = salted_join(texts.withColumn("place", F.struct("family", "home")), own, "place", "w", "left").select("doc", "family", "family_files", "family_projects", F.coalesce("own_files", F.lit(1)).alias("own_files"))
     # lines of one form; a file counts once
     lines = facts.select("doc", home, F.explode("lines").alias("u")).groupBy("u.form", "doc").agg(F.max("home").alias("home"), F.max("u.says").alias("says"))
     told = lines.groupBy("form").agg(F.count("*").alias("files"), F.min("home").alias("lo"), F.max("home").alias("hi"), F.count_if(F.expr("says IN ('generated', 'vendored')")).alias("w")).where("w > 0 AND files > 1")
     told = salted_join(lines.where("says IN ('generated', 'vendored')"), told.select("form", "files", (F.col("lo") < F.col("hi")).alias("apart"), "w"), "form", "w")
     told = told.groupBy("doc").agg(F.max(F.when(F.col("says") == "generated", F.col("files"))).alias("notice_files"), F.max((F.col("says") == "vendored") & F.col("apart")).alias("notice_apart"))
-    out = facts.drop("rep", "shingles", "lines").join(texts, "doc", "left").join(told, "doc", "left")
+    out = facts.drop("rep", "bands", "sketch", "n_shingles", "lines").join(texts, "doc", "left").join(told, "doc", "left")
     one = lambda c: F.coalesce(F.col(c), F.lit(1)).alias(c)
     out = out.select(
         "doc", F.coalesce("family", "doc").alias("family"), one("family_files"), one("family_projects"), one("own_files"), one("notice_files"), F.coalesce("notice_apart", F.lit(False)).alias("notice_apart"),
-        *[c for c in cols if c not in ("project", "rep", "shingles", "lines", "frame_size")], F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0).alias("frame_size"),
+        *[c for c in cols if c not in ("project", "rep", "bands", "sketch", "n_shingles", "lines", "frame_size")], F.when((F.col("frame_size") >= 3) & (F.col("carries") >= 0.3), F.col("frame_size")).otherwise(0).alias("frame_size"),
     )
     return out.select("doc", origin_of().alias("origin"), *[c for c in out.columns if c != "doc"])
 

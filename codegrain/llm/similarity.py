@@ -222,6 +222,10 @@ def docs_bitmap(ids: DataFrame, bits: int = 24) -> bytes:
     return out.tobytes()
 
 
+def with_slot(df: DataFrame, bits: int = 24) -> DataFrame:
+    return df.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 << bits)))
+
+
 def shingle_table(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
     """``(doc, fp, shingles)`` of the texts whose ids are in ``wanted`` (``doc``): packed 6-byte hashes."""
     spark = df.sparkSession
@@ -245,8 +249,7 @@ def shingle_table(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(n_words)), prints.slice(lo, len(n_words)), packed], names=["doc", "fp", "shingles"])
 
     src = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    src = src.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 << 24)))
-    return src.mapInArrow(work, "doc long, fp binary, shingles binary")
+    return with_slot(src).mapInArrow(work, "doc long, fp binary, shingles binary")
 
 
 def unpack(packed: bytes) -> np.ndarray:

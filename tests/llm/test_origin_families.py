@@ -14,22 +14,28 @@ def sets(*ranges):
 
 def members(rows):
     cols = list(zip(*rows, strict=True))
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "meet", "rep", "shingles"])
-
-
-def test_packed_sets_come_back():
-    for x in sets((0, 1), (0, 300)):
-        x = np.sort(x)
-        assert (o.unpack(o.pack(x)) == x).all()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["coarse", "meet", "doc", "shingles"])
 
 
 def test_members_that_fail_the_first_one_are_linked():
-    x = [o.pack(np.sort(s)) for s in sets((0, 100), (1000, 1200), (1010, 1210))]
-    rows = [(7, 0, bytes([i + 1]), s) for i, s in enumerate(x)] + [(8, 1, bytes([i + 1]), s) for i, s in enumerate(x)]
+    x = [np.sort(s).tobytes() for s in sets((0, 100), (1000, 1200), (1010, 1210))]
+    rows = [(7, 0, i + 1, s) for i, s in enumerate(x)] + [(8, 1, i + 1, s) for i, s in enumerate(x)]
     parts = [members(rows[:2]), members(rows[2:])]  # a place may lie in two batches
     got = [r for b in o._links(iter(parts)) for r in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)]
-    assert got == [(b"\x03", b"\x02"), (b"\x03", b"\x02")]
+    assert got == [(3, 2), (3, 2)]
+
+
+def test_sketches_of_alike_sets_are_near():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        n = int(rng.integers(5, 300))
+        a = rng.integers(0, 1 << 40, n, dtype=np.uint64)
+        b = np.concatenate((a[: -(-8 * n // 9)], rng.integers(0, 1 << 40, n - -(-8 * n // 9), dtype=np.uint64)))  # 0.8 or more
+        x = np.frombuffer(b"".join(o.sketches(np.concatenate((a, b)), np.array([n, n]))), np.uint64).reshape(2, -1)
+        assert o.near(x, np.array([n, n])).tolist() == [0, 0]
+    far = np.frombuffer(b"".join(o.sketches(np.arange(600, dtype=np.uint64), np.array([300, 300]))), np.uint64).reshape(2, -1)
+    assert o.near(far, np.array([300, 300])).tolist() == [0, 1]
 
 
 def test_components_equal_brute_force():
@@ -64,12 +70,10 @@ def test_windows_of_one_file_are_families():
 
 
 def test_families_are_closed_over_links(spark):
-    chain = [o.pack(np.sort(s)) for s in sets((1, 201), (11, 211), (21, 221), (31, 231), (5000, 5200))]
-    df = spark.createDataFrame([(i + 1, o._digest(s), bytes(s)) for i, s in enumerate([*chain, chain[4]])] + [(9, None, None)], "doc long, rep binary, shingles binary")
-    family = {r["doc"]: bytes(r["family"]) for r in o.families(df).collect()}
-    assert set(family) == {1, 2, 3, 4, 5, 6}
-    assert family[1] == family[2] == family[3] == family[4] != family[5] == family[6]
-    assert o.families(df.where("false")).count() == 0
+    body = lambda a: "".join(f"x{'+-*/%&|^'[i % 8]}{'<>=!'[i // 8 % 4]}(y[{'!' * (i // 32)}z]);\n" for i in range(a, a + 120))
+    rows = [(i + 1, f"raw/c/a__b{i}__f.c", body(x), "c") for i, x in enumerate((0, 9, 18, 27, 300, 300))] + [(9, "raw/c/a__b__f.c", "", "c")]
+    got = run(spark, rows)
+    assert {d: r["family"] for d, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 9}
 
 
 COLS = "id long, path string, text string, lang string"
