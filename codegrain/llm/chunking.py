@@ -2,7 +2,8 @@
 
 An item starts as atomic segments (its lines; a line longer than a piece can be is cut hard).  Adjacent
 pairs wait in a heap, weakest boundary first (inside a line, then a line end, then a block end), smaller
-result first among equals, and are merged while the merged size plus the overlap stays in the limit.  Two
+result first among equals, and are merged while the merged size plus the overlap (what there is to repeat of it:
+a piece that starts at token 3 repeats 3) stays in the limit.  Two
 neighbours merge only if the right one ends at a boundary at least as strong as the one given up, so every
 piece ends at a block end if one is in reach, else at a line end if one is in reach, else anywhere.
 
@@ -35,16 +36,16 @@ def segments(offsets: np.ndarray, blocks: np.ndarray, limit: int, overlap: int)
     strength: list[int] = []
     at = 0
     is_block = np.isin(offsets, blocks)
-    # the first piece has no overlap and so holds lines that no other piece could: if one of them stands
-    # before the last block end in reach, what comes before that end is one segment
+    # a piece near the item's start has less to repeat and so holds lines that no later piece could: if one of
+    # them stands before the last block end in reach of the first, what comes before that end is one segment
     near = np.flatnonzero(is_block & (offsets > 0) & (offsets <= limit))
-    if len(near) and np.any(np.diff(offsets[: near[-1] + 1])[1:] > limit - overlap):
+    if len(near) and np.any(np.diff(offsets[: near[-1] + 1]) > limit - np.minimum(overlap, offsets[: near[-1]])):
         at = int(offsets[near[-1]])
         ends.append(at)
         strength.append(BLOCK)
         offsets, is_block = offsets[near[-1] :], is_block[near[-1] :]
     for end, block in zip(offsets[1:].tolist(), is_block[1:].tolist(), strict=True):
-        while end - at > (room := limit - (overlap if at else 0)):
+        while end - at > (room := limit - min(overlap, at)):
             at += room
             ends.append(at)
             strength.append(CUT)
@@ -71,7 +72,7 @@ def merge(ends: list[int], strength: list[int], limit: int, overlap: int) -> lis
             return
         version[i] += 1
         whole = ends[j] - start[i]
-        if strength[j] >= strength[i] and whole + (overlap if start[i] else 0) <= limit:
+        if strength[j] >= strength[i] and whole + min(overlap, start[i]) <= limit:
             heapq.heappush(heap, (strength[i], whole, i, version[i]))
 
     for i in range(n):

@@ -19,7 +19,7 @@ def check(offsets, blocks, limit, overlap):
     for n, (frm, own, to, _) in enumerate(got):
         assert own == at and to > own and to - frm <= limit
         assert frm == (max(own - over, got[n - 1][0]) if n else 0)
-        reach = own + limit - (over if own else 0)
+        reach = own + limit - min(over, own)  # a piece near the start has less to repeat
         if total > limit:
             if any(own < e <= reach for e in ends):
                 assert to in ends
@@ -38,6 +38,16 @@ def test_random_items_end_naturally():
         check(pos, blocks, rng.choice([8, 16, 64]), rng.choice([0, 1, 5, 7, 200, None]))
 
 
+def test_many_small_items_end_naturally():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        pos = sorted({rng.randrange(60) for _ in range(rng.randint(2, 9))})
+        if len(pos) > 1:
+            check(pos, [p for p in pos if rng.random() < 0.4], rng.randint(2, 20), rng.randint(0, 19))
+    got = pieces(np.array([0, 1, 11, 17, 22]), np.zeros(0, np.int64), 12, 6)
+    assert [p[2] for p in got] == [11, 17, 22]
+
+
 def test_awkward_items():
     none = np.zeros(0, np.int64)
     assert pieces(none, none, 10, 0) == [] and pieces(np.array([5]), none, 10, 0) == []
