@@ -146,7 +146,7 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     from codegrain.llm.confusables import normalized
 
     out = normalized(table(spark, d, "documents"), "doc_id", "text", "ingested_at")
-    return out.select(F.col("doc").alias("doc_id"), "form", "changed", "has_visible")
+    return out.select(F.col("doc").alias("doc_id"), "form", "changed", "has_visible", "n_mixed", "n_whole")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

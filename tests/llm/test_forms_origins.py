@@ -25,6 +25,29 @@ def test_other_scripts_keep_their_spelling():
         assert normalize(a) != normalize(b)
 
 
+@pytest.mark.parametrize(
+    ("odd", "plain", "verdict"),
+    [
+        ("\u03b1pple", "apple", "mixed"), ("\u03f2ode", "code", ""), ("\u0475ector", "vector", "mixed"), ("\u13da\u13a2\u13aa\u13a1\u13a2", "START", "whole"), ("\u2c98\u2c9e\u2ca6", "MOT", "whole"), ("\ua4dd\ua4f2\ua4da", "FIC", "whole"),
+        ("\u0261rid", "grid", ""), ("\u0441\u043e\u0440\u0435", "cope", "whole"), ("\u03c3\u03bf\u03c6\u03cc\u03c2", "\u03c3\u03bf\u03c6\u03cc\u03c2", ""), ("slo\u0432o", "\u0455\u04cf\u043e\u0432\u043e", "mixed"), ("\u0441\u043bo\u0432\u03bf", "\u0441\u043b\u043e\u0432\u043e", "mixed"),
+    ],
+)
+def test_script_sets(odd, plain, verdict):
+    tally = {}
+    assert normalize(odd, tally) == plain and normalize(plain) == plain
+    assert list(tally) == ([verdict] if verdict else [])
+
+
+def test_forms_are_stable():
+    import random
+
+    rng = random.Random(2)
+    letters = "aopcxyTHB\u0430\u043e\u0440\u0441\u0443\u04af\u0432\u044c\u03bf\u03b1\u03c3\u03c6\u0391\u0392\u13aa\ua4d0\u0561\u0585\u65e7\u0301"
+    for _ in range(5000):
+        w = "".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))
+        assert normalize(normalize(w)) == normalize(w)
+
+
 def test_look_alike_pairs(spark):
     rows = [(1, "paypal x"), (2, "раураl x"), (3, "paypal x"), (4, "PayPal x"), (5, "\u200b"), (6, "\u200c"), (7, None), (8, ""), (2, "раураl x"), (None, "paypal x")]
     df = spark.createDataFrame([(i, t, "f", "g") for i, t in rows], "doc_id long, text string, form string, doc string")
