@@ -253,6 +253,81 @@ def pack(f: dict[str, np.ndarray], name: str) -> dict[str, np.ndarray]:
     return out | {"w2": w2}
 
 
+def group_sums(row: np.ndarray, keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Rows, keys and sums of the groups of ``row`` and ``keys``: first the number of members, then each of ``values``."""
+    code, spans = row.astype(np.int64), []
+    for k in keys:
+        low = int(k.min(initial=0))
+        spans.append((low, int(k.max(initial=0)) - low + 1))
+        code = code * spans[-1][1] + (k - low)
+    top = int(code.max(initial=0)) + 1
+    if top <= 4 * len(code) + (1 << 16):
+        n = np.bincount(code, minlength=top)
+        found = np.flatnonzero(n)
+        sums = [n[found], *[np.bincount(code, weights=v, minlength=top)[found].astype(np.int64) for v in values]]
+    else:
+        found, at, n = np.unique(code, return_inverse=True, return_counts=True)
+        sums = [n, *[np.bincount(at, weights=v, minlength=len(found)).astype(np.int64) for v in values]]
+    out = []
+    for low, span in reversed(spans):
+        out.append(found % span + low)
+        found = found // span
+    return found, out[::-1], sums
+
+
+def summed_rows(df: DataFrame, text_col: str, names: list[str], work_on, *carry: str, also: tuple[str, ...] = ()) -> DataFrame:  # noqa: ANN001
+    """Small rows of whole texts: the carried columns and the long columns ``names``.
+
+    ``work_on(offsets, raw, *also)`` gets the texts of a chunk (and the values of the columns ``also``) and returns the
+    place of each of its rows in the chunk and its columns.  Nothing but these rows leaves the task that reads a text.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            offsets, raw = text_buffers(column("text"))
+            extra = [column(f"also_{i}").to_pylist() for i in range(len(also))]
+            for lo, hi in row_chunks(offsets):
+                at, values = work_on(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]], *[x[lo:hi] for x in extra])
+                take = pa.array(lo + at)
+                cols = [column(f"carry_{i}").take(take) for i in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(v, pa.int64()) for v in values]], names=[*carry, *names])
+
+    src = df.select(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], *[F.col(c).alias(f"also_{i}") for i, c in enumerate(also)], F.col(text_col).alias("text"))
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry]
+    return src.mapInArrow(work, ", ".join([*kinds, *[f"`{n}` long" for n in names]]))
+
+
+def feature_counts(df: DataFrame, text_col: str, name: str, fields: list[str], *carry: str) -> DataFrame:
+    """Tokens of each text per combination of fields: the carried columns, the fields and ``n``, counted in the batch."""
+
+    def count(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        f = features(offsets, raw, name)
+        row, keys, sums = group_sums(f["row"], [f[x] for x in fields], [])
+        return row, [*keys, *sums]
+
+    return summed_rows(df, text_col, [*fields, "n"], count, *carry)
+
+
+def token_arrays(df: DataFrame, id_col: str, text_col: str, name: str, fields: list[str], *carry: str) -> DataFrame:
+    """One row per text: the id, carried columns, ``n`` and an array per field, without a shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, raw = text_buffers(batch.column(batch.schema.get_field_index("text")))
+            rest = [n for n in batch.schema.names if n != "text"]
+            for lo, hi in row_chunks(offsets):
+                f = features(offsets[lo : hi + 1] - offsets[lo], raw[offsets[lo] : offsets[hi]], name)
+                bounds = np.searchsorted(f["row"], np.arange(hi - lo + 1)).astype(np.int32)
+                cols = [batch.column(batch.schema.get_field_index(n)).slice(lo, hi - lo) for n in rest]
+                cols += [pa.array(np.diff(bounds)), *[pa.ListArray.from_arrays(pa.array(bounds), pa.array(f[x].astype(np.int32))) for x in fields]]
+                yield pa.RecordBatch.from_arrays(cols, names=[*rest, "n", *fields])
+
+    src = df.select(F.col(id_col), *carry, F.col(text_col).alias("text"))
+    kinds = [f"`{x.name}` {x.dataType.simpleString()}" for x in src.drop("text").schema]
+    return src.mapInArrow(work, ", ".join([*kinds, "n int", *[f"`{x}` array<int>" for x in fields]]))
+
+
 def token_rows(df: DataFrame, id_col: str, text_col: str, name: str, fields: list[str], *carry: str, packed: bool = False) -> DataFrame:
     """One row per token: the id, the carried columns, ``tok_ix`` and the asked fields.
 

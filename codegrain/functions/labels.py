@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.functions.featurize import SPACE, SYMBOL, WORD, Tokens, features
-from codegrain.functions.lexing import NUMERIC, SCREAMING
+from codegrain.functions.featurize import SPACE, SYMBOL, WORD, Tokens, features, group_sums, summed_rows
+from codegrain.functions.lexing import CLASSES, NUMERIC, SCREAMING
 from codegrain.functions.shingles import row_chunks, text_buffers
 
 _NUMERIC, _SCREAMING = re.compile(NUMERIC), re.compile(SCREAMING)
@@ -138,6 +138,200 @@ def scored_rows(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataF
     return src.mapInArrow(work, ", ".join(kinds))
 
 
+def scored_counts(df: DataFrame, text_col: str, keys: list[str], *carry: str) -> DataFrame:
+    """Scored tokens of each text per combination of ``keys`` (gold, pred, prev_gold, kind): carried columns, keys, ``n, chars``."""
+
+    def count(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        t, gold = _gold(offsets, raw)
+        s = np.flatnonzero(gold >= 0)
+        row, g = t.row[s], gold[s]
+        before = np.full(len(s), -1)
+        if len(s) > 1:
+            before[1:] = np.where(row[1:] == row[:-1], g[:-1], -1)
+        have = {"gold": g, "pred": np.where(t.kind[s] == SYMBOL, 8, 0), "prev_gold": before, "kind": t.kind[s]}
+        row, found, sums = group_sums(row, [have[k] for k in keys], [t.length[s]])
+        return row, [*found, *sums]
+
+    return summed_rows(df, text_col, [*keys, "n", "chars"], count, *carry)
+
+
+def raw_counts(df: DataFrame, text_col: str, *carry: str) -> DataFrame:
+    """``tokens, labelled`` (those with a rule class) of each text that has tokens."""
+
+    def count(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        t, gold = _gold(offsets, raw)
+        row, _, sums = group_sums(t.row, [], [gold >= 0])
+        return row, sums
+
+    return summed_rows(df, text_col, ["tokens", "labelled"], count, *carry)
+
+
+def boundary_counts(df: DataFrame, text_col: str, *carry: str) -> DataFrame:
+    """Per text: scored tokens beside a gold transition (``adjacent``), and transitions of gold and prediction (``tp, predicted, gold``), and ``scored`` tokens."""
+
+    def count(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        t, gold = _gold(offsets, raw)
+        s = np.flatnonzero(gold >= 0)
+        row, g, p = t.row[s], gold[s], np.where(t.kind[s] == SYMBOL, 8, 0)
+        same = row[1:] == row[:-1]
+        cut, guess = np.zeros(len(s) + 1, bool), np.zeros(len(s), bool)
+        cut[1:-1] = same & (g[1:] != g[:-1])
+        guess[1:] = same & (p[1:] != p[:-1])
+        mine = cut[:-1]
+        row, _, sums = group_sums(row, [], [mine | cut[1:], mine & guess, guess, mine])
+        return row, [*sums[1:], sums[0]]
+
+    return summed_rows(df, text_col, ["adjacent", "tp", "predicted", "gold", "scored"], count, *carry)
+
+
+def gold_spans(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, class, start and end of the merged spans of scored tokens."""
+    t, gold = _gold(offsets, raw)
+    s = np.flatnonzero(gold >= 0)
+    row, g = t.row[s], gold[s]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (g[1:] != g[:-1]))) if len(s) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.concatenate((first[1:], [len(s)])) - 1 if len(s) else first
+    base = t.bounds[row[first]]
+    return row[first], g[first], t.start[s[first]] - base, t.end[s[last]] - base
+
+
+def span_rows(df: DataFrame, text_col: str, *carry: str) -> DataFrame:
+    """``cls, start, end`` of the merged spans of each text."""
+
+    def spans(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        row, *rest = gold_spans(offsets, raw)
+        return row, rest
+
+    return summed_rows(df, text_col, ["cls", "start", "end"], spans, *carry)
+
+
+def piece_counts(df: DataFrame, text_col: str, *carry: str) -> DataFrame:
+    """Per text: ``n_spans``, ``n_gaps`` between and around them, and the characters they cover; every text has a row."""
+
+    def count(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        n = len(offsets) - 1
+        lead = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        size = np.diff(lead[offsets])
+        row, _, start, end = gold_spans(offsets, raw)
+        fresh = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+        before = np.where(fresh, 0, np.concatenate(([0], end[:-1]))) if len(row) else start
+        stop = np.zeros(n, np.int64)
+        np.maximum.at(stop, row, end)
+        gaps = np.bincount(row, weights=start > before, minlength=n) + (size > stop)
+        return np.arange(n), [np.bincount(row, minlength=n), gaps.astype(np.int64), np.bincount(row, weights=end - start, minlength=n).astype(np.int64)]
+
+    return summed_rows(df, text_col, ["n_spans", "n_gaps", "covered"], count, *carry)
+
+
+def _aligned(offsets: np.ndarray, raw: np.ndarray, codes: list[str | None], layout: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Features, first token of each text (and one past the last), label of each token (-1 for none)."""
+    f = features(offsets, raw, layout)
+    row = f["row"]
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    label = np.full(len(row), -1, np.int64)
+    for i, code in enumerate(codes):
+        a, b = first[i], first[i + 1]
+        if a < b:
+            start, cls = run_starts(code)
+            label[a:b] = cls[np.searchsorted(start, f["start"][a:b], "right") - 1]
+    label[np.isin(f["kind"], (1, 2))] = -1
+    return f, first, label
+
+
+def aligned_counts(df: DataFrame, text_col: str, rle_col: str, layout: str, keys: list[str], *carry: str) -> DataFrame:
+    """Tokens of each text per combination of ``keys``: carried columns, keys and ``n``, counted in the batch.
+
+    Keys are fields of the layout, ``label`` (-1 for none) or ``chunk``, the number of the run of 512 tokens.
+    """
+
+    def count(offsets: np.ndarray, raw: np.ndarray, codes: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        f, first, label = _aligned(offsets, raw, codes, layout)
+        f |= {"label": label, "chunk": (np.arange(len(label)) - first[f["row"]]) // 512 if len(label) else label}
+        row, found, sums = group_sums(f["row"], [f[k] for k in keys], [])
+        return row, [*found, *sums]
+
+    return summed_rows(df, text_col, [*keys, "n"], count, *carry, also=(rle_col,))
+
+
+def construct_counts(df: DataFrame, text_col: str, rle_col: str, window: int, *carry: str) -> DataFrame:
+    """``win, complete``: complete comment and string runs of each window of ``window`` tokens with a scored token.
+
+    Runs are counted over scored tokens, within a window; a window of fewer than three of them has none.
+    """
+
+    def count(offsets: np.ndarray, raw: np.ndarray, codes: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        f, first, label = _aligned(offsets, raw, codes, "compact_v2")
+        s = np.flatnonzero(label >= 0)
+        row, lab = f["row"][s], label[s]
+        win = (s - first[row]) // window if len(s) else s
+        edge = np.ones(len(s) + 1, bool)
+        if len(s):
+            edge[1:-1] = (row[1:] != row[:-1]) | (win[1:] != win[:-1])
+        change = np.ones(len(s) + 1, bool)
+        if len(s):
+            change[1:-1] = edge[1:-1] | (lab[1:] != lab[:-1])
+        values = [(lab == c) & x for c in (1, 2) for x in (change[:-1], change[1:])]
+        row, (win,), (n, s1, e1, s2, e2) = group_sums(row, [win], values)
+        return row, [win, np.where(n >= 3, np.minimum(s1, e1) + np.minimum(s2, e2), 0)]
+
+    return summed_rows(df, text_col, ["win", "complete"], count, *carry, also=(rle_col,))
+
+
+BRACKETS = (("paren", 40, 41), ("brace", 123, 125), ("bracket", 91, 93))
+
+
+def depth_counts(df: DataFrame, text_col: str, rle_col: str, *carry: str) -> DataFrame:
+    """Per text: tokens behind a comment or string token, and tokens at depth 1 and 2 or more of each bracket.
+
+    Depth is a running sum cut at 0 afterwards: an unmatched closer has to be repaid.
+    """
+    names = ["after_comment", "after_string", *[f"{n}{k}" for n, _, _ in BRACKETS for k in (1, 2)]]
+
+    def count(offsets: np.ndarray, raw: np.ndarray, codes: list) -> tuple[np.ndarray, list[np.ndarray]]:
+        f, first, label = _aligned(offsets, raw, codes, "compact_v2")
+        row = f["row"]
+        before = np.full(len(row), -1)
+        if len(row):
+            before[1:] = np.where(row[1:] == row[:-1], label[:-1], -1)
+        values = [before == 1, before == 2]
+        symbol = f["kind"] == SYMBOL
+        for _, o, c in BRACKETS:
+            step = np.where(symbol, (f["first_char"] == o).astype(np.int64) - (f["first_char"] == c), 0)
+            total = np.concatenate(([0], np.cumsum(step)))
+            depth = total[1:] - total[first[row]] if len(row) else step
+            values += [depth >= 1, depth >= 2]
+        row, _, sums = group_sums(row, [], values)
+        return row, sums[1:]
+
+    return summed_rows(df, text_col, names, count, *carry, also=(rle_col,))
+
+
+def painted(df: DataFrame, id_col: str, length_col: str, spans_col: str, fill: int, gate: bool) -> DataFrame:
+    """One row per text: the id and ``rle``, the run-length code of its characters' classes.
+
+    ``spans_col`` is an array of (start, end, type, confidence) in order: later spans overwrite, unknown types are
+    skipped, ends are cut to the text, characters of no span get ``fill``; with ``gate`` spans of a confidence under
+    1 are skipped too (none counts as 1).  A null length is 0, null spans are none.
+    """
+    known = {name: i for i, name in enumerate(CLASSES)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, spans in zip(b.column("n").to_pylist(), b.column("spans").to_pylist(), strict=True):
+                line = np.full(max(n or 0, 0), fill, np.int64)
+                for x in spans or []:
+                    if x is None or x["type"] not in known or (gate and x["confidence"] is not None and x["confidence"] < 1):
+                        continue
+                    line[max(x["start"] or 0, 0) : max(x["end"] or 0, 0)] = known[x["type"]]
+                out.append(encode_rle(line, np.ones(len(line), np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["id", "rle"])
+
+    src = df.select(F.col(id_col).alias("id"), F.col(length_col).cast("long").alias("n"), F.col(spans_col).cast("array<struct<start:long,end:long,type:string,confidence:double>>").alias("spans"))
+    return src.mapInArrow(work, f"id {src.schema['id'].dataType.simpleString()}, rle string").withColumnRenamed("id", id_col)
+
+
 def gold_rle(df: DataFrame, id_col: str, text_col: str, *carry: str) -> DataFrame:
     """One row per text: the id, carried columns and ``rle``, the run-length code of its rule classes."""
 
@@ -167,16 +361,8 @@ def aligned_rows(df: DataFrame, id_col: str, text_col: str, rle_col: str, layout
             rest = [n for n in batch.schema.names if n not in ("text", "rle")]
             codes = batch.column(batch.schema.get_field_index("rle")).to_pylist()
             for lo, hi, offsets, raw in _chunks(batch):
-                f = features(offsets, raw, layout)
+                f, first, label = _aligned(offsets, raw, codes[lo:hi], layout)
                 row = f["row"]
-                first = np.searchsorted(row, np.arange(hi - lo + 1))
-                label = np.full(len(row), -1, np.int64)
-                for i in range(hi - lo):
-                    a, b = first[i], first[i + 1]
-                    if a < b:
-                        start, cls = run_starts(codes[lo + i])
-                        label[a:b] = cls[np.searchsorted(start, f["start"][a:b], "right") - 1]
-                label[np.isin(f["kind"], (1, 2))] = -1
                 take = pa.array(lo + row)
                 ix = np.arange(len(row)) - first[row] if len(row) else row
                 cols = [batch.column(batch.schema.get_field_index(n)).take(take) for n in rest]

@@ -63,18 +63,31 @@ def weak_multiplier(accuracy: Column) -> Column:
 
 
 def weighted_sample(df: DataFrame, id_col: str, weight: str, size: int, seed: int) -> DataFrame:
-    """A rounded-expectation sample of about ``size`` draws: ``id, times``, one row per drawn id.
+    """``size`` draws with replacement, as ``id, times``, one row per drawn id; ``times`` sum to ``size``.
 
-    Each row is drawn floor or ceil of its mean size * weight / total times, by a uniform hashed from id and
-    seed.  This is not a draw with replacement: no row with a mean under 1 is drawn twice.  So the sample needs one global sum and no ordering; repeated runs agree.
+    Inverse CDF: rows in the order of a numeric id lie one after the other on an axis, each as long as its weight,
+    and each draw is a seeded uniform on it.  Weights count in whole units (fractions are scaled to 2^52 in all), so
+    repeated runs agree.  The axis is cut into stretches; rows and draws of one meet, so neither a heavy row nor
+    many draws gather in one task.  Null and negative weights are 0; if all are, there are no draws.
     """
-    total = df.agg(F.sum(weight)).first()[0] or 1.0
-    mean = F.col(weight) * F.lit(size / total)
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
-    whole = F.floor(mean)
-    # the whole part is certain, the rest is drawn
-    times = (whole + (u < mean - whole).cast("long")).cast("long")
-    return df.select(F.col(id_col), times.alias("times")).where("times > 0")
+    from codegrain.operators.curate import order_key
+    from codegrain.operators.durable import durable
+    from codegrain.operators.ordered import running_sum
+
+    raw = F.greatest(F.coalesce(F.col(weight), F.lit(0)), F.lit(0))
+    rows = df.select(F.col(id_col), raw.alias("__w"))
+    if rows.schema["__w"].dataType.simpleString() in ("double", "float"):
+        whole = rows.agg(F.sum("__w")).first()[0] or 1.0
+        rows = rows.withColumn("__w", F.floor(F.col("__w") / F.lit(whole) * F.lit(float(1 << 52))))
+    rows = durable(running_sum(order_key(rows.withColumn("__w", F.col("__w").cast("long")).where("__w > 0").withColumn("__all", F.lit(0)), id_col), ["__all"], "__key", [id_col], {"__lo": "__w"}).select(id_col, "__w", "__lo"), "sample-axis")
+    total, n = rows.agg(F.sum("__w"), F.count("*")).first()
+    stretch = max((total or 0) // max((n + size) // 20_000, 1), 1)
+    cells = F.sequence(F.floor(F.col("__lo") / stretch), F.floor((F.col("__lo") + F.col("__w") - 1) / stretch))
+    laid = rows.select(id_col, "__lo", (F.col("__lo") + F.col("__w")).alias("__hi"), F.explode(cells).alias("__cell"))
+    at = F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), 1, 15), 16, 10).cast("long"), F.lit(total or 1))
+    draws = df.sparkSession.range(size if total else 0).select(at.alias("__at")).withColumn("__cell", F.floor(F.col("__at") / stretch))
+    met = laid.join(draws, "__cell").where("__at >= __lo AND __at < __hi")
+    return met.groupBy(id_col).agg(F.count("*").alias("times"))
 
 
 def capped_passes(df: DataFrame, key: list[str], repo: str, size: str, budget: int, order: list[str]) -> DataFrame:
@@ -99,8 +112,9 @@ def folds(groups: DataFrame, lang: str, group: str, size: str, n_folds: int = 2,
     """Fold of each file group: largest first to the lightest fold of its language; -1 where groups are few.
 
     Groups are first summed to (language, size), so a language's greedy run works on the distinct sizes, not
-    on the groups; equal sizes are dealt out by their place in a distributed count.
+    on the groups; equal sizes are dealt out in the order of a numeric group, by a distributed count.
     """
+    from codegrain.operators.curate import order_key
     from codegrain.operators.ordered import running_sum
 
     sizes = groups.groupBy(lang, size).agg(F.count("*").alias("k"))
@@ -133,7 +147,7 @@ def folds(groups: DataFrame, lang: str, group: str, size: str, n_folds: int = 2,
 
     kinds = {f.name: f.dataType.simpleString() for f in groups.schema}
     plan = sizes.groupBy(lang).applyInPandas(greedy, f"`{lang}` {kinds[lang]}, `{size}` {kinds[size]}, lo long, hi long, fold int")
-    ranked = running_sum(groups.withColumn("__h", F.xxhash64(group)).withColumn("__one", F.lit(1)), [lang, size], "__h", [group], {"__rank": "__one"})
+    ranked = running_sum(order_key(groups.withColumn("__one", F.lit(1)), group), [lang, size], "__key", [group], {"__rank": "__one"})
     met = ranked.join(plan, [lang, size]).where("__rank >= lo AND __rank < hi").join(n, lang)
     fold = F.when(F.col("__n") < least, -1).when(F.col("fold") == -2, F.pmod(F.col("__rank") - F.col("lo"), F.lit(n_folds))).otherwise(F.col("fold"))
     return met.select(lang, group, size, fold.cast("int").alias("fold"))

@@ -15,11 +15,33 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
-def wanted_path(path: Column, extensions: Column) -> Column:
-    """Whether a path is a source file of a language with these extensions, outside skipped folders."""
+def wanted_path(path: Column, extensions: Column, stems: Column | None = None) -> Column:
+    """Whether a path is a source file of a language with these extensions or stems, outside skipped folders."""
     flat = F.regexp_replace(path, r"\\", "/")
     name = base_name(path)
-    return ~flat.rlike(dims.SKIP_PATH) & ~name.rlike(dims.SKIP_NAME) & F.exists(extensions, lambda e: F.endswith(F.lower(name), e))
+    mine = F.exists(extensions, lambda e: F.endswith(F.lower(name), e))
+    if stems is not None:
+        mine = mine | F.exists(stems, lambda s: (F.lower(name) == s) | F.startswith(F.lower(name), F.concat(s, F.lit("."))))
+    return ~flat.rlike(dims.SKIP_PATH) & ~name.rlike(dims.SKIP_NAME) & mine
+
+
+def stems_of(lang: Column) -> Column:
+    """File-name stems of a language, an empty array for most."""
+    rules = F.create_map(*[x for k, v in dims.STEMS.items() for x in (F.lit(k), F.array(*[F.lit(s) for s in v]))])
+    return F.coalesce(F.try_element_at(rules, lang), F.array().cast("array<string>"))
+
+
+def target_of(family: Column, large: bool) -> Column:
+    """The target language that a family of delivered shards is read as; null if it is to be dropped."""
+    rules = dims.FAMILIES_LARGE | dims.FAMILIES_IMPORT if large else dims.FAMILIES
+    targets = dims.TARGETS_LARGE if large else dims.TARGETS
+    name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), family), family)
+    return F.when(name.isin(*targets), name)
+
+
+def grammar_of(lang: Column) -> Column:
+    """Grammar id of a language; its own name where none differs."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in dims.GRAMMARS.items() for x in kv]), lang), lang)
 
 
 #: What counts as blank when a text is stripped.
@@ -73,8 +95,10 @@ def cap_duplicates(df: DataFrame, fingerprint: str, order: list[str], most: int
 def order_key(df: DataFrame, col: str) -> DataFrame:
     """``df`` with ``__key``, ``col`` stretched over the range of 64-bit hashes, order kept (not strictly)."""
     lo, hi = df.agg(F.min(col), F.max(col)).first()
-    step = (1 << 62) // max((hi or 0) - (lo or 0) + 1, 1)
-    return df.withColumn("__key", (F.col(col) - F.lit(lo or 0)) * F.lit(step) * 2 - F.lit(1 << 62))
+    step = (1 << 62) // max((hi or 0) - (lo or 0) + 1, 2)
+    # kept in range, as the key may be computed of rows that a filter behind it drops
+    within = F.least(F.greatest(F.col(col), F.lit(lo or 0)), F.lit(hi or 0))
+    return df.withColumn("__key", (within - F.lit(lo or 0)) * F.lit(step) * 2 - F.lit(1 << 62))
 
 
 def budget_cut(files: DataFrame, lang: str, order: str, size: str, budgets: dict) -> DataFrame:
@@ -125,15 +149,16 @@ def repair_splits(chunks: DataFrame, lang: str, split: str, order: list[str], sh
     """Languages without val, then test chunks get their first max(1, n // share) remaining train chunks.
 
     A language with a single train chunk fills val only.  Two passes; each counts, then ranks only the
-    languages that lack the split.
+    languages that lack the split.  The first column of ``order`` is numeric.
     """
     for missing in ("val", "test"):
         n = chunks.groupBy(lang).agg(F.count(F.when(F.col(split) == "train", 1)).alias("__train"), F.max((F.col(split) == missing).cast("int")).alias("__has"))
         need = n.where("coalesce(__has, 0) = 0 AND __train > 0").select(F.col(lang).alias("__lang"), F.greatest(F.lit(1), F.floor(F.col("__train") / share)).alias("__quota"))
         marked = chunks.join(F.broadcast(need), F.col(lang).eqNullSafe(F.col("__lang")), "left").drop("__lang")
-        w = Window.partitionBy(lang, split).orderBy(*order)
-        lacking = marked.where((F.col("__quota").isNotNull()) & (F.col(split) == "train")).withColumn("__r", F.row_number().over(w))
-        moved = lacking.withColumn(split, F.when(F.col("__r") <= F.col("__quota"), missing).otherwise(F.col(split))).drop("__r", "__quota")
+        lacking = marked.where(F.col("__quota").isNotNull() & (F.col(split) == "train")).withColumn("__one", F.lit(1))
+        # places in the order, counted over cells of its first column: a language of any size is spread
+        ranked = running_sum(order_key(lacking, order[0]), [lang], "__key", order, {"__r": "__one"})
+        moved = ranked.withColumn(split, F.when(F.col("__r") < F.col("__quota"), missing).otherwise(F.col(split))).drop("__r", "__quota", "__one", "__key")
         rest = marked.where(F.col("__quota").isNull() | ~F.col(split).eqNullSafe(F.lit("train"))).drop("__quota")
-        chunks = rest.unionByName(moved)
+        chunks = durable(rest.unionByName(moved), "repaired-splits")
     return chunks

@@ -1,7 +1,7 @@
 """Cutting lineage with tables written to a folder that all executors share.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in
-tests, a local temporary folder is used.  Tables live until the application ends (or until they are
+The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset and driver and
+executors are one process, as in tests, a local temporary folder is used, else there is an error.  Tables live until the application ends (or until they are
 dropped by name), because lazily evaluated results may still read them.
 """
 
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="codegrain-"))
         atexit.register(_remove_own)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.functions.featurize import features
+from codegrain.functions.featurize import features, group_sums
 from codegrain.functions.lexing import CLASSES
 from codegrain.functions.shingles import text_buffers
 from codegrain.operators.parallel import spread
@@ -210,6 +210,18 @@ class Lexer:
         src = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")))
         return src.mapInArrow(work, f"`{id_col}` {src.schema[0].dataType.simpleString()}, tok_ix int, start int, end int, cls int")
 
+    def class_counts(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """``id, cls, n``: tokens of each text by class, counted in the batch."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for places, f, cls in self._classes(b.column(1)):
+                    row, (kind,), (n,) = group_sums(f["row"], [cls], [])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places[row])), pa.array(kind, pa.int32()), pa.array(n, pa.int64())], names=[id_col, "cls", "n"])
+
+        src = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")))
+        return src.mapInArrow(work, f"`{id_col}` {src.schema[0].dataType.simpleString()}, cls int, n long")
+
     def spans(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """``id, spans``: neighbours of equal class merged, a span covering the blanks inside it."""
 

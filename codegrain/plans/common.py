@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.functions.featurize import token_rows
+from codegrain.functions.featurize import feature_counts, token_rows
 from codegrain.functions.lexing import NUMERIC, SCAN
 from codegrain.tables import table
 
@@ -41,11 +41,17 @@ def per_file(rows: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
     return each.groupBy("file_id", *keys).agg(*[F.max(n).alias(n) for n in sums])
 
 
+def once(rows: DataFrame, keys: list[str], *values: str, id_col: str = "file_id") -> DataFrame:
+    """Rows of texts delivered twice, once: their values are equal."""
+    return rows.groupBy(id_col, *keys).agg(*[F.max(v).alias(v) for v in values])
+
+
 def histogram(spark: SparkSession, d: str, layout: str, fields: list[str], *carry: str) -> DataFrame:
     """Number of tokens per combination of fields (and carried columns)."""
     keys = [*carry, *fields]
-    rows = tokens(spark, d, layout, fields, *carry)
-    return per_file(rows, keys, n=F.count("*")).groupBy(*keys).agg(F.sum("n").alias("n"))
+    rows = feature_counts(files(spark, d), "text", layout, fields, "file_id", *carry)
+    whole = once(rows, keys, "n").groupBy(*keys).agg(F.sum("n").alias("n"))
+    return whole.select(*carry, *[F.col(f).cast("int").alias(f) for f in fields], "n")
 
 
 _W = r"0-9A-Za-z_\x{80}-\x{10FFFF}"

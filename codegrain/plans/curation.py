@@ -9,9 +9,10 @@ from codegrain import dims
 from codegrain.functions.lexing import split_of
 from codegrain.operators import allocate as al
 from codegrain.operators import curate as cu
-from codegrain.plans.common import SQL_FILES, SQL_GOLD, file_values, files, one_per_file, per_file
-from codegrain.plans.labels import SQL_LABELLED, label_lines, labelled, scored
-from codegrain.plans.metrics import hits, weights, windows
+from codegrain.functions.labels import aligned_counts
+from codegrain.plans.common import SQL_FILES, SQL_GOLD, file_values, files, once, one_per_file, per_file
+from codegrain.plans.labels import SQL_LABELLED, label_lines, labelled_texts, scored
+from codegrain.plans.metrics import SQL_CONSTRUCTS, boosts, confusion, hits, weights, windows
 from codegrain.tables import table
 
 S = SparkSession
@@ -44,7 +45,7 @@ def S06_denylist(s: S, d: str) -> DataFrame:
 def S07_popularity(s: S, d: str) -> DataFrame:
     """The leading languages and their part of all shares."""
     dim = table(s, d, "lang_dim").where("pusher_share IS NOT NULL")
-    top = dim.orderBy(F.desc("pusher_share"), "lang").limit(10).select("lang", "pusher_share")
+    top = dim.orderBy(F.desc("pusher_share"), "lang").limit(25).select("lang", "pusher_share")
     return top.select("lang", F.round(F.col("pusher_share") / F.sum("pusher_share").over(Window.partitionBy()), 9).alias("weight"))
 
 
@@ -97,8 +98,11 @@ def K07_checksums(s: S, d: str) -> DataFrame:
 def F01_paths(s: S, d: str) -> DataFrame:
     f = one_per_file(s, d, "path", "lang").withColumn("alias", F.lower("lang")).drop("lang")
     dim = aliases(s, d).join(table(s, d, "lang_dim").select("lang", "file_exts"), "lang")
-    ok = cu.wanted_path(F.col("path"), F.col("file_exts"))
-    return f.where("path IS NOT NULL").join(F.broadcast(dim), "alias").groupBy("lang").agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"))
+    ok = cu.wanted_path(F.col("path"), F.col("file_exts"), cu.stems_of(F.col("lang")))
+    # files named by a stem, of whatever language
+    stem = F.lower(cu.base_name(F.col("path"))).rlike("^(" + "|".join(x.replace(".", r"\.") for v in dims.STEMS.values() for x in v) + r")($|\.)")
+    met = f.where("path IS NOT NULL").join(F.broadcast(dim), "alias")
+    return met.groupBy("lang").agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"), F.sum(stem.cast("long")).alias("by_stem"))
 
 
 def F02_size_band(s: S, d: str) -> DataFrame:
@@ -124,16 +128,21 @@ def F05_denylist(s: S, d: str) -> DataFrame:
 
 
 def F06_file_gate(s: S, d: str) -> DataFrame:
-    rows = per_file(labelled(s, d, "compact_v2", ["kind"]), ["line_no", "lang"], tokens=F.count("*"), labels=F.count("label"))
+    rows = once(aligned_counts(labelled_texts(s, d), "text", "rle", "compact_v2", ["label"], "file_id", "line_no", "lang"), ["line_no", "lang", "label"], "n")
+    one = rows.groupBy("file_id", "line_no", "lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("label") >= 0, F.col("n")).otherwise(0)).alias("labels"))
     ok = (F.col("tokens") >= 32) & (F.col("labels") >= 16)
-    return rows.groupBy("lang").agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"))
+    return one.groupBy("lang").agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"))
+
+
+def _chunks(s: S, d: str) -> DataFrame:
+    """``file_id, line_no, chunk_ix, tokens, labels`` of runs of 512 tokens."""
+    rows = once(aligned_counts(labelled_texts(s, d), "text", "rle", "compact_v2", ["chunk", "label"], "file_id", "line_no"), ["line_no", "chunk", "label"], "n")
+    return rows.groupBy("file_id", "line_no", F.col("chunk").cast("int").alias("chunk_ix")).agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("label") >= 0, F.col("n")).otherwise(0)).alias("labels"))
 
 
 def F07_chunk_gate(s: S, d: str) -> DataFrame:
-    rows = labelled(s, d, "compact_v2", ["kind"]).withColumn("chunk_ix", F.floor(F.col("tok_ix") / 512).cast("int"))
-    one = per_file(rows, ["line_no", "chunk_ix"], tokens=F.count("*"), labels=F.count("label"))
     ok = (F.col("tokens") >= 32) & (F.col("labels") >= 16)
-    return one.groupBy("chunk_ix").agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"), F.sum(F.when(ok, F.col("tokens")).otherwise(0)).alias("tokens"))
+    return _chunks(s, d).groupBy("chunk_ix").agg(F.sum(ok.cast("long")).alias("kept"), F.sum((~ok).cast("long")).alias("dropped"), F.sum(F.when(ok, F.col("tokens")).otherwise(0)).alias("tokens"))
 
 
 def F08_repos(s: S, d: str) -> DataFrame:
@@ -148,20 +157,28 @@ def F09_names(s: S, d: str) -> DataFrame:
 
 
 def F10_aliases(s: S, d: str) -> DataFrame:
-    f = one_per_file(s, d, "lang").withColumn("alias", F.lower("lang"))
-    met = f.drop("lang").join(F.broadcast(aliases(s, d)), "alias", "left")
-    return met.groupBy("lang").agg(F.count("*").alias("files"))
+    """Files by the target language that their family is read as; null counts those dropped."""
+    f = one_per_file(s, d, "lang").select(F.lower("lang").alias("family"))
+    each = f.select(F.explode(F.array(*[F.struct(F.lit(n).alias("target"), cu.target_of(F.col("family"), n == "large").alias("lang")) for n in ("compact", "large")])).alias("x")).select("x.*")
+    return each.groupBy("target", "lang").agg(F.count("*").alias("files"))
 
 
 def F11_grammars(s: S, d: str) -> DataFrame:
-    """Grammar id of each language; its own name where the table has none."""
-    m = F.create_map(*[F.lit(x) for kv in dims.FAMILIES_LARGE.items() for x in kv])
-    return table(s, d, "lang_dim").select("lang", F.coalesce(F.try_element_at(m, F.col("lang")), F.col("lang")).alias("grammar"))
+    """Grammar id of every target language and every language of the table."""
+    names = table(s, d, "lang_dim").select("lang").union(s.createDataFrame([(x,) for x in (*dims.TARGETS, *dims.GRAMMARS)], "lang string")).where("lang IS NOT NULL").distinct()
+    return names.select("lang", cu.grammar_of(F.col("lang")).alias("grammar"))
+
+
+BLOCK = 1_000
 
 
 def F12_valid_utf8(s: S, d: str) -> DataFrame:
-    one = file_values(s, d, F.is_valid_utf8("text").alias("ok"))
-    return one.groupBy("ok").agg(F.count("*").alias("files"))
+    """Texts as stored bytes, in blocks of 1,000: blocks that decode strictly, and those that cut a character."""
+    raw = F.col("text").cast("binary")
+    starts = F.when(F.octet_length("text") > 0, F.sequence(F.lit(1), F.octet_length("text"), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    ok = F.size(F.filter(starts, lambda i: F.is_valid_utf8(F.substring(raw, i, F.lit(BLOCK)))))
+    one = file_values(s, d, F.is_valid_utf8(raw).alias("whole"), F.when(F.col("text").isNotNull(), F.size(starts)).alias("blocks"), F.when(F.col("text").isNotNull(), ok).alias("valid"))
+    return one.groupBy("whole").agg(F.count("*").alias("files"), F.sum("blocks").alias("blocks"), F.sum("valid").alias("valid"))
 
 
 def F13_policy(s: S, d: str) -> DataFrame:
@@ -196,19 +213,67 @@ def J06_repo_overlap(s: S, d: str) -> DataFrame:
     return both.union(mine.join(cat, "repo", "left_anti").select("repo", F.lit(False).alias("known")))
 
 
+MODELS, CLASSES_N = 2, 9
+
+
+def joined_logits(wins: DataFrame, logits: DataFrame, key: str, values: str, width: int, made_for: str | None = None, digest: str | None = None) -> DataFrame:
+    """``wins`` with the cached vector of each window; a cache of another shape or data set is an error.
+
+    ``made_for`` is the digest of the data set that the cache names, ``digest`` that of the one at hand.
+    """
+    if made_for is not None and made_for != digest:
+        raise ValueError("the logits were made from another data set")
+    odd = logits.where(F.size(values) != width).limit(1).count()
+    if odd:
+        raise ValueError(f"the logits are not {width} wide")
+    return wins.join(logits, key, "left")
+
+
+def dataset_digest(wins: DataFrame) -> str:
+    """A digest of the windows' ids and places, whatever their order."""
+    r = wins.agg(F.count("*"), F.sum(F.xxhash64("win_id", "file_id", "tok_from", "tok_to").cast("decimal(38,0)"))).first()
+    return f"{r[0]}:{r[1]}"
+
+
+def _with_logits(s: S, d: str) -> DataFrame:
+    e = table(s, d, "embeddings").where("embedding IS NOT NULL").groupBy(F.col("vec_id").alias("win_id")).agg(F.first("embedding").alias("v"))
+    w = windows(s, d)
+    return joined_logits(w, e, "win_id", "v", 64, digest := dataset_digest(w), digest)
+
+
 def J07_logits(s: S, d: str) -> DataFrame:
-    """Windows joined with a vector by their number; rows without a partner show as missing."""
-    e = table(s, d, "embeddings").groupBy("vec_id").agg(F.max("label").alias("label"))
-    w = windows(s, d).withColumn("vec_id", F.col("lang_id").cast("long"))
-    return w.join(e, "vec_id", "left").groupBy("vec_id").agg(F.count("*").alias("windows"), F.count("label").alias("with_vector"))
+    """Windows with their cached vectors; windows without one show as missing."""
+    w = _with_logits(s, d)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return w.groupBy("split").agg(F.count("*").alias("windows"), F.count("v").alias("with_logits"), F.round(F.sum(total), 4).alias("total"))
+
+
+def mixed_models(models: list[Column], fold: Column) -> Column:
+    """Class scores of a window: the mean of the models trained on other folds, of all where the fold is -1."""
+    n = len(models)
+
+    def share(v: Column, m: int) -> Column:
+        weight = F.when(fold < 0, 1.0 / n).when(fold == m, 0.0).otherwise(1.0 / (n - 1))
+        return F.transform(v, lambda x: x.cast("double") * weight)
+
+    out = share(models[0], 0)
+    for m in range(1, n):
+        out = F.zip_with(out, share(models[m], m), lambda a, b: a + b)
+    return out
+
+
+def file_folds(s: S, d: str) -> DataFrame:
+    """``lang_id, file_id, size, fold`` of the files that the windows are from."""
+    g = windows(s, d).where("lang_id IS NOT NULL").groupBy("lang_id", "file_id").agg(F.count("*").alias("size"))
+    return al.folds(g, "lang_id", "file_id", "size")
 
 
 def J08_fold_mix(s: S, d: str) -> DataFrame:
-    """Vectors mixed by fold weights; fold -1 averages all."""
-    fold = F.when(F.col("lang_id").isNull(), -1).otherwise(F.pmod("lang_id", F.lit(2)))
-    w = windows(s, d).select(fold.cast("int").alias("fold"), (F.col("tok_to") - F.col("tok_from")).alias("a"), "n_labelled")
-    one = w.select("fold", F.when(F.col("fold") == 0, F.col("a")).when(F.col("fold") == 1, F.col("n_labelled")).otherwise((F.col("a") + F.col("n_labelled")) / 2).alias("x"))
-    return one.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("mix"))
+    """Class scores per window, mixed from two models by the fold of its file."""
+    met = _with_logits(s, d).where("v IS NOT NULL").join(file_folds(s, d).select("lang_id", "file_id", "fold"), ["lang_id", "file_id"])
+    mix = mixed_models([F.slice("v", m * CLASSES_N + 1, CLASSES_N) for m in range(MODELS)], F.col("fold"))
+    one = met.select("win_id", "fold", mix.alias("mix"))
+    return one.select("win_id", "fold", (F.array_position("mix", F.array_max("mix")) - 1).cast("int").alias("cls"), F.round(F.array_max("mix"), 6).alias("top"))
 
 
 def J09_reference_cases(s: S, d: str) -> DataFrame:
@@ -236,9 +301,7 @@ def W08_file_groups(s: S, d: str) -> DataFrame:
 
 
 def W09_chunks(s: S, d: str) -> DataFrame:
-    rows = labelled(s, d, "compact_v2", ["kind"]).withColumn("chunk_ix", F.floor(F.col("tok_ix") / 512).cast("int"))
-    one = per_file(rows, ["line_no", "chunk_ix"], n=F.count("*"))
-    return one.groupBy("chunk_ix", (F.col("n") == 512).alias("whole")).agg(F.count("*").alias("chunks"))
+    return _chunks(s, d).groupBy("chunk_ix", (F.col("tokens") == 512).alias("whole")).agg(F.count("*").alias("chunks"))
 
 
 def ordered_windows(s: S, d: str) -> DataFrame:
@@ -288,7 +351,7 @@ def P03_weights(s: S, d: str) -> DataFrame:
 
 
 def P04_weights_large(s: S, d: str) -> DataFrame:
-    targets = sorted(dims.POPULARITY)
+    targets = sorted(dims.TARGETS_LARGE)
     return _frame(s, al.large_weights(targets), "lang string, weight double").select("lang", F.round("weight", 9).alias("weight"))
 
 
@@ -297,7 +360,7 @@ def P05_budgets(s: S, d: str) -> DataFrame:
 
 
 def P06_budgets_exact(s: S, d: str) -> DataFrame:
-    return _frame(s, al.exact_budgets(al.large_weights(sorted(dims.POPULARITY)), TOTAL_LARGE), "lang string, tokens long")
+    return _frame(s, al.exact_budgets(al.large_weights(sorted(dims.TARGETS_LARGE)), TOTAL_LARGE), "lang string, tokens long")
 
 
 def P07_byte_budgets(s: S, d: str) -> DataFrame:
@@ -317,16 +380,26 @@ def P09_sampling(s: S, d: str) -> DataFrame:
     return w.select("lang", F.round(p, 9).alias("p"))
 
 
+FOLD = 0
+
+
 def P10_window_weights(s: S, d: str) -> DataFrame:
-    """Draw weight of a window: its language's probability by its number of windows."""
+    """Draw weight of a window: its language's probability by the windows in the fold, by construct boost, 0 outside."""
     p = weights(s, d).select("lang", al.sampling(F.col("weight"), ~F.coalesce("is_excluded", F.lit(False)), 0.002, 0.5).alias("p")).join(table(s, d, "lang_dim").select("lang", "lang_id"), "lang")
-    n = windows(s, d).where("lang_id IS NOT NULL").groupBy("lang_id").agg(F.count("*").alias("windows"))
-    return n.join(F.broadcast(p), "lang_id").select("lang_id", "windows", F.round(F.col("p") / F.col("windows"), 12).alias("weight"))
+    fold = file_folds(s, d).select("lang_id", "file_id", ((F.col("fold") == FOLD) | (F.col("fold") < 0)).alias("in_fold"))
+    boost = boosts(s, d)
+    w = windows(s, d).where("lang_id IS NOT NULL").join(fold, ["lang_id", "file_id"]).join(boost, ["file_id", "chunk_ix"], "left")
+    w = w.withColumn("b", F.when(F.col("in_fold"), F.coalesce("boost", F.lit(1.0))).otherwise(0.0))
+    n = w.groupBy("lang_id").agg(F.count("*").alias("windows"), F.sum(F.col("in_fold").cast("long")).alias("in_fold"), F.sum("b").alias("boosts"))
+    return n.join(F.broadcast(p), "lang_id").select("lang_id", "windows", "in_fold", F.round(F.col("p") / F.greatest("in_fold", F.lit(1)) * F.col("boosts"), 9).alias("weight"))
+
+
+DRAWS, SEED = 1000, 7
 
 
 def P11_weighted_sample(s: S, d: str) -> DataFrame:
-    w = windows(s, d).select("win_id", F.greatest("n_labelled", F.lit(1)).cast("double").alias("weight"))
-    return al.weighted_sample(w, "win_id", "weight", 1000, 7)
+    w = windows(s, d).select("win_id", F.greatest("n_labelled", F.lit(1)).cast("long").alias("weight"))
+    return al.weighted_sample(w, "win_id", "weight", DRAWS, SEED)
 
 
 def P12_eval_shards(s: S, d: str) -> DataFrame:
@@ -338,9 +411,7 @@ def P14_weak_languages(s: S, d: str) -> DataFrame:
 
 
 def P15_folds(s: S, d: str) -> DataFrame:
-    g = windows(s, d).where("lang_id IS NOT NULL").groupBy("lang_id", "file_id").agg(F.count("*").alias("size"))
-    out = al.folds(g, "lang_id", "file_id", "size")
-    return out.groupBy("lang_id", "fold").agg(F.count("*").alias("groups"), F.sum("size").alias("windows"))
+    return file_folds(s, d).groupBy("lang_id", "fold").agg(F.count("*").alias("groups"), F.sum("size").alias("windows"))
 
 
 def P17_demo_pick(s: S, d: str) -> DataFrame:
@@ -375,7 +446,7 @@ def T02_longest(s: S, d: str) -> DataFrame:
 
 
 def T03_top_classes(s: S, d: str) -> DataFrame:
-    rows = per_file(scored(s, d, "lang").where("gold >= 0"), ["lang", "gold"], n=F.count("*")).groupBy("lang", "gold").agg(F.sum("n").alias("n"))
+    rows = confusion(s, d, "lang").groupBy("lang", "gold").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang").orderBy(F.desc("n"), "gold")
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("lang", "gold", "n", "rank")
 
@@ -412,6 +483,9 @@ def U04_shared_shapes(s: S, d: str) -> DataFrame:
 
 _WIN = "win AS (SELECT win_id, max(file_id) AS file_id, max(chunk_ix) AS chunk_ix, max(repo) AS repo, max(lang_id) AS lang_id, max(split) AS split, max(tok_from) AS tok_from, max(tok_to) AS tok_to, max(n_labelled) AS n_labelled, max(shape_fp) AS shape_fp FROM windows GROUP BY win_id)"
 _OW = _WIN + ", fo AS (SELECT file_id, max(ord) AS ord FROM files GROUP BY file_id), ow AS (SELECT win.*, tok_to - tok_from AS n, ord FROM win JOIN fo USING (file_id) WHERE lang_id IS NOT NULL)"
+_FOLDS = """g0 AS (SELECT lang_id, file_id, count(*) AS size FROM win WHERE lang_id IS NOT NULL GROUP BY ALL), gn AS (SELECT *, count(*) OVER (PARTITION BY lang_id) AS n, row_number() OVER (PARTITION BY lang_id ORDER BY size DESC, file_id) AS k FROM g0),
+ st(lang_id, k, l0, l1, fold) AS (SELECT DISTINCT lang_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, -1 FROM gn UNION ALL SELECT s.lang_id, s.k + 1, l0 + CASE WHEN l0 <= l1 THEN size ELSE 0 END, l1 + CASE WHEN l0 <= l1 THEN 0 ELSE size END, CASE WHEN l0 <= l1 THEN 0 ELSE 1 END FROM st s JOIN gn ON gn.lang_id = s.lang_id AND gn.k = s.k + 1),
+ fo2 AS (SELECT gn.lang_id, file_id, size, CASE WHEN n < 4 THEN -1 ELSE fold END AS fold FROM gn JOIN st ON gn.lang_id = st.lang_id AND gn.k = st.k)"""
 _AL = "al AS (SELECT alias, min(lang) AS lang FROM (SELECT lower(unnest(list_concat([lang], coalesce(aliases, [])))) AS alias, lang FROM lang_dim) GROUP BY alias)"
 _LL = "ll AS (SELECT line_no, max(path) AS path, max(rle) AS rle, max(shard) AS shard FROM label_lines WHERE rle IS NOT NULL AND rle <> '' GROUP BY line_no)"
 _W = "w AS (SELECT lang, coalesce(pusher_share, 0.25) / sum(coalesce(pusher_share, 0.25)) OVER () AS weight, coalesce(is_excluded, false) AS ex FROM lang_dim)"
@@ -431,7 +505,7 @@ def _sql_weights(values: dict[str, float]) -> str:
 
 _RAW = {lang: dims.PUSHER_SHARE.get(lang, dims.TAIL_SHARE) for lang in dims.TARGETS}
 _COMPACT = f"c0 AS (SELECT * FROM (VALUES {_sql_weights(_RAW)}) AS t(lang, share)), c AS (SELECT lang, share::DOUBLE / sum(share::DOUBLE) OVER () AS weight FROM c0)"
-_LARGE = f"g0 AS (SELECT * FROM (VALUES {_sql_weights(dims.POPULARITY)}) AS t(lang, share)), g AS (SELECT lang, 0.75 * share::DOUBLE / sum(share::DOUBLE) OVER () + 0.25 / count(*) OVER () AS weight FROM g0)"
+_LARGE = f"g0 AS (SELECT * FROM (VALUES {_sql_weights({x: dims.POPULARITY.get(x, dims.POPULARITY_REST) for x in dims.TARGETS_LARGE})}) AS t(lang, share)), g AS (SELECT lang, 0.75 * share::DOUBLE / sum(share::DOUBLE) OVER () + 0.25 / count(*) OVER () AS weight FROM g0)"
 _BUD = f"b AS (SELECT lang, greatest(400000, floor(sqrt(weight) * ({TOTAL} / (SELECT sum(sqrt(weight)) FROM c))))::BIGINT AS tokens FROM c)"
 _P = "sm AS (SELECT lang, CASE WHEN ex THEN 0 ELSE pow(greatest(weight, 0.002), 0.5) END AS q FROM w), pr AS (SELECT lang, q / sum(q) OVER () AS p FROM sm)"
 
@@ -453,7 +527,7 @@ def _sql_caps() -> str:
 SQL = {
     "S02_label_shards": rf"WITH {_LL}, x AS (SELECT *, CASE WHEN len(string_split_regex(path, '[/\\]')) >= 2 THEN string_split_regex(path, '[/\\]')[-2] END AS lang FROM ll WHERE path IS NOT NULL) SELECT shard, count(*) AS lines, count_if({_BAD})::BIGINT AS skipped FROM x WHERE lang IN (SELECT lang FROM lang_dim) GROUP BY shard",
     "S06_denylist": f"WITH {SQL_FILES} SELECT DISTINCT sha256(text) AS digest FROM f WHERE lower(trim(split)) = 'test' AND text IS NOT NULL",
-    "S07_popularity": "WITH t AS (SELECT lang, pusher_share FROM lang_dim WHERE pusher_share IS NOT NULL ORDER BY pusher_share DESC, lang LIMIT 10) SELECT lang, round(pusher_share / sum(pusher_share) OVER (), 9) AS weight FROM t",
+    "S07_popularity": "WITH t AS (SELECT lang, pusher_share FROM lang_dim WHERE pusher_share IS NOT NULL ORDER BY pusher_share DESC, lang LIMIT 25) SELECT lang, round(pusher_share / sum(pusher_share) OVER (), 9) AS weight FROM t",
     "S13_manifest": f"WITH {SQL_FILES}, k AS (SELECT regexp_replace(lower(lang), '[^a-z0-9]', '', 'g') AS k, lang, 1 AS r FROM lang_dim UNION ALL SELECT regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), lang, 2 FROM (SELECT unnest(aliases) AS x, lang FROM lang_dim)), b AS (SELECT k, arg_min(lang, (r, lang)) AS found FROM k WHERE k <> '' GROUP BY k), n AS (SELECT DISTINCT lang FROM f WHERE lang IS NOT NULL) SELECT n.lang, found FROM n LEFT JOIN b ON b.k = regexp_replace(lower(n.lang), '[^a-z0-9]', '', 'g')",
     "S14_reuse": f"WITH {SQL_FILES}, {_AL}, {_WIN} SELECT al.lang, count(*) AS files FROM f JOIN al ON lower(f.lang) = al.alias WHERE file_id NOT IN (SELECT file_id FROM win WHERE file_id IS NOT NULL) GROUP BY al.lang",
     "K01_label_lines": "WITH t AS (SELECT line_no, max(path) AS path, max(rle) AS rle, max(shard) AS shard FROM label_lines GROUP BY line_no), o AS (SELECT *, path IS NOT NULL AND coalesce(rle, '') <> '' AS ok FROM t) SELECT shard, count_if(ok)::BIGINT AS written, count_if(NOT ok)::BIGINT AS dropped, sum(CASE WHEN ok THEN length(path) + length(rle) + 2 ELSE 0 END)::BIGINT AS chars FROM o GROUP BY shard",
@@ -461,7 +535,7 @@ SQL = {
     "K04_meta": f"WITH {_WIN} SELECT count(*) AS windows, sum(tok_to - tok_from)::BIGINT AS tokens, count(DISTINCT lang_id) AS languages, count(DISTINCT shape_fp) AS shapes, 2 AS feature_version FROM win",
     "K06_provenance": f"WITH {SQL_FILES} SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS texts FROM f GROUP BY lang",
     "K07_checksums": f"WITH {SQL_FILES} SELECT file_id, sha256(text) AS digest FROM f",
-    "F01_paths": rf"WITH {SQL_FILES}, {_AL}, x AS (SELECT al.lang, f.path, d.file_exts FROM f JOIN al ON lower(f.lang) = al.alias JOIN lang_dim d ON d.lang = al.lang WHERE path IS NOT NULL), o AS (SELECT lang, coalesce(NOT regexp_matches(replace(path, '\', '/'), '{dims.SKIP_PATH}') AND NOT regexp_matches({_BASE}, '{dims.SKIP_NAME}') AND len(list_filter(file_exts, lambda e: ends_with(lower({_BASE}), e))) > 0, false) AS ok FROM x) SELECT lang, count_if(ok)::BIGINT AS kept, count_if(NOT ok)::BIGINT AS dropped FROM o GROUP BY lang",
+    "F01_paths": rf"WITH {SQL_FILES}, {_AL}, x AS (SELECT al.lang, f.path, d.file_exts FROM f JOIN al ON lower(f.lang) = al.alias JOIN lang_dim d ON d.lang = al.lang WHERE path IS NOT NULL), o AS (SELECT lang, coalesce(NOT regexp_matches(replace(path, '\', '/'), '{dims.SKIP_PATH}') AND NOT regexp_matches({_BASE}, '{dims.SKIP_NAME}') AND len(list_filter(file_exts, lambda e: ends_with(lower({_BASE}), e))) > 0, false) AS ok, regexp_matches(lower({_BASE}), '^(dockerfile|license|authors|notice|copying|contributors|changelog|makefile|gnumakefile|cmakelists\.txt|build|workspace)($|\.)') AS st FROM x) SELECT lang, count_if(ok)::BIGINT AS kept, count_if(NOT ok)::BIGINT AS dropped, count_if(st)::BIGINT AS by_stem FROM o GROUP BY lang",
     "F02_size_band": f"WITH {SQL_FILES} SELECT lang, strlen(text) BETWEEN 200 AND 400000 AND NOT contains(text, chr(0)) AND {_STRIP} >= 200 AS ok, count(*) AS files FROM f GROUP BY ALL",
     "F03_truncate": f"WITH {SQL_FILES}, x AS (SELECT file_id, text, length(text) > {SHORT} AS cut, length(regexp_extract(left(text, {SHORT}), '(?s)^(.*)\\n', 1)) AS nl FROM f), y AS (SELECT file_id, cut, CASE WHEN cut THEN left(text, CASE WHEN nl > {SHORT_LEAST} THEN nl ELSE {SHORT} END) ELSE text END AS t FROM x) SELECT file_id, length(t)::INT AS chars, md5(t) AS digest, cut FROM y",
     "F04_dialects": f"WITH {SQL_FILES} SELECT lang, count_if(NOT ({_BAD}))::BIGINT AS kept, count(*) AS files FROM f WHERE path IS NOT NULL AND lang IS NOT NULL GROUP BY lang",
@@ -470,16 +544,23 @@ SQL = {
     "F07_chunk_gate": f"WITH {SQL_LABELLED}, {_KX}, g2 AS (SELECT line_no, file_id, (kx // 512)::INT AS chunk_ix, count(*) AS n, count(*) >= 32 AND count(label) >= 16 AS ok FROM k GROUP BY ALL) SELECT chunk_ix, count_if(ok)::BIGINT AS kept, count_if(NOT ok)::BIGINT AS dropped, coalesce(sum(n) FILTER (ok), 0)::BIGINT AS tokens FROM g2 GROUP BY chunk_ix",
     "F08_repos": f"WITH {SQL_FILES} SELECT {_REPO} AS repo, count(*) AS files FROM f WHERE path IS NOT NULL GROUP BY ALL",
     "F09_names": rf"WITH {SQL_FILES}, x AS (SELECT file_id, regexp_replace(regexp_replace(path, '[/\\]', '_', 'g'), '[^A-Za-z0-9._-]+', '_', 'g') AS name FROM f WHERE path IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_id) AS n FROM x) SELECT file_id, CASE WHEN n = 1 THEN name ELSE name || '-' || n END AS name FROM y",
-    "F10_aliases": f"WITH {SQL_FILES}, {_AL} SELECT al.lang, count(*) AS files FROM f LEFT JOIN al ON lower(f.lang) = al.alias GROUP BY al.lang",
-    "F11_grammars": "WITH m AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in dims.FAMILIES_LARGE.items()) + ") AS t(k, v)) SELECT lang, coalesce(v, lang) AS grammar FROM lang_dim LEFT JOIN m ON k = lang",
-    "F12_valid_utf8": f"WITH {SQL_FILES} SELECT CASE WHEN text IS NULL THEN NULL ELSE true END AS ok, count(*) AS files FROM f GROUP BY ALL",
+    "F10_aliases": f"""WITH {SQL_FILES}, y AS (SELECT lower(lang) AS y FROM f), c AS (SELECT 'compact' AS target, CASE y WHEN 'makefile' THEN 'make' WHEN 'batchfile' THEN 'bat' WHEN 'plpgsql' THEN 'sql' WHEN 'objective-c' THEN 'objc' WHEN 'assembly' THEN 'asm' WHEN 'procfile' THEN 'shell' ELSE y END AS x FROM y),
+      l AS (SELECT 'large' AS target, CASE y WHEN 'assembly' THEN 'x86asm' WHEN 'batchfile' THEN 'dos' WHEN 'emacs-lisp' THEN 'lisp' WHEN 'html' THEN 'xml' WHEN 'objective-c' THEN 'objectivec' WHEN 'objective-cpp' THEN 'objectivec' WHEN 'objc' THEN 'objectivec' WHEN 'plpgsql' THEN 'pgsql' WHEN 'shell' THEN 'bash' WHEN 'shellscript' THEN 'bash'
+        WHEN 'make' THEN 'makefile' WHEN 'systemverilog' THEN 'verilog' WHEN 'tsql' THEN 'sql' WHEN 'vb' THEN 'vbnet' WHEN 'vim-script' THEN 'vim' WHEN 'webassembly' THEN 'wasm' WHEN 'xslt' THEN 'xml' ELSE y END AS x FROM y)
+      SELECT target, CASE WHEN x IN (SELECT t FROM (VALUES {", ".join(f"('{t}')" for t in dims.TARGETS)}) v(t)) THEN x END AS lang, count(*) AS files FROM c GROUP BY ALL UNION ALL SELECT target, CASE WHEN x IN (SELECT t FROM (VALUES {", ".join(f"('{t}')" for t in dims.TARGETS_LARGE)}) v(t)) THEN x END, count(*) FROM l GROUP BY ALL""",
+    "F11_grammars": f"""WITH n AS (SELECT lang FROM lang_dim WHERE lang IS NOT NULL UNION SELECT t FROM (VALUES {", ".join(f"('{t}')" for t in dims.TARGETS)}) v(t) UNION SELECT unnest(['plaintext', 'tsql']))
+      SELECT lang, CASE lang WHEN 'shell' THEN 'shellscript' WHEN 'plaintext' THEN 'txt' WHEN 'objcpp' THEN 'objective-cpp' WHEN 'tsql' THEN 'sql' WHEN 'starlark' THEN 'python' WHEN 'smarty' THEN 'html' WHEN 'xslt' THEN 'xml' WHEN 'm4' THEN 'shellscript' WHEN 'lex' THEN 'c' WHEN 'yacc' THEN 'c' WHEN 'qmake' THEN 'make' ELSE lang END AS grammar FROM n""",
+    "F12_valid_utf8": f"""WITH {SQL_FILES}, b AS (SELECT file_id, encode(text) AS b, strlen(text) AS n FROM f), k AS (SELECT file_id, count(*) AS blocks, count_if(NOT (hex(b[i:i]) BETWEEN '80' AND 'BF' OR (i + {BLOCK} <= n AND hex(b[i + {BLOCK}:i + {BLOCK}]) BETWEEN '80' AND 'BF'))) AS valid FROM (SELECT file_id, b, n, unnest(range(1, n + 1, {BLOCK})) AS i FROM b) GROUP BY file_id)
+      SELECT CASE WHEN b IS NULL THEN NULL ELSE true END AS whole, count(*) AS files, sum(CASE WHEN b IS NOT NULL THEN coalesce(blocks, 0) END)::BIGINT AS blocks, sum(CASE WHEN b IS NOT NULL THEN coalesce(valid, 0) END)::BIGINT AS valid FROM b LEFT JOIN k USING (file_id) GROUP BY ALL""",
     "F13_policy": f"WITH {_W} SELECT lang, round(weight, 9) AS weight, ex AS excluded FROM w",
     "F14_not_excluded": f"WITH {SQL_FILES} SELECT lang, count(*) AS files FROM f WHERE lang IS NOT NULL AND lang NOT IN (SELECT lang FROM lang_dim WHERE is_excluded) GROUP BY lang",
     "J03_labelled_files": f"WITH {SQL_FILES}, {_LL} SELECT lang, count(*) AS files FROM f WHERE path IN (SELECT path FROM ll WHERE path IS NOT NULL) GROUP BY lang",
     "J04_language_ids": f"WITH {SQL_FILES} SELECT lang_id, count(*) AS files FROM f JOIN lang_dim USING (lang) GROUP BY lang_id",
     "J06_repo_overlap": f"WITH {_WIN}, c AS (SELECT DISTINCT replace({_KEY('slug')}, '/', '__') AS repo FROM repos WHERE slug IS NOT NULL), m AS (SELECT DISTINCT {_KEY('repo')} AS repo FROM win WHERE repo IS NOT NULL AND repo <> '?') SELECT m.repo, c.repo IS NOT NULL AS known FROM m LEFT JOIN c USING (repo)",
-    "J07_logits": f"WITH {_WIN}, e AS (SELECT vec_id, max(label) AS label FROM embeddings GROUP BY vec_id) SELECT lang_id::BIGINT AS vec_id, count(*) AS windows, count(label) AS with_vector FROM win LEFT JOIN e ON vec_id = lang_id GROUP BY ALL",
-    "J08_fold_mix": f"WITH {_WIN}, x AS (SELECT CASE WHEN lang_id IS NULL THEN -1 ELSE lang_id % 2 END::INT AS fold, tok_to - tok_from AS a, n_labelled AS b FROM win) SELECT fold, count(*) AS n, round(sum(CASE fold WHEN 0 THEN a WHEN 1 THEN b ELSE (a + b) / 2 END)::DOUBLE, 6) AS mix FROM x GROUP BY fold",
+    "J07_logits": f"WITH {_WIN}, e AS (SELECT vec_id, list_sum(any_value(embedding)::DOUBLE[]) AS t FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id) SELECT split, count(*) AS windows, count(t) AS with_logits, round(sum(t), 4) AS total FROM win LEFT JOIN e ON vec_id = win_id GROUP BY split",
+    "J08_fold_mix": f"""WITH RECURSIVE {_WIN}, {_FOLDS}, e AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id),
+      m AS (SELECT win_id, fold, c, CASE fold WHEN 0 THEN v[10 + c] WHEN 1 THEN v[1 + c] ELSE (v[1 + c] + v[10 + c]) / 2 END AS x FROM win JOIN fo2 USING (lang_id, file_id) JOIN e ON vec_id = win_id, range(9) t(c))
+      SELECT win_id, fold::INT AS fold, arg_max(c, (x, -c))::INT AS cls, round(max(x), 6) AS top FROM m GROUP BY win_id, fold""",
     "J09_reference_cases": f"WITH {SQL_GOLD} SELECT file_id, count(*) AS n, count_if(gold = pred)::BIGINT AS same, coalesce(min(ix) FILTER (gold <> pred), -1)::INT AS first_diff FROM gold WHERE gold >= 0 GROUP BY file_id",
     "W08_file_groups": f"WITH {_WIN}, x AS (SELECT win_id, lang_id, tok_to - tok_from AS n FROM win), y AS (SELECT win_id, lag(win_id) OVER w IS NULL OR lag(n) OVER w < 512 OR lag(lang_id) OVER w IS DISTINCT FROM lang_id AS new FROM x WINDOW w AS (ORDER BY win_id)) SELECT win_id, (sum(new::INT) OVER (ORDER BY win_id) - 1)::BIGINT AS group_id FROM y",
     "W09_chunks": f"WITH {SQL_LABELLED}, {_KX}, c AS (SELECT line_no, file_id, (kx // 512)::INT AS chunk_ix, count(*) AS n FROM k GROUP BY ALL) SELECT chunk_ix, n = 512 AS whole, count(*) AS chunks FROM c GROUP BY ALL",
@@ -494,7 +575,15 @@ SQL = {
     "P07_byte_budgets": f"WITH {_COMPACT}, {_BUD} SELECT lang, floor(tokens * 2.5)::BIGINT AS bytes FROM b",
     "P08_repo_caps": f"WITH {SQL_FILES}, {_sql_caps()} SELECT lang, repo, taken FROM t3",
     "P09_sampling": f"WITH {_W}, {_P} SELECT lang, round(p, 9) AS p FROM pr",
-    "P10_window_weights": f"WITH {_W}, {_P}, {_WIN}, n AS (SELECT lang_id, count(*) AS windows FROM win WHERE lang_id IS NOT NULL GROUP BY lang_id) SELECT lang_id, windows, round(p / windows, 12) AS weight FROM n JOIN lang_dim USING (lang_id) JOIN pr USING (lang)",
+    "P10_window_weights": f"""WITH RECURSIVE {_W}, {_P}, {_WIN}, {_FOLDS}, {SQL_CONSTRUCTS}, bo AS (SELECT file_id, win AS chunk_ix, max(1 + 0.5 * least(1.0, complete / 2)) AS boost FROM c GROUP BY ALL),
+      n AS (SELECT win.lang_id, count(*) AS windows, count_if(fold IN (0, -1)) AS in_fold, sum(CASE WHEN fold IN (0, -1) THEN coalesce(boost, 1) ELSE 0 END) AS boosts FROM win JOIN fo2 ON win.lang_id = fo2.lang_id AND win.file_id = fo2.file_id LEFT JOIN bo ON bo.file_id = win.file_id AND bo.chunk_ix = win.chunk_ix GROUP BY win.lang_id)
+      SELECT lang_id, windows, in_fold::BIGINT AS in_fold, round(p / greatest(in_fold, 1) * boosts, 9) AS weight FROM n JOIN lang_dim USING (lang_id) JOIN pr USING (lang)""",
+    "P11_weighted_sample": f"""WITH {_WIN}, x AS (SELECT win_id, greatest(coalesce(n_labelled, 1), 1)::BIGINT AS w FROM win), c AS (SELECT win_id, (sum(w) OVER (ORDER BY win_id) - w)::BIGINT AS lo, (sum(w) OVER ())::BIGINT AS total FROM x),
+      u AS (SELECT ('0x' || substr(md5('{SEED}:' || i), 1, 15))::BIGINT % (SELECT max(total) FROM c) AS u FROM range({DRAWS}) t(i)) SELECT win_id, count(*) AS times FROM u ASOF JOIN c ON u >= lo GROUP BY win_id""",
+    "P15_folds": f"WITH RECURSIVE {_WIN}, {_FOLDS} SELECT lang_id, fold::INT AS fold, count(*) AS groups, sum(size)::BIGINT AS windows FROM fo2 GROUP BY ALL",
+    "P20_whole_language_shards": f"""WITH RECURSIVE {_WIN}, n AS (SELECT lang_id, count(*) AS n FROM win WHERE lang_id IN (SELECT lang_id FROM lang_dim) GROUP BY lang_id), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, lang_id) AS k FROM n),
+      s(k, l, lang_id, n, shard) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[], NULL::INT, NULL::BIGINT, -1 UNION ALL SELECT o.k, list_transform(l, lambda x, i: x + CASE WHEN i = list_position(l, list_min(l)) THEN o.n ELSE 0 END), o.lang_id, o.n, list_position(l, list_min(l)) - 1 FROM s JOIN o ON o.k = s.k + 1)
+      SELECT lang_id, n, shard::INT AS shard FROM s WHERE k > 0""",
     "P12_eval_shards": f"WITH {_WIN} SELECT (win_id % 4)::INT AS rank, count(*) AS windows, sum(win_id)::BIGINT AS checksum FROM win GROUP BY ALL",
     "P14_weak_languages": f"WITH {SQL_GOLD}, h AS (SELECT lang, count_if(gold = pred) / count(*) AS a FROM gold WHERE gold >= 0 AND lang IS NOT NULL GROUP BY lang) SELECT lang, round(least(3.0::DOUBLE, greatest(0.5::DOUBLE, 2 - 2 * a)), 9) AS multiplier FROM h",
     "P17_demo_pick": f"WITH {SQL_FILES}, x AS (SELECT lang, file_id, row_number() OVER (PARTITION BY lang ORDER BY (length(text) BETWEEN {SHORT_LEAST} AND {SHORT}) DESC, md5('7:' || file_id), file_id)::INT AS rank FROM f WHERE lang IS NOT NULL AND length(text) > 0) SELECT * FROM x WHERE rank <= 3",

@@ -52,8 +52,10 @@ def X01_tokenize_sql(s: S, d: str) -> DataFrame:
     from codegrain.functions.sql import register
 
     register(s)
-    files(s, d).groupBy("file_id").agg(F.max("text").alias("text")).createOrReplaceTempView("codegrain_files")
-    return s.sql("SELECT kind, count(*) AS n, sum(length(token)) AS chars FROM codegrain_files, LATERAL tokenize(text) GROUP BY kind")
+    files(s, d).select("file_id", F.monotonically_increasing_id().alias("uid"), "text").createOrReplaceTempView("codegrain_files")
+    # counted where a text is read; deliveries are merged on the counts
+    each = "SELECT file_id, uid, kind, count(*) AS n, sum(length(token)) AS chars FROM codegrain_files, LATERAL tokenize(text) GROUP BY file_id, uid, kind"
+    return s.sql(f"SELECT kind, sum(n) AS n, sum(chars) AS chars FROM (SELECT file_id, kind, max(n) AS n, max(chars) AS chars FROM ({each}) GROUP BY file_id, kind) GROUP BY kind")
 
 
 _BAND = CURATION_SQL["F02_size_band"].split("SELECT lang, ", 1)[1].split(" AS ok", 1)[0]

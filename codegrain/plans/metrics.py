@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codegrain import dims
+from codegrain.functions.labels import aligned_counts, boundary_counts, construct_counts, depth_counts, raw_counts, rle_length, scored_counts
 from codegrain.functions.lexing import CLASSES
 from codegrain.operators.durable import durable
-from codegrain.plans.common import SQL_FILES, SQL_GOLD, file_values, files, per_file
-from codegrain.plans.labels import SQL_LABELLED, labelled, scored
+from codegrain.plans.common import SQL_FILES, SQL_GOLD, file_values, files, once, per_file
+from codegrain.plans.labels import SQL_LABELLED, labelled, labelled_texts
 from codegrain.tables import table
 
 S = SparkSession
@@ -25,7 +27,9 @@ JS_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 def confusion(s: S, d: str, *carry: str) -> DataFrame:
     """Counts per gold and predicted class, each file once."""
     keys = [*carry, "gold", "pred"]
-    return per_file(scored(s, d, *carry).where("gold >= 0"), keys, n=F.count("*"), chars=F.sum("len")).groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    rows = once(scored_counts(files(s, d), "text", ["gold", "pred"], "file_id", *carry), keys, "n", "chars")
+    out = rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    return out.withColumns({k: F.col(k).cast("int") for k in ("gold", "pred")})
 
 
 def hits(s: S, d: str) -> DataFrame:
@@ -41,7 +45,7 @@ def weights(s: S, d: str) -> DataFrame:
 
 
 def A01_counters(s: S, d: str) -> DataFrame:
-    rows = per_file(scored(s, d, "lang"), ["lang"], tokens=F.count("*"), labelled=F.sum((F.col("gold") >= 0).cast("long")))
+    rows = once(raw_counts(files(s, d), "text", "file_id", "lang"), ["lang"], "tokens", "labelled")
     return rows.groupBy("lang").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.sum("labelled").alias("labelled"), F.sum(F.col("tokens") - F.col("labelled")).alias("masked"))
 
 
@@ -93,10 +97,9 @@ def A08_renormalized(s: S, d: str) -> DataFrame:
 
 
 def A09_boundary_f1(s: S, d: str) -> DataFrame:
-    g, p = F.col("gold") != F.col("prev_gold"), F.col("pred") != F.col("prev_pred")
-    rows = scored(s, d, "lang").where("gold >= 0 AND prev_gold >= 0")
-    one = per_file(rows, ["lang"], tp=F.sum((g & p).cast("long")), predicted=F.sum(p.cast("long")), gold=F.sum(g.cast("long")))
-    out = one.groupBy("lang").agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("gold").alias("gold"))
+    one = once(boundary_counts(files(s, d), "text", "file_id", "lang"), ["lang"], "tp", "predicted", "gold", "scored")
+    # languages with a pair of scored tokens
+    out = one.where("scored > 1").groupBy("lang").agg(F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("gold").alias("gold"))
     return out.withColumn("f1", F.round(F.when(F.col("predicted") + F.col("gold") > 0, 2.0 * F.col("tp") / (F.col("predicted") + F.col("gold"))).otherwise(0.0), 9))
 
 
@@ -122,9 +125,10 @@ def repo_of(path: Column) -> Column:
 
 def A13_health(s: S, d: str) -> DataFrame:
     """Per language: files, tokens, share of the largest repository, masked share, leading classes."""
-    rows = labelled(s, d, "compact_v2", ["kind"]).withColumn("repo", repo_of(F.col("path")))
-    keys = ["line_no", "lang", "repo", "label"]
-    cell = durable(per_file(rows, keys, n=F.count("*")), "health-cells")
+    df = labelled_texts(s, d, repo_of(F.col("path")).alias("repo"))
+    rows = aligned_counts(df, "text", "rle", "compact_v2", ["label"], "line_no", "file_id", "lang", "repo")
+    cell = once(rows, ["line_no", "lang", "repo", "label"], "n").withColumn("label", F.when(F.col("label") >= 0, F.col("label").cast("int")))
+    cell = durable(cell, "health-cells")
     files_ = cell.select("lang", "line_no", "file_id").distinct().groupBy("lang").agg(F.count("*").alias("files"))
     total = cell.groupBy("lang").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("label").isNull(), F.col("n")).otherwise(0)).alias("masked"))
     repo = cell.groupBy("lang", "repo").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.max("n").alias("top_repo"))
@@ -143,9 +147,16 @@ def A14_agreement(s: S, d: str) -> DataFrame:
 
 
 def A15_gated_agreement(s: S, d: str) -> DataFrame:
-    """As before, over certain places only; here calls count as uncertain."""
-    c = confusion(s, d, "lang").where("gold <> 6")
-    return c.groupBy("lang").agg(F.sum(F.when(F.col("gold") == F.col("pred"), F.col("chars")).otherwise(0)).alias("hit"), F.sum("chars").alias("total"))
+    """Agreement of labels with the prediction by kind, over characters whose label is certain.
+
+    A label line vouches for its file (confidence 1) if its runs cover the text exactly, else it is in doubt (0.5).
+    """
+    sure = F.when(rle_length(F.col("rle")) == F.length("text"), 1.0).otherwise(0.5)
+    rows = labelled(s, d, "compact_v2", ["kind", "start", "end"], sure.alias("confidence")).where("label IS NOT NULL AND confidence >= 1")
+    size = F.col("end") - F.col("start")
+    same = F.col("label") == F.when(F.col("kind") == 3, 8).otherwise(0)
+    one = per_file(rows, ["line_no", "lang"], hit=F.sum(F.when(same, size).otherwise(0)), total=F.sum(size))
+    return one.groupBy("lang").agg(F.sum("hit").alias("hit"), F.sum("total").alias("total"))
 
 
 def A16_unsupported(s: S, d: str) -> DataFrame:
@@ -155,7 +166,9 @@ def A16_unsupported(s: S, d: str) -> DataFrame:
 
 
 def A17_engine_macro(s: S, d: str) -> DataFrame:
-    dim = table(s, d, "lang_dim").select("lang", F.when(F.length("lang") <= 4, "short").otherwise("long").alias("engine"))
+    """Mean score of the large target's languages by labelling engine: the first has the compact target's grammars."""
+    engine = F.when(F.col("lang").isin(*dims.TARGETS), "first").otherwise("second")
+    dim = s.createDataFrame([(x,) for x in dims.TARGETS_LARGE], "lang string").withColumn("engine", engine)
     m = dim.join(hits(s, d), "lang", "left")
     return m.groupBy("engine").agg(F.count("*").alias("languages"), F.round(F.avg(F.coalesce(F.col("hit") / F.col("total"), F.lit(0.0))), 9).alias("macro"))
 
@@ -197,16 +210,15 @@ def A22_packed_size(s: S, d: str) -> DataFrame:
 
 
 def _constructs(s: S, d: str) -> DataFrame:
-    """Complete comment and string runs per window of 512 tokens: starts and ends over scored tokens."""
-    rows = labelled(s, d, "compact_v2", ["kind"]).where("label IS NOT NULL").withColumn("win", F.floor(F.col("tok_ix") / CONSTRUCT).cast("int"))
-    w = Window.partitionBy("uid", "line_no", "file_id", "win").orderBy("tok_ix")
-    r = rows.withColumn("p", F.lag("label").over(w)).withColumn("q", F.lead("label").over(w))
-    start = lambda c: F.sum(((F.col("label") == c) & (F.col("p").isNull() | (F.col("p") != c))).cast("long"))
-    end = lambda c: F.sum(((F.col("label") == c) & (F.col("q").isNull() | (F.col("q") != c))).cast("long"))
-    one = r.groupBy("uid", "line_no", "file_id", "win").agg(F.count("*").alias("scored"), *[f(c).alias(f"{n}{c}") for c in (1, 2) for n, f in (("s", start), ("e", end))])
-    n = F.when(F.col("scored") >= 3, F.least("s1", "e1") + F.least("s2", "e2")).otherwise(0)
-    one = one.withColumn("complete", n)
-    return one.groupBy("line_no", "file_id", "win").agg(F.max("complete").alias("complete"))
+    """``line_no, file_id, win, complete``: complete comment and string runs per window of 512 tokens."""
+    rows = construct_counts(labelled_texts(s, d), "text", "rle", CONSTRUCT, "line_no", "file_id")
+    return rows.groupBy("line_no", "file_id", "win").agg(F.max("complete").alias("complete"))
+
+
+def boosts(s: S, d: str) -> DataFrame:
+    """``file_id, chunk_ix, boost`` of windows with complete constructs."""
+    boost = 1 + 0.5 * F.least(F.lit(1.0), F.col("complete") / 2)
+    return _constructs(s, d).groupBy("file_id", F.col("win").cast("int").alias("chunk_ix")).agg(F.max(boost).alias("boost"))
 
 
 def A24_constructs(s: S, d: str) -> DataFrame:
@@ -221,37 +233,31 @@ def A25_distinct_content(s: S, d: str) -> DataFrame:
 
 def W03_clamped_depth(s: S, d: str) -> DataFrame:
     """Depth as a running sum cut at 0 afterwards: an unmatched closer has to be repaid."""
-    rows = labelled(s, d, "compact_v2", ["kind", "first_char"])
-    w = Window.partitionBy("uid", "line_no", "file_id").orderBy("tok_ix")
-    r = rows.withColumn("before", F.lag("label").over(w))
-    flags = []
-    for name, o, c in (("paren", 40, 41), ("brace", 123, 125), ("bracket", 91, 93)):
-        step = F.when((F.col("kind") == 3) & (F.col("first_char") == o), 1).when((F.col("kind") == 3) & (F.col("first_char") == c), -1).otherwise(0)
-        r = r.withColumn(name, F.greatest(F.lit(0), F.sum(step).over(w)))
-        flags += [F.sum((F.col(name) >= k).cast("long")).alias(f"{name}{k}") for k in (1, 2)]
-    one = r.groupBy("uid", "line_no", "file_id").agg(F.sum((F.col("before") == 1).cast("long")).alias("after_comment"), F.sum((F.col("before") == 2).cast("long")).alias("after_string"), *flags)
-    names = ["after_comment", "after_string", *[f"{n}{k}" for n in ("paren", "brace", "bracket") for k in (1, 2)]]
-    once = one.groupBy("line_no", "file_id").agg(*[F.max(n).alias(n) for n in names])
-    return once.agg(*[F.sum(n).alias(n) for n in names])
+    rows = depth_counts(labelled_texts(s, d), "text", "rle", "line_no", "file_id")
+    names = [c for c in rows.columns if c not in ("line_no", "file_id")]
+    return once(rows, ["line_no"], *names).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def W04_previous_scored(s: S, d: str) -> DataFrame:
     """Pairs of gold classes of consecutive scored tokens."""
-    return per_file(scored(s, d).where("gold >= 0"), ["prev_gold", "gold"], n=F.count("*")).groupBy("prev_gold", "gold").agg(F.sum("n").alias("n"))
+    keys = ["prev_gold", "gold"]
+    rows = once(scored_counts(files(s, d), "text", keys, "file_id"), keys, "n")
+    return rows.groupBy(*[F.col(k).cast("int").alias(k) for k in keys]).agg(F.sum("n").alias("n"))
 
 
 def W05_boundary_adjacent(s: S, d: str) -> DataFrame:
     """Scored tokens on either side of a gold transition."""
-    w = Window.partitionBy("uid", "file_id").orderBy("tok_ix")
-    r = scored(s, d, "lang").where("gold >= 0").withColumn("nxt", F.lead("gold").over(w))
-    near = ((F.col("prev_gold") >= 0) & (F.col("prev_gold") != F.col("gold"))) | (F.col("nxt").isNotNull() & (F.col("nxt") != F.col("gold")))
-    return per_file(r, ["lang"], n=F.sum(near.cast("long"))).groupBy("lang").agg(F.sum("n").alias("adjacent"))
+    one = once(boundary_counts(files(s, d), "text", "file_id", "lang"), ["lang"], "adjacent")
+    return one.groupBy("lang").agg(F.sum("adjacent").alias("adjacent"))
 
 
 _CONF = f"{SQL_GOLD}, c AS (SELECT lang, gold, pred, count(*) AS n, sum(len) AS chars FROM gold WHERE gold >= 0 GROUP BY ALL), h AS (SELECT lang, coalesce(sum(n) FILTER (gold = pred), 0) AS hit, sum(n) AS total FROM c WHERE lang IS NOT NULL GROUP BY lang), w AS (SELECT lang, coalesce(pusher_share, 0.25) / sum(coalesce(pusher_share, 0.25)) OVER () AS weight, is_excluded, pusher_share FROM lang_dim)"
 _SC = f"{SQL_GOLD}, sc AS (SELECT *, lag(gold) OVER w AS pg, lag(pred) OVER w AS pp, lead(gold) OVER w AS ng FROM gold WHERE gold >= 0 WINDOW w AS (PARTITION BY file_id ORDER BY ix))"
 _WIN = "win AS (SELECT win_id, max(file_id) AS file_id, max(chunk_ix) AS chunk_ix, max(repo) AS repo, max(lang_id) AS lang_id, max(split) AS split, max(tok_from) AS tok_from, max(tok_to) AS tok_to, max(n_labelled) AS n_labelled, max(shape_fp) AS shape_fp FROM windows GROUP BY win_id)"
 _KEPT = "k AS (SELECT *, row_number() OVER (PARTITION BY line_no, file_id ORDER BY ix) - 1 AS kx FROM al WHERE kind IN (0, 3))"
+SQL_CONSTRUCTS = f"""{SQL_LABELLED}, {_KEPT}, r AS (SELECT line_no, file_id, kx // {CONSTRUCT} AS win, label, lag(label) OVER w AS p, lead(label) OVER w AS q FROM k WHERE label IS NOT NULL WINDOW w AS (PARTITION BY line_no, file_id, kx // {CONSTRUCT} ORDER BY kx)),
+      o AS (SELECT line_no, file_id, win, count(*) AS scored, count_if(label = 1 AND p IS DISTINCT FROM 1) AS s1, count_if(label = 1 AND q IS DISTINCT FROM 1) AS e1, count_if(label = 2 AND p IS DISTINCT FROM 2) AS s2, count_if(label = 2 AND q IS DISTINCT FROM 2) AS e2 FROM r GROUP BY ALL),
+      c AS (SELECT file_id, win, CASE WHEN scored >= 3 THEN least(s1, e1) + least(s2, e2) ELSE 0 END::BIGINT AS complete FROM o)"""
 SQL = {
     "A01_counters": f"WITH {SQL_GOLD} SELECT lang, count(DISTINCT file_id) AS files, count(*) AS tokens, count_if(gold >= 0)::BIGINT AS labelled, count_if(gold < 0)::BIGINT AS masked FROM gold GROUP BY lang",
     "A02_coverage": f"WITH {_CONF} SELECT count(h.lang) AS languages, round(sum(CASE WHEN h.lang IS NOT NULL THEN weight ELSE 0 END), 9) AS weight_covered FROM w LEFT JOIN h USING (lang)",
@@ -270,17 +276,15 @@ SQL = {
       r AS (SELECT lang, max(n) AS top_repo FROM (SELECT lang, repo, count(*) AS n FROM q GROUP BY ALL) GROUP BY lang), c AS (SELECT lang, string_agg(label::VARCHAR, ',' ORDER BY r) AS classes FROM (SELECT lang, label, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, label) AS r FROM q WHERE label IS NOT NULL GROUP BY lang, label) WHERE r <= 3 GROUP BY lang)
       SELECT t.lang, files, tokens, masked, top_repo, top_repo * 2 > tokens AS one_sided, coalesce(classes, '') AS classes FROM t JOIN r USING (lang) LEFT JOIN c USING (lang)""",
     "A14_agreement": f"WITH {_CONF} SELECT lang, coalesce(sum(chars) FILTER (gold = pred), 0)::BIGINT AS hit, sum(chars)::BIGINT AS total FROM c GROUP BY lang",
-    "A15_gated_agreement": f"WITH {_CONF} SELECT lang, coalesce(sum(chars) FILTER (gold = pred), 0)::BIGINT AS hit, sum(chars)::BIGINT AS total FROM c WHERE gold <> 6 GROUP BY lang",
+    "A15_gated_agreement": f"WITH {SQL_LABELLED}, cv AS (SELECT line_no, sum(n) AS covered FROM r0 GROUP BY line_no), k AS (SELECT al.lang, al.len, label, kind FROM al JOIN cv ON al.line_no = cv.line_no JOIN f ON f.file_id = al.file_id WHERE kind IN (0, 3) AND label IS NOT NULL AND covered = length(text)) SELECT lang, coalesce(sum(len) FILTER (label = CASE kind WHEN 3 THEN 8 ELSE 0 END), 0)::BIGINT AS hit, sum(len)::BIGINT AS total FROM k GROUP BY lang",
     "A16_unsupported": f"WITH {SQL_FILES} SELECT lang, 0::BIGINT AS hit, sum(length(regexp_replace(text, '{JS_BLANK}', '', 'g')))::BIGINT AS total FROM f GROUP BY lang",
-    "A17_engine_macro": f"WITH {_CONF} SELECT CASE WHEN length(lang) <= 4 THEN 'short' ELSE 'long' END AS engine, count(*) AS languages, round(avg(coalesce(hit / total, 0)), 9) AS macro FROM w LEFT JOIN h USING (lang) GROUP BY ALL",
+    "A17_engine_macro": f"WITH {_CONF}, t AS (SELECT t AS lang, t IN (SELECT c FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in dims.TARGETS)}) v(c)) AS first FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in dims.TARGETS_LARGE)}) v(t)) SELECT CASE WHEN first THEN 'first' ELSE 'second' END AS engine, count(*) AS languages, round(avg(coalesce(hit / total, 0)), 9) AS macro FROM t LEFT JOIN h ON t.lang = h.lang GROUP BY ALL",
     "A18_underfilled": f"WITH {SQL_GOLD} SELECT lang, count(*) AS tokens FROM gold GROUP BY lang HAVING count(*) < {UNDERFILLED}",
     "A19_run_summary": f"WITH {_WIN} SELECT lang_id, count(*) AS runs, round(avg(n_labelled), 9) AS mean, round(stddev_pop(n_labelled), 6) AS std FROM win GROUP BY lang_id",
     "A20_median": "WITH o AS (SELECT doc_id, max(lower(trim(source))) AS source, max(length(text)) AS n FROM documents GROUP BY doc_id), m AS (SELECT median(n) AS m FROM o WHERE source IS NOT NULL AND n IS NOT NULL GROUP BY source) SELECT median(m) AS median FROM m",
     "A21_buckets": f"WITH {_CONF}, b AS (SELECT lang, hit * 100 / total AS a FROM h) SELECT CASE WHEN a >= 95 THEN 95 WHEN a >= 90 THEN 90 WHEN a >= 80 THEN 80 WHEN a >= 70 THEN 70 WHEN a >= 60 THEN 60 WHEN a >= 50 THEN 50 ELSE 0 END AS bucket, string_agg(lang, ',' ORDER BY lang) AS languages FROM b GROUP BY ALL",
     "A22_packed_size": "WITH e AS (SELECT vec_id, max(len(embedding)) AS n FROM embeddings GROUP BY vec_id) SELECT bits::INT AS bits, sum((n + 31) // 32 * 4 * bits)::BIGINT AS plane_bytes, sum(2)::BIGINT AS scale_bytes FROM e, range(1, 5) t(bits) GROUP BY bits",
-    "A24_constructs": f"""WITH {SQL_LABELLED}, {_KEPT}, r AS (SELECT line_no, file_id, kx // {CONSTRUCT} AS win, label, lag(label) OVER w AS p, lead(label) OVER w AS q FROM k WHERE label IS NOT NULL WINDOW w AS (PARTITION BY line_no, file_id, kx // {CONSTRUCT} ORDER BY kx)),
-      o AS (SELECT line_no, file_id, win, count(*) AS scored, count_if(label = 1 AND p IS DISTINCT FROM 1) AS s1, count_if(label = 1 AND q IS DISTINCT FROM 1) AS e1, count_if(label = 2 AND p IS DISTINCT FROM 2) AS s2, count_if(label = 2 AND q IS DISTINCT FROM 2) AS e2 FROM r GROUP BY ALL),
-      c AS (SELECT CASE WHEN scored >= 3 THEN least(s1, e1) + least(s2, e2) ELSE 0 END::BIGINT AS complete FROM o) SELECT complete, count(*) AS windows, round(sum(1 + 0.5 * least(1.0, complete / 2)), 6) AS weight FROM c GROUP BY complete""",
+    "A24_constructs": f"WITH {SQL_CONSTRUCTS} SELECT complete, count(*) AS windows, round(sum(1 + 0.5 * least(1.0, complete / 2)), 6) AS weight FROM c GROUP BY complete",
     "A25_distinct_content": f"WITH {SQL_FILES} SELECT lower(trim(split)) AS split, count(text) AS texts, count(DISTINCT sha256(text)) AS distinct_texts FROM f GROUP BY ALL",
     "W03_clamped_depth": f"""WITH {SQL_LABELLED}, {_KEPT}, r AS (SELECT lag(label) OVER w AS b, {", ".join(f"greatest(0, sum(CASE WHEN t = '{o}' THEN 1 WHEN t = '{c}' THEN -1 ELSE 0 END) OVER w) AS {n}" for n, o, c in (("paren", "(", ")"), ("brace", "{", "}"), ("bracket", "[", "]")))} FROM k WINDOW w AS (PARTITION BY line_no, file_id ORDER BY kx))
       SELECT count_if(b = 1)::BIGINT AS after_comment, count_if(b = 2)::BIGINT AS after_string, {", ".join(f"count_if({n} >= {i})::BIGINT AS {n}{i}" for n in ("paren", "brace", "bracket") for i in (1, 2))} FROM r""",

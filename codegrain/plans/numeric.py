@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codegrain.functions import codec
@@ -100,9 +100,8 @@ def N09_round_trip(s: S, d: str) -> DataFrame:
 
 def N13_classify(s: S, d: str) -> DataFrame:
     """Token classes of the default seeded model over all files."""
-    rows = Lexer().classify(files(s, d), "file_id", "text")
-    one = rows.groupBy("file_id", "cls", "tok_ix").agg(F.lit(1).alias("n"))
-    return one.groupBy("cls").agg(F.count("*").alias("n"))
+    rows = Lexer().class_counts(files(s, d), "file_id", "text").groupBy("file_id", "cls").agg(F.max("n").alias("n"))
+    return rows.groupBy("cls").agg(F.sum("n").alias("n"))
 
 
 def N21_decay(s: S, d: str) -> DataFrame:
@@ -132,14 +131,28 @@ def N24_linear(s: S, d: str) -> DataFrame:
     return _all_bits(s, d).select("vec_id", "bits", F.round(dot, 4).alias("dot"))
 
 
-def _long(s: S, d: str) -> DataFrame:
-    return vectors(s, d).select("vec_id", F.posexplode("v").alias("t", "x")).withColumn("x", F.col("x").cast("double"))
+def _running(values: Column, each: Callable[[Column], tuple[Column, Column]]) -> Column:
+    """Sum over all places of (sum of the first part so far) / max(1, sum of the second so far)."""
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a, b = each(x)
+        a, b = acc["a"] + a, acc["b"] + b
+        return F.struct(a.alias("a"), b.alias("b"), (acc["out"] + a / F.greatest(b, F.lit(1.0))).alias("out"))
+
+    return F.aggregate(values, start, step)["out"]
 
 
 def W12_prefix_suffix(s: S, d: str) -> DataFrame:
-    w = Window.partitionBy("vec_id").orderBy("t")
-    r = _long(s, d).withColumn("p", F.avg("x").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.avg("x").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    return r.groupBy("vec_id").agg(F.round(F.sum("p"), 6).alias("prefix"), F.round(F.sum("q"), 6).alias("suffix"))
+    """Prefix and suffix means summed over a vector; masked (every eighth place is padding) and gated prefixes."""
+    v = codec.doubles(F.col("v"))
+    mean = lambda x: (x, F.lit(1.0))
+    gate = lambda x: (x / (1 + F.exp(-x)), 1 / (1 + F.exp(-x)))
+    masked = F.transform(v, lambda x, i: F.struct(x.alias("x"), F.when(i % 8 == 7, 0.0).otherwise(1.0).alias("m")))
+    return vectors(s, d).select(
+        "vec_id", F.round(_running(v, mean), 6).alias("prefix"), F.round(_running(F.reverse(v), mean), 6).alias("suffix"),
+        F.round(_running(masked, lambda p: (p["x"] * p["m"], p["m"])), 6).alias("masked"), F.round(_running(v, gate), 6).alias("gated"),
+    )
 
 
 def W13_recurrence(s: S, d: str) -> DataFrame:
@@ -149,14 +162,20 @@ def W13_recurrence(s: S, d: str) -> DataFrame:
     return vectors(s, d).select("vec_id", F.round(fold(v), 6).alias("ahead"), F.round(fold(F.reverse(v)), 6).alias("back"))
 
 
+DILATIONS = (1, 2, 4)
+
+
 def W14_conv(s: S, d: str) -> DataFrame:
-    w = Window.partitionBy("vec_id").orderBy("t")
-    y = sum(F.coalesce(F.lag("x", (2 - j) * 2).over(w) if j < 2 else F.lead("x", (j - 2) * 2).over(w) if j > 2 else F.col("x"), F.lit(0.0)) * F.lit(tap) for j, tap in enumerate(TAPS))
-    return _long(s, d).withColumn("y", y).groupBy("vec_id").agg(F.round(F.sum("y"), 6).alias("total"), F.round(F.max("y"), 6).alias("top"))
+    """A five-tap convolution at several dilations, zeros beyond the ends."""
+    v = codec.doubles(F.col("v"))
+    conv = lambda step: F.transform(v, lambda _, i: sum(F.coalesce(F.get(v, i + (j - 2) * step), F.lit(0.0)) * F.lit(tap) for j, tap in enumerate(TAPS)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("dilation"), conv(k).alias("y")) for k in DILATIONS])).alias("c")
+    return vectors(s, d).select("vec_id", each).select("vec_id", "c.dilation", F.round(F.aggregate("c.y", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("c.y"), 6).alias("top"))
 
 
 def W15_signature(s: S, d: str) -> DataFrame:
-    return _long(s, d).groupBy("vec_id").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max("x"), 6).alias("top"))
+    v = codec.doubles(F.col("v"))
+    return vectors(s, d).select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v), 6).alias("mean"), F.round(F.array_max(v), 6).alias("top"))
 
 
 def X01_spans(s: S, d: str) -> DataFrame:
@@ -190,9 +209,10 @@ SQL = {
     "N21_decay": "WITH c AS (SELECT * FROM (VALUES ('ahead', 0.90::DOUBLE, 0.998::DOUBLE), ('back', 0.20::DOUBLE, 0.93::DOUBLE)) AS t(name, lo, hi)), g AS (SELECT name, i, 1 - exp(ln(1 - lo) + (ln(1 - hi) - ln(1 - lo)) * i / 15) AS g FROM c, range(16) r(i)), k AS (SELECT name, i, least(1 - 1e-4, greatest(1e-4, g)) AS g FROM g) SELECT name, i::INT AS ix, round(ln(g / (1 - g)), 4) AS logit FROM k",
     "N23_group_runs": "WITH v AS (SELECT vec_id, max(label) AS label FROM embeddings GROUP BY vec_id), r AS (SELECT *, (lag(label) OVER (ORDER BY vec_id) IS DISTINCT FROM label OR row_number() OVER (ORDER BY vec_id) = 1)::INT AS new FROM v), s AS (SELECT *, sum(new) OVER (ORDER BY vec_id) AS run FROM r) SELECT min(vec_id) AS first, max(label) AS label, count(*) AS n FROM s GROUP BY run",
     "N24_linear": f"WITH {_V}, {_Q} SELECT vec_id, bits, round(sum(x * back), 4) AS dot FROM bk GROUP BY ALL",
-    "W12_prefix_suffix": f"WITH {_V}, r AS (SELECT vec_id, avg(x) OVER (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, avg(x) OVER (PARTITION BY vec_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM l) SELECT vec_id, round(sum(p), 6) AS prefix, round(sum(q), 6) AS suffix FROM r GROUP BY vec_id",
+    "W12_prefix_suffix": f"""WITH {_V}, z AS (SELECT *, CASE WHEN t % 8 = 7 THEN 0 ELSE 1 END AS m, 1 / (1 + exp(-x)) AS g FROM l), r AS (SELECT vec_id, avg(x) OVER a AS p, avg(x) OVER b AS q, sum(x * m) OVER a / greatest(1, sum(m) OVER a) AS k, sum(x * g) OVER a / greatest(1, sum(g) OVER a) AS o FROM z
+      WINDOW a AS (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY vec_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT vec_id, round(sum(p), 6) AS prefix, round(sum(q), 6) AS suffix, round(sum(k), 6) AS masked, round(sum(o), 6) AS gated FROM r GROUP BY vec_id""",
     "W13_recurrence": f"WITH {_V}, n AS (SELECT *, count(*) OVER (PARTITION BY vec_id) AS n FROM l) SELECT vec_id, round(sum(x * pow({DECAY}::DOUBLE, n - 1 - t)), 6) AS ahead, round(sum(x * pow({DECAY}::DOUBLE, t)), 6) AS back FROM n GROUP BY vec_id",
-    "W14_conv": f"WITH {_V}, r AS (SELECT vec_id, coalesce(lag(x, 4) OVER w, 0) * {TAPS[0]} + coalesce(lag(x, 2) OVER w, 0) * ({TAPS[1]}) + x * {TAPS[2]} + coalesce(lead(x, 2) OVER w, 0) * {TAPS[3]} + coalesce(lead(x, 4) OVER w, 0) * {TAPS[4]} AS y FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY t)) SELECT vec_id, round(sum(y), 6) AS total, round(max(y), 6) AS top FROM r GROUP BY vec_id",
+    "W14_conv": f"WITH {_V}, " + ", ".join(f"r{k} AS (SELECT vec_id, coalesce(lag(x, {2 * k}) OVER w, 0) * {TAPS[0]} + coalesce(lag(x, {k}) OVER w, 0) * ({TAPS[1]}) + x * {TAPS[2]} + coalesce(lead(x, {k}) OVER w, 0) * {TAPS[3]} + coalesce(lead(x, {2 * k}) OVER w, 0) * {TAPS[4]} AS y FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY t))" for k in DILATIONS) + " UNION ALL ".join(f"{' ' if i == 0 else ''}SELECT vec_id, {k} AS dilation, round(sum(y), 6) AS total, round(max(y), 6) AS top FROM r{k} GROUP BY vec_id" for i, k in enumerate(DILATIONS)),
     "W15_signature": f"WITH {_V} SELECT vec_id, round(avg(x), 6) AS mean, round(max(x), 6) AS top FROM l GROUP BY vec_id",
     "X03_empty_texts": "SELECT file_id, max(coalesce(length(regexp_replace(text, '[\\t-\\r ]', '', 'g')), 0)) = 0 AS empty FROM files GROUP BY file_id",
     "X09_latest": "SELECT file_id, arg_max(ord, ingested_at) AS ord, strftime(max(ingested_at), '%Y-%m-%d %H:%M:%S') AS at, count(*) AS deliveries FROM files GROUP BY file_id",
