@@ -9,6 +9,8 @@ from codegrain import dims
 from codegrain.functions.lexing import split_of
 from codegrain.operators import allocate as al
 from codegrain.operators import curate as cu
+from codegrain.operators.durable import durable
+from codegrain.operators.ordered import running_sum
 from codegrain.functions.labels import aligned_counts
 from codegrain.plans.common import SQL_FILES, SQL_GOLD, file_values, files, once, one_per_file, per_file
 from codegrain.plans.labels import SQL_LABELLED, label_lines, labelled_texts, scored
@@ -236,9 +238,11 @@ def dataset_digest(wins: DataFrame) -> str:
 
 
 def _with_logits(s: S, d: str) -> DataFrame:
-    e = table(s, d, "embeddings").where("embedding IS NOT NULL").groupBy(F.col("vec_id").alias("win_id")).agg(F.first("embedding").alias("v"))
-    w = windows(s, d)
-    return joined_logits(w, e, "win_id", "v", 64, digest := dataset_digest(w), digest)
+    e = table(s, d, "embeddings").where("embedding IS NOT NULL").groupBy(F.col("vec_id").alias("win_ix")).agg(F.first("embedding").alias("v"))
+    # the cache has no keys: its rows are the windows' places in their order
+    w = durable(windows(s, d), "windows").withColumn("all", F.lit(0)).withColumn("one", F.lit(1).cast("long"))
+    w = running_sum(cu.order_key(w, "win_id"), ["all"], "__key", ["win_id"], {"win_ix": "one"}).drop("__key", "all", "one")
+    return joined_logits(w, e, "win_ix", "v", 64, digest := dataset_digest(w), digest)
 
 
 def J07_logits(s: S, d: str) -> DataFrame:
@@ -557,9 +561,9 @@ SQL = {
     "J03_labelled_files": f"WITH {SQL_FILES}, {_LL} SELECT lang, count(*) AS files FROM f WHERE path IN (SELECT path FROM ll WHERE path IS NOT NULL) GROUP BY lang",
     "J04_language_ids": f"WITH {SQL_FILES} SELECT lang_id, count(*) AS files FROM f JOIN lang_dim USING (lang) GROUP BY lang_id",
     "J06_repo_overlap": f"WITH {_WIN}, c AS (SELECT DISTINCT replace({_KEY('slug')}, '/', '__') AS repo FROM repos WHERE slug IS NOT NULL), m AS (SELECT DISTINCT {_KEY('repo')} AS repo FROM win WHERE repo IS NOT NULL AND repo <> '?') SELECT m.repo, c.repo IS NOT NULL AS known FROM m LEFT JOIN c USING (repo)",
-    "J07_logits": f"WITH {_WIN}, e AS (SELECT vec_id, list_sum(any_value(embedding)::DOUBLE[]) AS t FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id) SELECT split, count(*) AS windows, count(t) AS with_logits, round(sum(t), 4) AS total FROM win LEFT JOIN e ON vec_id = win_id GROUP BY split",
+    "J07_logits": f"WITH {_WIN}, e AS (SELECT vec_id, list_sum(any_value(embedding)::DOUBLE[]) AS t FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id) SELECT split, count(*) AS windows, count(t) AS with_logits, round(sum(t), 4) AS total FROM (SELECT *, row_number() OVER (ORDER BY win_id) - 1 AS win_ix FROM win) LEFT JOIN e ON vec_id = win_ix GROUP BY split",
     "J08_fold_mix": f"""WITH RECURSIVE {_WIN}, {_FOLDS}, e AS (SELECT vec_id, any_value(embedding)::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL GROUP BY vec_id),
-      m AS (SELECT win_id, fold, c, CASE fold WHEN 0 THEN v[10 + c] WHEN 1 THEN v[1 + c] ELSE (v[1 + c] + v[10 + c]) / 2 END AS x FROM win JOIN fo2 USING (lang_id, file_id) JOIN e ON vec_id = win_id, range(9) t(c))
+      m AS (SELECT win_id, fold, c, CASE fold WHEN 0 THEN v[10 + c] WHEN 1 THEN v[1 + c] ELSE (v[1 + c] + v[10 + c]) / 2 END AS x FROM (SELECT *, row_number() OVER (ORDER BY win_id) - 1 AS win_ix FROM win) w2 JOIN fo2 USING (lang_id, file_id) JOIN e ON vec_id = win_ix, range(9) t(c))
       SELECT win_id, fold::INT AS fold, arg_max(c, (x, -c))::INT AS cls, round(max(x), 6) AS top FROM m GROUP BY win_id, fold""",
     "J09_reference_cases": f"WITH {SQL_GOLD} SELECT file_id, count(*) AS n, count_if(gold = pred)::BIGINT AS same, coalesce(min(ix) FILTER (gold <> pred), -1)::INT AS first_diff FROM gold WHERE gold >= 0 GROUP BY file_id",
     "W08_file_groups": f"WITH {_WIN}, x AS (SELECT win_id, lang_id, tok_to - tok_from AS n FROM win), y AS (SELECT win_id, lag(win_id) OVER w IS NULL OR lag(n) OVER w < 512 OR lag(lang_id) OVER w IS DISTINCT FROM lang_id AS new FROM x WINDOW w AS (ORDER BY win_id)) SELECT win_id, (sum(new::INT) OVER (ORDER BY win_id) - 1)::BIGINT AS group_id FROM y",
