@@ -45,21 +45,25 @@ def running_sum(
     return joined.drop("__rs_cell", *[f"__rs_b_{n}" for n in values])
 
 
-def salted_join(big: DataFrame, dim: DataFrame, key: str, weight: str, how: str = "inner", most: int = 1000) -> DataFrame:
+def salted_join(big: DataFrame, dim: DataFrame, key: str, weight: str, how: str = "inner", most: int = 1000, total: int | None = None) -> DataFrame:
     """``big`` joined with ``dim`` (one row per ``key``), keys that are frequent in ``big`` spread out.
 
-    ``weight`` is the column of ``dim`` with the key's number of rows in ``big``.  Keys with more than
-    1/``most`` of all rows are at most ``most``: only these are broadcast, as numbers of salts; ``dim``
-    is repeated per salt and ``big`` spread over the salts.  The weight column is dropped.
+    ``weight`` is the column of ``dim`` with the key's number of rows in ``big``, ``total`` their sum where it is
+    known.  Keys with more than 1/``most`` of all rows are at most ``most``: only these are broadcast, as numbers of
+    salts; ``dim`` is repeated per salt and ``big`` spread over the salts.  The weight column is dropped.
     """
-    total = dim.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = dim.agg(F.sum(weight)).first()[0]
+    return salted_by(big, dim.drop(weight), key, dim.select(key, weight), weight, total or 0, how, most)
+
+
+def salted_by(big: DataFrame, dim: DataFrame, key: str, sizes: DataFrame, weight: str, total: int, how: str = "inner", most: int = 1000) -> DataFrame:
+    """As :func:`salted_join`, the numbers of rows standing in a light table ``sizes`` of ``key`` and ``weight``."""
     unit = max(total // most, 1)
-    parts = F.ceil(F.col(weight) / F.lit(unit)).cast("int")
-    hot = dim.where(F.col(weight) > unit).select(F.col(key).alias("__sj_key"), parts.alias("__sj_parts"))
-    spread = big.join(F.broadcast(hot), big[key] == F.col("__sj_key"), "left").drop("__sj_key")
-    spread = spread.withColumn("__sj_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("__sj_parts", F.lit(1))).cast("int")).drop("__sj_parts")
-    copies = F.when(F.col(weight) > unit, parts).otherwise(1)
-    each = dim.withColumn("__sj_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop(weight)
+    hot = sizes.where(F.col(weight) > unit).select(F.col(key).alias("__sj_key"), F.ceil(F.col(weight) / F.lit(unit)).cast("int").alias("__sj_parts"))
+    keyed = lambda df: df.join(F.broadcast(hot), df[key] == F.col("__sj_key"), "left").drop("__sj_key")
+    spread = keyed(big).withColumn("__sj_salt", F.pmod(F.xxhash64(*big.columns), F.coalesce("__sj_parts", F.lit(1))).cast("int")).drop("__sj_parts")
+    each = keyed(dim).withColumn("__sj_salt", F.explode(F.sequence(F.lit(0), F.coalesce("__sj_parts", F.lit(1)) - 1))).drop("__sj_parts")
     return spread.join(each, [key, "__sj_salt"], how).drop("__sj_salt")
 
 
