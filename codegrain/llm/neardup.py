@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.llm.similarity import meetings, postings, prefixes, representatives, survey, verify
+from codegrain.llm.similarity import meetings, postings, prefixes, representatives, spread_postings, survey, verify
 from codegrain.operators.durable import durable
 from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import salted_join, self_pairs
@@ -39,7 +39,7 @@ def near_duplicates(
     texts, sketch = survey(df, id_col, text_col, version_col, k, "neardup")
     texts = texts.where(F.col("n_words") >= least_words)
     docs = representatives(prefixes(df, id_col, text_col, sketch, k, num, den, least_words, adaptive=True), texts)
-    post = postings(docs)
+    post = spread_postings(postings(docs), texts, num, den)
     candidates = durable(meetings(post, post, num, den, "l.doc < r.doc"), "neardup-candidates")
     links = durable(verify(candidates, df, texts, id_col, text_col, k, num, den), "neardup-links")
     return NearDuplicates(texts, links)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import _WORD, mix64, row_chunks, text_buffers
-from codegrain.llm.similarity import docs_bitmap, with_slot
+from codegrain.llm.similarity import bitmap, with_slot
 from codegrain.operators.durable import durable
 from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import salted_join
@@ -622,13 +622,14 @@ def _meeting(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
 
 def _sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc, rep, shingles`` of the texts of ``df`` (``doc, text``) whose ids are in ``wanted`` (``doc``), and a few more."""
-    shared = df.sparkSession.sparkContext.broadcast(docs_bitmap(wanted))
+    found, bits = bitmap(wanted, "doc")
+    shared = df.sparkSession.sparkContext.broadcast(found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.int64)
+        marks = np.frombuffer(shared.value, np.int64)
         for b in batches:
             slot = b.column("slot").to_numpy()
-            take = pa.array(np.flatnonzero((bitmap[slot >> 6] >> (slot & 63)) & 1))
+            take = pa.array(np.flatnonzero((marks[slot >> 6] >> (slot & 63)) & 1))
             if not len(take):
                 continue
             ids, text = b.column("doc").take(take), b.column("text").take(take)
@@ -638,7 +639,7 @@ def _sets(df: DataFrame, wanted: DataFrame) -> DataFrame:
                 found = [x.tobytes() for x in word_shingles(kind, row, hi - lo)]
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array([_digest(x) for x in found], pa.binary()), pa.array(found, pa.binary())], names=["doc", "rep", "shingles"])
 
-    return with_slot(df).mapInArrow(work, "doc long, rep binary, shingles binary")
+    return with_slot(df, bits).mapInArrow(work, "doc long, rep binary, shingles binary")
 
 
 def families(facts: DataFrame, texts: DataFrame) -> DataFrame:

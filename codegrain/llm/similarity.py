@@ -3,7 +3,10 @@
 Texts are sets of k-word shingles (48-bit hashes).  Equal texts form one class before any join, so a
 group of copies costs one representative, whatever its size.  Shingles are ordered by an estimated
 document frequency, then by hash; any order that is the same everywhere keeps the prefix filter exact,
-so a fixed-size sketch of the counts of *all* shingles of *all* texts serves: it decides speed only.
+so a sketch of the counts of *all* shingles of *all* texts serves: it decides speed only.  Its size follows the
+input's, up to ``SKETCH_MOST``: beyond some 10 TB it tells heavy shingles from the rest, and the rest are in the
+order of their hashes.  The bitmaps that leave rows out before a shuffle follow the number of rows they stand
+for, up to ``BITMAP_MOST``; a full one leaves nothing out and loses nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +22,23 @@ from pyspark.sql import functions as F
 
 from codegrain.functions.shingles import HASH_BITS, shingle_sets
 from codegrain.operators.durable import durable
-from codegrain.operators.ordered import salted_join
+from codegrain.operators.ordered import salted_by, salted_join
 
-SKETCH_BITS = 21  # 2 Mi counters: 8 MiB on the driver and in each executor, at any input size
+SKETCH_LEAST, SKETCH_MOST = 20, 24  # 1 to 16 Mi counters: at most 64 MiB on the driver and in each worker
+BITMAP_LEAST, BITMAP_MOST = 20, 29  # 128 KiB to 64 MiB
+POSTINGS_PER_TASK = 1_000_000
 SEGMENT_BITS = 14
 HOT = 4_000  # postings of one shingle that may meet in one task; more are salted
 LEVELS = 6  # most extra shared prefix shingles that the adaptive scheme asks for
 VERIFY_COST = 30.0  # cost of verifying a candidate, in postings scanned
 
 
+def sketch_bits(df: DataFrame) -> int:
+    """A counter per 64 bytes that the optimizer expects of ``df``, within the bounds."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max((size // 64).bit_length(), SKETCH_LEAST), SKETCH_MOST)
+
+
 def fingerprint(text: str | None) -> bytes | None:
     return None if text is None else hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
@@ -43,7 +54,7 @@ def survey(df: DataFrame, id_col: str, text_col: str, version_col: str | None, k
     ``version_col``, then the greatest fingerprint), where ``rep`` is the least id with an equal text;
     and the sketch, little-endian uint32 counters.  Null ids and null texts give no row.
     """
-    size = 1 << SKETCH_BITS
+    size = 1 << sketch_bits(df.select(text_col))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(size, np.uint32)
@@ -175,18 +186,30 @@ def representatives(pre: DataFrame, texts: DataFrame, *carry: str) -> DataFrame:
 
 
 def postings(docs: DataFrame, *carry: str, positions: bool = False) -> DataFrame:
-    """``doc, info, token, meet`` (and ``pos``): one row per prefix shingle and meeting place.
+    """``doc, info, place`` (and ``pos``): one row per prefix shingle and meeting place.
 
     ``info`` packs size, level, whether all postings met here may pair, and the block.  A frequent
     shingle's postings are cut into blocks; each block meets every other in a place of its own, so no task
-    gets them all.
+    gets them all.  ``place`` is the shingle, or a hash of a frequent one and the two blocks: should two places
+    have one hash, some pairs more are verified.
     """
-    flat = docs.select("doc", "size", "level", *carry, F.posexplode(F.arrays_zip("tokens", "parts")).alias("pos", "t"))
+    arrays = ["tokens", "parts", *(["places"] if "places" in docs.columns else [])]
+    flat = docs.select("doc", "size", "level", *carry, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "t"))
+    if "places" in docs.columns:  # of prefixes that some shingles were taken out of
+        flat = flat.withColumn("pos", F.col("t.places"))
     flat = flat.select("doc", "size", "level", *carry, *(["pos"] if positions else []), F.col("t.tokens").alias("token"), F.col("t.parts").alias("parts"))
     flat = flat.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
     flat = flat.withColumn("meet", F.expr("explode(transform(sequence(0, parts - 1), j -> CAST(least(block, j) AS BIGINT) * parts + greatest(block, j)))"))
     info = F.expr("(CAST(size AS BIGINT) * 16 + level) * 2097152 + IF(parts = 1 OR meet DIV parts = meet % parts, 1048576, 0) + block")
-    return flat.select("doc", info.alias("info"), *carry, *(["pos"] if positions else []), "token", "meet")
+    place = F.expr("IF(parts = 1, token, xxhash64(token, meet) | shiftleft(1L, 63))")
+    return flat.select("doc", info.alias("info"), *carry, *(["pos"] if positions else []), place.alias("place"))
+
+
+def spread_postings(post: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """``post`` in as many partitions as its expected size asks for: the prefixes of ``texts`` (their ``n_words``)."""
+    words = texts.where("doc = rep").agg(F.sum("n_words")).first()[0] or 0
+    least = int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return post.repartition(max(least, -(-words * (den - num) // (den * POSTINGS_PER_TASK))), "place")
 
 
 def meetings(left: DataFrame, right: DataFrame, num: int, den: int, order: str) -> DataFrame:
@@ -200,7 +223,7 @@ def meetings(left: DataFrame, right: DataFrame, num: int, den: int, order: str)
     size = lambda x: F.shiftright(F.col(f"{x}.info"), 25)
     level = lambda x: F.shiftright(F.col(f"{x}.info"), 21).bitwiseAND(15)
     rest = lambda x: F.greatest(F.ceil(size(x) * num / F.lit(den)) - level(x), F.lit(0))
-    met = left.alias("l").join(right.alias("r"), F.expr(f"l.token = r.token AND l.meet = r.meet AND {order} AND ((l.info & 1048576) <> 0 OR (l.info & 1048575) <> (r.info & 1048575))"))
+    met = left.alias("l").join(right.alias("r"), F.expr(f"l.place = r.place AND {order} AND ((l.info & 1048576) <> 0 OR (l.info & 1048575) <> (r.info & 1048575))"))
     met = met.where(F.least(size("l"), size("r")) * F.lit(den) >= F.greatest(size("l"), size("r")) * F.lit(num))
     counts = [F.count("*").alias("shared"), F.first(size("l")).alias("size_a"), F.first(size("r")).alias("size_b"), F.first(F.greatest(rest("l"), rest("r"))).alias("rest")]
     if positions:
@@ -212,30 +235,45 @@ def meetings(left: DataFrame, right: DataFrame, num: int, den: int, order: str)
     return pairs.where((F.col("shared") + behind) * F.lit(num + den) >= (F.col("size_a") + F.col("size_b")) * F.lit(num)).select("a", "b")
 
 
-def docs_bitmap(ids: DataFrame, bits: int = 24) -> bytes:
-    """A fixed-size bitmap (2 MiB) of hashed ids, to leave out most other rows before an exact join."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
-    words = ids.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot % 64 AS INT)) AS b")
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most 2^18 rows
+def bitmap(keys: DataFrame, key: str, bits: int | None = None) -> tuple[bytes, int]:
+    """A bitmap of hashed ``key`` values, to leave out most other rows before an exact join, and its bits.
+
+    Sixteen bits a value, within the bounds; it is put together on the executors, in words of 64 bits.
+    """
+    if bits is None:
+        bits = min(max((16 * keys.count()).bit_length(), BITMAP_LEAST), BITMAP_MOST)
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    words = keys.select(slot.alias("slot")).selectExpr("shiftright(slot, 6) AS w", "shiftleft(1L, CAST(slot % 64 AS INT)) AS b")
+    # whole stretches leave the executors: at most 2^13 rows
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).groupBy(F.shiftright("w", 10).alias("s")).applyInArrow(_stretch, "s long, bits binary").toLocalIterator()
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return out.tobytes()
+    for r in rows:
+        part = np.frombuffer(zlib.decompress(bytes(r["bits"])), np.int64)
+        out[r["s"] << 10 :][: len(part)] = part[: len(out) - (r["s"] << 10)]
+    return out.tobytes(), bits
+
+
+def _stretch(key: tuple, rows: pa.Table) -> pa.Table:
+    out = np.zeros(1 << 10, np.int64)
+    out[rows.column("w").to_numpy() & 1023] = rows.column("b").to_numpy()
+    return pa.table({"s": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
 
 
-def with_slot(df: DataFrame, bits: int = 24) -> DataFrame:
-    return df.withColumn("slot", F.pmod(F.xxhash64("doc"), F.lit(1 << bits)))
+def with_slot(df: DataFrame, bits: int, key: str = "doc") -> DataFrame:
+    return df.withColumn("slot", F.pmod(F.xxhash64(key), F.lit(1 << bits)))
 
 
 def shingle_table(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, k: int) -> DataFrame:
     """``(doc, fp, shingles)`` of the texts whose ids are in ``wanted`` (``doc``): packed 6-byte hashes."""
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(docs_bitmap(wanted))
+    found, bits = bitmap(wanted, "doc")
+    shared = spark.sparkContext.broadcast(found)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(shared.value, np.int64)
+        marks = np.frombuffer(shared.value, np.int64)
         for b in batches:
             slot = b.column("slot").to_numpy()
-            hit = (bitmap[slot >> 6] >> (slot & 63)) & 1
+            hit = (marks[slot >> 6] >> (slot & 63)) & 1
             take = pa.array(np.flatnonzero(hit))
             if not len(take):
                 continue
@@ -249,7 +287,7 @@ def shingle_table(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame,
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(n_words)), prints.slice(lo, len(n_words)), packed], names=["doc", "fp", "shingles"])
 
     src = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-    return with_slot(src).mapInArrow(work, "doc long, fp binary, shingles binary")
+    return with_slot(src, bits).mapInArrow(work, "doc long, fp binary, shingles binary")
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -261,12 +299,17 @@ def unpack(packed: bytes) -> np.ndarray:
 
 def verify(pairs: DataFrame, df: DataFrame, texts: DataFrame, id_col: str, text_col: str, k: int, num: int, den: int) -> DataFrame:
     """``pairs (a, b)`` of representatives with ``n_a, n_b, n_both``, kept where Jaccard is num/den or more."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
-    sets = shingle_table(df, id_col, text_col, wanted, k)
-    reps = texts.where("doc = rep").select("doc", F.col("fp").alias("rep_fp"))
+    ends = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
+    sets = shingle_table(df, id_col, text_col, ends, k)
+    reps = texts.where("doc = rep").select("doc", F.col("fp").alias("rep_fp")).join(ends, "doc", "left_semi")
     sets = sets.join(reps, "doc").where("fp = rep_fp").groupBy("doc").agg(F.first("shingles").alias("s"))
-    one = pairs.select("a", "b").join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
+    # a text with many candidates is spread: its set is repeated once per salt, its pairs are dealt out
+    n = pairs.count()
+    one = pairs.select("a", "b")
+    for end in ("a", "b"):
+        sizes = pairs.groupBy(end).agg(F.count("*").alias("w"))
+        one = salted_by(one, sets.select(F.col("doc").alias(end), F.col("s").alias(f"s{end}")), end, sizes, "w", n)
+    two = one
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
