@@ -1,10 +1,13 @@
 """Problem 7: mixing sources to target shares along a curriculum.
 
-Every source's weight runs over the training time t in [0, 1] as ``share * (1 + slope * (2t - 1))``; the
-slopes are centred so that the weights sum to 1 at every t.  The integral of a source's weight is its token
-demand up to t.  A source's documents stand in hash order, pass after pass; each occurrence's middle token
-is looked up in the inverted integral, which gives its training position.  Range-sorting by position yields
-the training order.
+Every source has a weight schedule over the training time t in [0, 1], given by knots between which it is linear;
+scaled to integrate to 1 it says when the source's share is taken, not how large it is.  The default is a
+curriculum in which sources of longer documents come later: ``1 + slope * (2t - 1)``, the slopes centred so that
+all sources' weights sum to 1 at every t.  The integral of a source's weight is its token demand up to t.  A
+source's documents stand in hash order, pass after pass; the middle token of each occurrence is looked up in the
+inverted integral, which gives its training position, and occurrences whose tokens lie beyond the demand have
+none.  Range-sorting by position yields the training order, and counting a document's positions how often it is
+taken.
 
 The total is the largest at which every stocked source with a positive share can give its share within its
 repeat limits, or the total asked for; then sources that run short give all they may and are reported so.
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegrain.operators.durable import durable
@@ -46,8 +49,43 @@ def slopes(shares: dict[str, float], mean_size: dict[str, float]) -> dict[str, f
     return {s: raw[s] - mean for s in ranked}
 
 
-def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> Mixture:
-    """Mix ``docs (doc, source, n_tokens)`` to ``targets (source, target_share, max_repeats)``."""
+Schedule = list[tuple[float, float]]
+
+
+def integrated(knots: Schedule) -> list[tuple[float, float, float, float]]:
+    """``(t, integral up to t, weight at t, slope from t on)`` of each piece of a schedule, scaled to integrate to 1.
+
+    Times are brought into [0, 1] and the first and last weights reach to its ends; negative weights are 0, and a
+    schedule without weight is an even one.
+    """
+    # knots of one time stay in their order: the weight jumps there
+    points = sorted(((min(max(float(t), 0.0), 1.0), max(float(w), 0.0)) for t, w in knots), key=lambda p: p[0]) or [(0.0, 1.0)]
+    points = [(0.0, points[0][1]), *[p for p in points if 0 < p[0] < 1], (1.0, points[-1][1])]
+    area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:], strict=False))
+    if area <= 0:
+        points, area = [(0.0, 1.0), (1.0, 1.0)], 1.0
+    out, before = [], 0.0
+    for (t0, w0), (t1, w1) in zip(points, points[1:], strict=False):
+        if t1 > t0:
+            out.append((t0, before, w0 / area, (w1 - w0) / area / (t1 - t0)))
+            before += (t1 - t0) * (w0 + w1) / 2 / area
+    return out
+
+
+def position_of(x: Column, pieces: Column) -> Column:
+    """The time at which the integral of a schedule (an array of :func:`integrated` pieces) reaches ``x``."""
+    piece = F.element_at(F.filter(pieces, lambda p: (p["before"] <= x) | (p["t"] == 0)), -1)
+    over, w, a = F.greatest(x - piece["before"], F.lit(0.0)), piece["weight"], piece["slope"]
+    # the stable form of the root, which also holds for a slope of 0
+    root = F.sqrt(F.greatest(w * w + 2 * a * over, F.lit(0.0)))
+    return F.least(F.lit(1.0), piece["t"] + F.when(over <= 0, 0.0).otherwise(2 * over / (w + root)))
+
+
+def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, schedules: dict[str, Schedule] | None = None) -> Mixture:
+    """Mix ``docs (doc, source, n_tokens)`` to ``targets (source, target_share, max_repeats)``.
+
+    ``schedules`` has the knots (time, weight) of sources that do not follow the default curriculum.
+    """
     spark = docs.sparkSession
     want: dict[str, tuple[float, int]] = {}
     for r in targets.select(source_key("source").alias("s"), "target_share", "max_repeats").where("s is not null").orderBy("s", F.desc("target_share")).collect():
@@ -67,8 +105,10 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
         total_tokens = int(min((most[s] / part[s] for s in want if part[s] > 0), default=0.0))
     demand = {s: min(int(part[s] * total_tokens), most[s]) for s in want}
     slope = slopes(share, {s: t / c for s, (t, c) in stock.items()})
-    rows = [(s, stock[s][0], demand[s] // stock[s][0], demand[s] % stock[s][0], float(demand[s]), slope[s]) for s in stock]
-    plan = spark.createDataFrame(rows, "source string, stock long, passes long, rest long, demand double, slope double")
+    given = {s.strip().lower(): k for s, k in (schedules or {}).items()}
+    pieces = {s: integrated(given.get(s, [(0.0, 1 - slope[s]), (1.0, 1 + slope[s])])) for s in stock}
+    rows = [(s, stock[s][0], demand[s] // stock[s][0], demand[s] % stock[s][0], demand[s], pieces[s]) for s in stock]
+    plan = spark.createDataFrame(rows, "source string, stock long, passes long, rest long, demand long, pieces array<struct<t:double,before:double,weight:double,slope:double>>")
     before = running_sum(used, ["source"], "h", ["doc"], {"before": "n_tokens"})
     placed = before.join(F.broadcast(plan), "source")
     # the last, partial pass takes the documents that lie whole before the cut, and then the one document
@@ -82,9 +122,16 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
     near = {r["source"]: r["doc"] for r in near.groupBy("source").agg(F.min_by("doc", F.struct(off, "h", "doc")).alias("doc")).collect()}
     last = spark.createDataFrame(list(near.items()), f"source string, last {kind}")
     placed = placed.join(F.broadcast(last), "source", "left")
-    more = (F.col("inside") | (F.col("last").isNotNull() & (F.col("last") == F.col("doc")))).cast("int")
-    placed = durable(placed.withColumn("times", (F.col("passes") + F.coalesce(more, F.lit(0))).cast("int")), "mix-taken")
-    times = placed.select("doc", "source", "n_tokens", "times")
+    # the occurrences that have a position
+    turns = placed.withColumn("pass_ix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
+    begins = F.col("pass_ix") * F.col("stock") + F.col("before")
+    closing = F.coalesce(F.col("last") == F.col("doc"), F.lit(False)) & (F.col("pass_ix") == F.col("passes"))
+    turns = turns.where((begins + F.col("n_tokens") <= F.col("demand")) | closing)
+    x = F.least(F.lit(1.0), (begins + F.col("n_tokens") / 2) / F.greatest("demand", F.lit(1)))
+    order = turns.select(position_of(x, F.col("pieces")).alias("position"), F.col("doc").cast(kind).alias("doc"), F.col("pass_ix").cast("int").alias("pass_ix"), "source", "n_tokens")
+    order = durable(order, "mix-order")
+    counted = order.groupBy("doc").agg(F.count("*").cast("int").alias("times"))
+    times = durable(used.join(counted, "doc", "left").select("doc", "source", "n_tokens", F.coalesce("times", F.lit(0)).alias("times")), "mix-taken")
     nothing = base.where(~(F.coalesce(F.col("source").isin(list(want)), F.lit(False)) & (F.col("n_tokens") > 0)))
     every = times.union(nothing.select("doc", "source", "n_tokens", F.lit(0).alias("times")))
 
@@ -98,9 +145,4 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
         (F.col("demand") < F.lit(float(total_tokens)) * F.col("target_share") - 1).alias("runs_short"),
     )
 
-    turns = placed.where("times > 0").withColumn("pass_ix", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-    x = F.least(F.lit(1.0), (F.col("pass_ix") * F.col("stock") + F.col("before") + F.col("n_tokens") / 2) / F.greatest("demand", F.lit(1.0)))
-    a = F.col("slope")
-    inverse = F.when(F.abs(a) < 1e-12, x).otherwise((a - 1 + F.sqrt((1 - a) * (1 - a) + 4 * a * x)) / (2 * a))
-    order = turns.select(F.least(inverse, F.lit(1.0)).alias("position"), F.col("doc").cast(kind).alias("doc"), F.col("pass_ix").cast("int").alias("pass_ix"), "source", "n_tokens")
     return Mixture(every, shares, order.repartitionByRange("position", "doc").sortWithinPartitions("position", "doc", "pass_ix"))

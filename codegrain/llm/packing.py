@@ -3,7 +3,10 @@
 Items are told apart by their size only, so best-fit decreasing runs on the histogram: at most ``capacity``
 rows reach the driver, whatever the number of items, and the plan it returns (which sizes share how many
 containers) is as bounded.  Items then find their place by their rank within their size, a distributed
-running count.  A bin is opened at the permitted capacity whose expected unused space is least, and in the
+running count.  Several permitted capacities are optimised jointly: where no open bin has room, each capacity is
+tried by filling it up with the items still to come, largest first, and the one of the least cost per token
+held is opened.  What a bin costs is a parameter; by default its capacity and ``OVERHEAD`` tokens, so that a small
+bin is opened only where a large one would stay emptier.  In the
 end every bin is taken down to the least permitted capacity that holds its contents.
 
 An item longer than the capacity is cut into full pieces and one rest; nothing else is split.
@@ -36,15 +39,32 @@ class Bins:
     contents: list[tuple[int, int, int]] = field(default_factory=list)
 
 
-def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Bins]:
+OVERHEAD = 16  # what a bin costs beside its capacity, in tokens
+
+
+def fill(room: int, most: int, left: np.ndarray) -> int:
+    """What stays of ``room`` after taking items of at most ``most``, largest first, from ``left`` (items per size)."""
+    size = min(most, room)
+    while size > 0:
+        has = np.flatnonzero(left[: size + 1])
+        if not len(has) or has[-1] == 0:
+            break
+        size = int(has[-1])
+        room -= size * min(int(left[size]), room // size)
+        size = min(size - 1, room)
+    return room
+
+
+def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...], costs: dict[int, float] | None = None) -> list[Bins]:
     """Best-fit decreasing over ``histogram`` {size: items}, all sizes from 1 to the largest capacity."""
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
+    costs = costs or {c: c + OVERHEAD for c in capacities}
     by_room: list[list[Bins]] = [[] for _ in range(top + 1)]
     has = np.zeros(top + 1, bool)
-    volume = np.zeros(top + 1, np.int64)  # tokens of the items still to come, by size
+    waiting = np.zeros(top + 1, np.int64)  # items still to come, by size
     for s, n in histogram.items():
-        volume[s] = s * n
+        waiting[s] = n
     done: list[Bins] = []
 
     def put(b: Bins) -> None:
@@ -56,8 +76,7 @@ def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Bi
 
     for s in sorted(histogram, reverse=True):
         left, rank = histogram[s], 0
-        volume[s] = 0
-        smaller = np.cumsum(volume)
+        waiting[s] = 0
         while left:
             ahead = has[s:]
             at = int(ahead.argmax()) if len(ahead) else 0
@@ -66,9 +85,9 @@ def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Bi
                 b = by_room[room].pop()
                 has[room] = bool(by_room[room])
             else:
-                # expected unused space of a bin of capacity c whose first item is s; the larger on ties
-                rest = {c: c - s for c in capacities if c >= s}
-                c = min(rest, key=lambda c: (max(0, rest[c] - int(smaller[min(rest[c], s - 1)])), -c))
+                # cost of each token that a bin of capacity c holds in the end if its first item is s
+                unused = {c: fill(c - s * min(left, c // s), s - 1, waiting) for c in capacities if c >= s}
+                c = min(unused, key=lambda c: (costs[c] / (c - unused[c]), -c))
                 b = Bins(-(-left // (c // s)), c, c)
             k = min(b.room // s, left)
             full = min(b.n, left // k)
@@ -86,9 +105,11 @@ def plan_bins(histogram: dict[int, int], capacities: tuple[int, ...]) -> list[Bi
     return done
 
 
-def pack(items: DataFrame, id_col: str, size_col: str, capacities: tuple[int, ...]) -> DataFrame:
+def pack(items: DataFrame, id_col: str, size_col: str, capacities: tuple[int, ...], costs: dict[int, float] | None = None) -> DataFrame:
     """One row per item or piece: ``doc, piece_ix, tok_from, tok_to, container, place, capacity``.
 
+    ``costs`` is what a bin of each capacity costs.
+
     ``place`` is the offset in the container.  Containers are numbered from 0: first those of the plan,
     then those filled by one piece alone.
     """
@@ -97,7 +118,7 @@ def pack(items: DataFrame, id_col: str, size_col: str, capacities: tuple[int, ..
     src = durable(src.withColumn("h", F.xxhash64("doc")), "pack-items")
     part = src.select("doc", "h", (F.col("n") % top).cast("int").alias("size"), (F.col("n") - F.col("n") % top).alias("tok_from")).where("size > 0")
     histogram = {r["size"]: r["count"] for r in part.groupBy("size").count().collect()}
-    bins = plan_bins(histogram, capacities)
+    bins = plan_bins(histogram, capacities, costs)
     first, rows = 0, []
     for b in bins:
         place = 0

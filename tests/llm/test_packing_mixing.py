@@ -77,3 +77,43 @@ def test_larger_total_reports_what_runs_short(spark):
     assert shares["a"]["taken_tokens"] == 2000 and shares["a"]["runs_short"] and not shares["b"]["runs_short"]
     empty = mix(docs.where("false"), goal)
     assert empty.docs.count() == 0 and empty.shares.count() == 2 and empty.order.count() == 0
+
+
+def test_costs_decide_what_is_opened():
+    from codegrain.llm.packing import plan_bins
+
+    even = plan_bins({500: 40, 12: 40}, (512, 1024, 2048))
+    assert {b.capacity for b in even} == {2048}
+    steep = plan_bins({500: 40, 12: 40}, (512, 1024, 2048), {512: 512, 1024: 1100, 2048: 2600})
+    assert {b.capacity for b in steep} == {512} and sum(b.n for b in steep) == 40
+    lone = plan_bins({509: 1}, (512, 1024, 2048))  # nothing else would fill a larger one
+    assert [b.capacity for b in lone] == [512]
+
+
+def test_schedules_are_inverted(spark):
+    from pyspark.sql import functions as F
+
+    from codegrain.llm.mixing import integrated, position_of
+
+    for knots in ([(0, 1), (1, 1)], [(0, 0), (1, 2)], [(0, 3), (0.25, 0), (0.5, 0), (1, 1)], [(0.5, 1)], [], [(0, 0), (1, 0)], [(0, -1), (1, 1)]):
+        pieces = integrated(knots)
+        assert abs(sum(w * d + a * d * d / 2 for (t, _, w, a), d in zip(pieces, [y[0] - x[0] for x, y in zip(pieces, [*pieces[1:], (1.0,)], strict=True)], strict=True)) - 1) < 1e-9
+        df = spark.range(101).select((F.col("id") / 100).alias("x"))
+        arr = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(p, ("t", "before", "weight", "slope"), strict=True)]) for p in pieces])
+        for r in df.select("x", position_of(F.col("x"), arr).alias("t")).collect():
+            t = r["t"]
+            assert 0 <= t <= 1
+            p = [p for p in pieces if p[0] <= t][-1]
+            d = t - p[0]
+            assert abs(p[1] + p[2] * d + p[3] * d * d / 2 - r["x"]) < 1e-6
+
+
+def test_a_given_schedule_moves_a_source(spark):
+    from codegrain.llm.mixing import mix
+
+    docs = spark.createDataFrame([(i, "ab"[i % 2], 10) for i in range(200)], "doc long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    out = mix(docs, targets, schedules={"A ": [(0, 1), (0.5, 1), (0.5, 0), (1, 0)]})
+    rows = out.order.collect()
+    assert len(rows) == 200 and max(r["position"] for r in rows if r["source"] == "a") <= 0.5 + 1e-9
+    assert {r["times"] for r in out.docs.collect()} == {1}
