@@ -222,6 +222,22 @@ class Lexer:
         src = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")))
         return src.mapInArrow(work, f"`{id_col}` {src.schema[0].dataType.simpleString()}, cls int, n long")
 
+    def alone(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        """``id, same``: whether a text's classes in a batch are those that it gets alone."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                same = np.ones(b.num_rows, bool)
+                for places, f, cls in self._classes(b.column(1)):
+                    bounds = np.searchsorted(f["row"], np.arange(len(places) + 1))
+                    for i, place in enumerate(places.tolist()):
+                        own = [c for _, _, c in self._classes(b.column(1).slice(place, 1))]
+                        same[place] = np.array_equal(cls[bounds[i] : bounds[i + 1]], own[0] if own else np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same)], names=[id_col, "same"])
+
+        src = spread(df.select(F.col(id_col), F.col(text_col).alias("__text")))
+        return src.mapInArrow(work, f"`{id_col}` {src.schema[0].dataType.simpleString()}, same boolean")
+
     def spans(self, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         """``id, spans``: neighbours of equal class merged, a span covering the blanks inside it."""
 

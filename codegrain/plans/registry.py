@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("lexing", "labels", "metrics", "curation", "numeric", "extra")
+MODULES = ("lexing", "labels", "metrics", "curation", "numeric", "extra", "engines")
 
 
 def _all(name: str) -> dict:

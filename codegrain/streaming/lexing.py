@@ -50,7 +50,8 @@ def capped(df: DataFrame, fingerprint: str, most: int = 3) -> DataFrame:
 def latest_wins(path: str, key: str, version: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink that keeps the newest version per key of each batch, written per batch id.
 
-    Writing a batch again replaces its own folder, so replays after a failure change nothing.
+    Writing a batch again replaces its own folder, so replays after a failure change nothing.  Batches are merged when
+    they are read (:func:`read_latest`): an older version that comes late does not replace a newer one.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -59,3 +60,10 @@ def latest_wins(path: str, key: str, version: str) -> Callable[[DataFrame, int],
         newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
+
+
+def read_latest(spark: SparkSession, path: str, key: str, version: str) -> DataFrame:
+    """The newest version of each key over all batches of a :func:`latest_wins` sink; ties go to the later batch."""
+    rows = spark.read.parquet(path)
+    cols = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(version, "batch")).alias("x")).select(key, *[f"x.{c}" for c in cols])

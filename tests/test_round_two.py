@@ -148,3 +148,53 @@ def test_counts_in_batches_equal_token_rows(spark):
     for name, fields in (("compact_v2", ["kind", "brace_depth", "gap_prev"]), ("large_v1", ["quote_state", "line_pos"])):
         a = Counter((r["id"], *[r[f] for f in fields]) for r in token_rows(df, "id", "text", name, fields).collect())
         assert a == {(r["id"], *[r[f] for f in fields]): r["n"] for r in feature_counts(df, "text", name, fields, "id").collect()}
+
+
+def test_late_versions_do_not_replace_newer_ones(spark, tmp_path):
+    from codegrain.streaming.lexing import latest_wins, read_latest
+
+    sink = latest_wins(str(tmp_path / "out"), "k", "v")
+    for i, rows in enumerate(([("a", 3), ("b", 2)], [("a", 1), ("c", 1)], [("b", 5)])):
+        sink(spark.createDataFrame(rows, "k string, v int"), i)
+        sink(spark.createDataFrame(rows, "k string, v int"), i)
+    assert {tuple(r) for r in read_latest(spark, str(tmp_path / "out"), "k", "v").collect()} == {("a", 3), ("b", 5), ("c", 1)}
+
+
+def test_resync_skips_what_stands_between():
+    from codegrain.operators.engines import resync
+
+    assert resync("a  b\r\nb", ["a", "", "b", "b"]) == [0, 3, 6]
+    assert resync("ab", ["b", "a"]) == [1] and resync("", ["x"]) == []
+
+
+def test_labels_that_do_not_make_up_the_text_are_dropped(spark):
+    from codegrain.operators.engines import label_texts
+
+    def first(text, lang):
+        if lang == "bad":
+            raise RuntimeError("no grammar")
+        return None if lang is None else [(text[:-1], 3)] if text.endswith("!") else [(text[:2], 1), (text[2:], 2)]
+
+    df = spark.createDataFrame([(1, "abcd", "x"), (2, "abc!", "x"), (3, "abcd", "bad"), (4, "abcd", None), (5, None, "x"), (6, "", "x")], "id long, t string, l string")
+    got = {r["id"]: (r["engine"], r["rle"]) for r in label_texts(df, "id", "t", "l", first, lambda t, x: [(t, 0)]).collect()}
+    assert got == {1: ("first", "1:2,2:2"), 2: ("first", None), 3: ("fallback", "0:4"), 4: ("fallback", "0:4"), 5: (None, None), 6: ("first", "")}
+
+
+def test_a_cache_is_resumed(spark, tmp_path):
+    from codegrain.operators.engines import resumed
+
+    runs = []
+
+    def work(df):
+        runs.append(1)
+        if len(runs) == 3:
+            raise RuntimeError("lost")
+        return df.withColumn("y", F.col("id") * 2)
+
+    df, path = spark.range(50), str(tmp_path / "cache")
+    with pytest.raises(RuntimeError):
+        resumed(df, "id", work, path, "one", buckets=4)
+    assert {r["id"]: r["y"] for r in resumed(df, "id", work, path, "one", buckets=4).collect()} == {i: 2 * i for i in range(50)}
+    assert len(runs) == 5
+    with pytest.raises(ValueError, match="made for"):
+        resumed(df, "id", work, path, "two", buckets=4)
