@@ -85,12 +85,6 @@ def _families(spark: SparkSession, d: str) -> DataFrame:
     return families(_files(spark, d), table(spark, d, "repos"), "file_id", "path", "ingested_at", "split", "lang")
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    from codegrain.llm.splits import torn
-
-    return torn(_families(spark, d), "split").select(F.col("doc").alias("file_id"))
-
-
 def _canonical_lang(spark: SparkSession, d: str) -> DataFrame:
     """``alias, lang`` of the fixed language table."""
     dim = table(spark, d, "lang_dim")
@@ -98,13 +92,21 @@ def _canonical_lang(spark: SparkSession, d: str) -> DataFrame:
     return dim.select(F.explode(F.transform(names, F.lower)).alias("alias"), "lang").dropDuplicates(["alias"])
 
 
-def p3_split(spark: SparkSession, d: str) -> DataFrame:
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     from codegrain.llm.splits import assign
 
     fams = _families(spark, d).withColumn("alias", F.lower(F.trim("lang"))).drop("lang")
-    fams = fams.join(F.broadcast(_canonical_lang(spark, d)), "alias", "left").select("doc", "family", F.coalesce("lang", "alias").alias("lang"))
-    out = assign(fams, "lang")
-    return out.select(F.col("doc").alias("file_id"), "family", F.col("label").alias("lang"), "split")
+    fams = fams.join(F.broadcast(_canonical_lang(spark, d)), "alias", "left").select("doc", "family", "split", F.coalesce("lang", "alias").alias("lang"))
+    return assign(fams, "lang", given="split").withColumnRenamed("doc", "file_id")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the families that the operator brings together, having found them torn."""
+    return _assigned(spark, d).where("torn").select("file_id")
+
+
+def p3_split(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).select("file_id", "family", F.col("label").alias("lang"), "split")
 
 
 def p3_checks(spark: SparkSession, d: str) -> DataFrame:

@@ -68,7 +68,7 @@ def families(files: DataFrame, repos: DataFrame, id_col: str, path_col: str, ver
 
 
 def torn(fams: DataFrame, split_col: str) -> DataFrame:
-    """Ids of the families that have records in two or more of the splits."""
+    """Ids of the families that have records in two or more of the splits, without an allocation."""
     split = F.lower(F.trim(F.col(split_col)))
     known = fams.where("family is not null").select("doc", "family", F.when(split.isin(*QUOTAS), split).alias("s"))
     per = known.groupBy("family").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
@@ -184,17 +184,22 @@ def allocate(
     return plan
 
 
-def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) -> DataFrame:
-    """``doc, family, label, split``: one split per family, near the quotas overall and within each label."""
-    fams = fams.withColumn("label", F.coalesce(F.col(label_col).cast("string"), F.lit("?")))
+def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS, given: str | None = None) -> DataFrame:
+    """``doc, family, label, split, torn``: one split per family, near the quotas overall and within each label.
+
+    ``torn`` tells whether the family had records in two or more splits of the column ``given`` before.
+    """
+    before = F.lower(F.trim(F.col(given))) if given else F.lit(None).cast("string")
+    label = F.coalesce(F.col(label_col).cast("string"), F.lit("?"))
+    fams = fams.select("doc", "family", label.alias("label"), F.when(before.isin(*quotas), before).alias("was"))
     fams = fams.withColumn("unit", F.coalesce(F.concat(F.lit("f:"), "family"), F.concat(F.lit("d:"), F.col("doc").cast("string"))))
-    per = durable(fams.groupBy("unit", "label").agg(F.count("*").alias("c")), "split-labels")
-    units = per.groupBy("unit").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count("*").alias("labels"))
+    per = durable(fams.groupBy("unit", "label").agg(F.count("*").alias("c"), F.min("was").alias("lo"), F.max("was").alias("hi")), "split-labels")
+    units = per.groupBy("unit").agg(F.sum("c").alias("n"), F.max_by("label", F.struct("c", "label")).alias("main_label"), F.count("*").alias("labels"), F.coalesce(F.min("lo") < F.max("hi"), F.lit(False)).alias("torn"))
     units = durable(units, "split-units")
     total = units.agg(F.sum("n")).first()[0]
     names = list(quotas)
     if not total:
-        return fams.select("doc", "family", "label", F.lit(None).cast("string").alias("split"))
+        return fams.select("doc", "family", "label", F.lit(None).cast("string").alias("split"), F.lit(False).alias("torn"))
     size_class = F.concat(F.lit("="), F.col("n").cast("string"))
     units = units.withColumn("cls", F.concat(size_class, F.when(F.col("labels") > 1, "+").otherwise("")))  # single records have one label
     rows = units.groupBy("main_label", "cls").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()
@@ -211,7 +216,7 @@ def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) ->
     mixed = per.join(units.where(F.col("cls") != SINGLE).select("unit", "main_label", "cls"), "unit").groupBy("main_label", "cls", "label").agg(F.sum("c").alias("n")).collect()
     plan = _refined(bundles, {(r["main_label"], r["cls"], r["label"]): r["n"] for r in mixed}, quotas, {k: q - kept[k] for k, q in quota.items()})
     first = durable(_by_rank(units.where(F.col("cls") != SINGLE), plan, rest, main), "split-families")
-    have = {(r["label"], r["split"]): r["n"] for r in per.join(first, "unit").groupBy("label", "split").agg(F.sum("c").alias("n")).collect()}
+    have = {(r["label"], r["split"]): r["n"] for r in per.join(first.select("unit", "split"), "unit").groupBy("label", "split").agg(F.sum("c").alias("n")).collect()}
     last = {}
     for lb, k in singles.items():
         open_ = {s: max(0.0, quota[lb, s] - have.get((lb, s), 0)) for s in rest}
@@ -220,7 +225,7 @@ def assign(fams: DataFrame, label_col: str, quotas: dict[str, int] = QUOTAS) ->
         take[rest[-1]] = min(take[rest[-1]], k - sum(take[s] for s in rest[:-1]))
         last[lb, SINGLE] = take | {main: k - sum(take.values())}
     chosen = first.union(_by_rank(units.where(F.col("cls") == SINGLE), last, rest, main))
-    return salted_join(fams, durable(chosen, "split-units-chosen"), "unit", "n", total=total).select("doc", "family", "label", "split")
+    return salted_join(fams, durable(chosen, "split-units-chosen"), "unit", "n", total=total).select("doc", "family", "label", "split", "torn")
 
 
 def _refined(bundles: list[tuple], mixed: dict[tuple[str, str, str], int], quotas: dict[str, int], want: dict[tuple[str, str], float], rounds: int = 12) -> dict:
@@ -252,4 +257,4 @@ def _by_rank(units: DataFrame, plan: dict[tuple[str, str], dict[str, int]], rest
     split = F.lit(main)
     for i in reversed(range(len(rest))):
         split = F.when(F.col("rank") < F.col(f"cut{i}"), F.lit(rest[i])).otherwise(split)
-    return ranked.select("unit", "n", split.alias("split"))
+    return ranked.select("unit", "n", split.alias("split"), "torn")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from codegrain.llm.splits import QUOTAS, allocate, assign, families, owner_links, torn
 
 FILES = "file_id long, path string, split string, lang string, ingested_at timestamp, doc string, owner string, family string, n string"
@@ -26,6 +28,8 @@ def test_owners_and_torn_families(spark):
     of = {r["doc"]: r["family"] for r in fams.collect()}
     assert len(of) == 10 and of[1] == of[2] == "ann" and of[3] == of[4] == of[5] and of[6] is None and of[7] is None
     assert {r[0] for r in torn(fams, "split").collect()} == {1, 2, 3, 4, 5}
+    placed = assign(fams.withColumn("label", F.lit("x")), "label", given="split").collect()
+    assert {r["doc"] for r in placed if r["torn"]} == {1, 2, 3, 4, 5} and len(placed) == fams.count()
 
 
 def test_splits_keep_families_and_quotas(spark):
