@@ -154,8 +154,10 @@ def F08_repos(s: S, d: str) -> DataFrame:
 def F09_names(s: S, d: str) -> DataFrame:
     """Safe names; a repeated one gets a numeric suffix in the order of ids."""
     one = one_per_file(s, d, "path").where("path IS NOT NULL").withColumn("name", cu.flat_name(F.col("path")))
-    n = F.row_number().over(Window.partitionBy("name").orderBy("file_id"))
-    return one.withColumn("n", n).select("file_id", F.when(F.col("n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("-"), F.col("n").cast("string"))).alias("name"))
+    one = durable(one.select("file_id", "name", F.lit(1).cast("long").alias("one")), "names")
+    # places counted over cells of ids: one name may be that of any share of the files
+    ranked = running_sum(cu.order_key(one, "file_id"), ["name"], "__key", ["file_id"], {"before": "one"})
+    return ranked.select("file_id", F.when(F.col("before") == 0, F.col("name")).otherwise(F.concat("name", F.lit("-"), (F.col("before") + 1).cast("string"))).alias("name"))
 
 
 def F10_aliases(s: S, d: str) -> DataFrame:
