@@ -51,15 +51,21 @@ def S07_popularity(s: S, d: str) -> DataFrame:
     return top.select("lang", F.round(F.col("pusher_share") / F.sum("pusher_share").over(Window.partitionBy()), 9).alias("weight"))
 
 
+#: Ids that a manifest leaves out.
+NOT_LISTED = ("erlang-repl", "julia-repl", "python-repl", "clojure-repl", "node-repl", "php-template", "xl", "excel")
+
+
 def S13_manifest(s: S, d: str) -> DataFrame:
-    """Names as delivered, looked up folded: by language, then alias."""
+    """Names as delivered, looked up folded: by language, then grammar, then alias; and the engine that teaches each."""
     fold = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     dim = table(s, d, "lang_dim")
     a = dim.select(fold(F.col("lang")).alias("k"), "lang", F.lit(1).alias("r"))
-    b = dim.select(F.explode("aliases").alias("x"), "lang").select(fold(F.col("x")).alias("k"), "lang", F.lit(2).alias("r"))
-    best = a.union(b).where("k <> ''").groupBy("k").agg(F.min_by("lang", F.struct("r", "lang")).alias("found"))
-    names = one_per_file(s, d, "lang").where("lang IS NOT NULL").select("lang").distinct()
-    return names.withColumn("k", fold(F.col("lang"))).join(F.broadcast(best), "k", "left").select("lang", "found")
+    g = dim.select(fold(cu.grammar_of(F.col("lang"))).alias("k"), "lang", F.lit(2).alias("r"))
+    b = dim.select(F.explode("aliases").alias("x"), "lang").select(fold(F.col("x")).alias("k"), "lang", F.lit(3).alias("r"))
+    best = a.union(g).union(b).where("k <> ''").groupBy("k").agg(F.min_by("lang", F.struct("r", "lang")).alias("found"))
+    names = one_per_file(s, d, "lang").where("lang IS NOT NULL").select("lang").distinct().where(~F.col("lang").isin(*NOT_LISTED))
+    met = names.withColumn("k", fold(F.col("lang"))).join(F.broadcast(best), "k", "left")
+    return met.select("lang", "found", F.when(F.col("found").isin(*dims.TARGETS), "first").when(F.col("found").isNotNull(), "second").alias("engine"))
 
 
 def S14_reuse(s: S, d: str) -> DataFrame:
@@ -85,7 +91,12 @@ def K03_split_cache(s: S, d: str) -> DataFrame:
 
 def K04_meta(s: S, d: str) -> DataFrame:
     w = windows(s, d)
-    return w.agg(F.count("*").alias("windows"), F.sum(F.col("tok_to") - F.col("tok_from")).cast("long").alias("tokens"), F.countDistinct("lang_id").alias("languages"), F.countDistinct("shape_fp").alias("shapes"), F.lit(2).alias("feature_version"))
+    seen = w.select("lang_id").distinct().join(table(s, d, "lang_dim").select("lang_id", "lang"), "lang_id").select("lang", F.lit(1).alias("has"))
+    cover = weights(s, d).join(seen, "lang", "left").agg(F.round(F.sum(F.when(F.col("has") == 1, F.col("weight")).otherwise(0.0)), 9).alias("coverage"), F.sum(F.coalesce("is_excluded", F.lit(False)).cast("long")).alias("excluded"))
+    one = w.agg(F.count("*").alias("windows"), F.sum(F.col("tok_to") - F.col("tok_from")).cast("long").alias("tokens"), F.countDistinct("lang_id").alias("languages"), F.countDistinct("shape_fp").alias("shapes"))
+    # one row each, brought together on a constant
+    met = one.withColumn("k", F.lit(1)).join(cover.withColumn("k", F.lit(1)), "k").drop("k")
+    return met.withColumn("feature_version", F.lit(2)).withColumn("requested", F.lit(TOTAL).cast("long"))
 
 
 def K06_provenance(s: S, d: str) -> DataFrame:
@@ -534,11 +545,11 @@ SQL = {
     "S02_label_shards": rf"WITH {_LL}, x AS (SELECT *, CASE WHEN len(string_split_regex(path, '[/\\]')) >= 2 THEN string_split_regex(path, '[/\\]')[-2] END AS lang FROM ll WHERE path IS NOT NULL) SELECT shard, count(*) AS lines, count_if({_BAD})::BIGINT AS skipped FROM x WHERE lang IN (SELECT lang FROM lang_dim) GROUP BY shard",
     "S06_denylist": f"WITH {SQL_FILES} SELECT DISTINCT sha256(text) AS digest FROM f WHERE lower(trim(split)) = 'test' AND text IS NOT NULL",
     "S07_popularity": "WITH t AS (SELECT lang, pusher_share FROM lang_dim WHERE pusher_share IS NOT NULL ORDER BY pusher_share DESC, lang LIMIT 25) SELECT lang, round(pusher_share / sum(pusher_share) OVER (), 9) AS weight FROM t",
-    "S13_manifest": f"WITH {SQL_FILES}, k AS (SELECT regexp_replace(lower(lang), '[^a-z0-9]', '', 'g') AS k, lang, 1 AS r FROM lang_dim UNION ALL SELECT regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), lang, 2 FROM (SELECT unnest(aliases) AS x, lang FROM lang_dim)), b AS (SELECT k, arg_min(lang, (r, lang)) AS found FROM k WHERE k <> '' GROUP BY k), n AS (SELECT DISTINCT lang FROM f WHERE lang IS NOT NULL) SELECT n.lang, found FROM n LEFT JOIN b ON b.k = regexp_replace(lower(n.lang), '[^a-z0-9]', '', 'g')",
+    "S13_manifest": f"WITH {SQL_FILES}, k AS (SELECT regexp_replace(lower(lang), '[^a-z0-9]', '', 'g') AS k, lang, 1 AS r FROM lang_dim UNION ALL SELECT regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), lang, 3 FROM (SELECT unnest(aliases) AS x, lang FROM lang_dim) UNION ALL SELECT CASE lang WHEN 'shell' THEN 'shellscript' ELSE regexp_replace(lower(lang), '[^a-z0-9]', '', 'g') END, lang, 2 FROM lang_dim), b AS (SELECT k, arg_min(lang, (r, lang)) AS found FROM k WHERE k <> '' GROUP BY k), n AS (SELECT DISTINCT lang FROM f WHERE lang IS NOT NULL AND lang NOT IN ('erlang-repl', 'julia-repl', 'python-repl', 'clojure-repl', 'node-repl', 'php-template', 'xl', 'excel')) SELECT n.lang, found, CASE WHEN found IN ({", ".join(f"'{t}'" for t in dims.TARGETS)}) THEN 'first' WHEN found IS NOT NULL THEN 'second' END AS engine FROM n LEFT JOIN b ON b.k = regexp_replace(lower(n.lang), '[^a-z0-9]', '', 'g')",
     "S14_reuse": f"WITH {SQL_FILES}, {_AL}, {_WIN} SELECT al.lang, count(*) AS files FROM f JOIN al ON lower(f.lang) = al.alias WHERE file_id NOT IN (SELECT file_id FROM win WHERE file_id IS NOT NULL) GROUP BY al.lang",
     "K01_label_lines": "WITH t AS (SELECT line_no, max(path) AS path, max(rle) AS rle, max(shard) AS shard FROM label_lines GROUP BY line_no), o AS (SELECT *, path IS NOT NULL AND coalesce(rle, '') <> '' AS ok FROM t) SELECT shard, count_if(ok)::BIGINT AS written, count_if(NOT ok)::BIGINT AS dropped, sum(CASE WHEN ok THEN length(path) + length(rle) + 2 ELSE 0 END)::BIGINT AS chars FROM o GROUP BY shard",
     "K03_split_cache": f"WITH {_WIN} SELECT split, count(*) AS windows, sum(tok_to - tok_from)::BIGINT AS tokens, count(DISTINCT file_id) AS files FROM win GROUP BY split",
-    "K04_meta": f"WITH {_WIN} SELECT count(*) AS windows, sum(tok_to - tok_from)::BIGINT AS tokens, count(DISTINCT lang_id) AS languages, count(DISTINCT shape_fp) AS shapes, 2 AS feature_version FROM win",
+    "K04_meta": f"WITH {_WIN}, {_W} SELECT count(*) AS windows, sum(tok_to - tok_from)::BIGINT AS tokens, count(DISTINCT lang_id) AS languages, count(DISTINCT shape_fp) AS shapes, (SELECT round(sum(CASE WHEN lang_id IN (SELECT lang_id FROM win) THEN weight ELSE 0 END), 9) FROM w JOIN lang_dim USING (lang)) AS coverage, (SELECT count_if(ex) FROM w)::BIGINT AS excluded, 2 AS feature_version, {TOTAL}::BIGINT AS requested FROM win",
     "K06_provenance": f"WITH {SQL_FILES} SELECT lang, count(*) AS files, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT sha256(text)) AS texts FROM f GROUP BY lang",
     "K07_checksums": f"WITH {SQL_FILES} SELECT file_id, sha256(text) AS digest FROM f",
     "F01_paths": rf"WITH {SQL_FILES}, {_AL}, x AS (SELECT al.lang, f.path, d.file_exts FROM f JOIN al ON lower(f.lang) = al.alias JOIN lang_dim d ON d.lang = al.lang WHERE path IS NOT NULL), o AS (SELECT lang, coalesce(NOT regexp_matches(replace(path, '\', '/'), '{dims.SKIP_PATH}') AND NOT regexp_matches({_BASE}, '{dims.SKIP_NAME}') AND len(list_filter(file_exts, lambda e: ends_with(lower({_BASE}), e))) > 0, false) AS ok, regexp_matches(lower({_BASE}), '^(dockerfile|license|authors|notice|copying|contributors|changelog|makefile|gnumakefile|cmakelists\.txt|build|workspace)($|\.)') AS st FROM x) SELECT lang, count_if(ok)::BIGINT AS kept, count_if(NOT ok)::BIGINT AS dropped, count_if(st)::BIGINT AS by_stem FROM o GROUP BY lang",

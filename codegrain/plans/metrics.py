@@ -19,7 +19,7 @@ from codegrain.tables import table
 S = SparkSession
 TOP = 25
 CONSTRUCT = 512
-UNDERFILLED = 20_000
+UNDERFILLED = 300_000
 #: What JavaScript's blank class holds.
 JS_BLANK = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -50,9 +50,12 @@ def A01_counters(s: S, d: str) -> DataFrame:
 
 
 def A02_coverage(s: S, d: str) -> DataFrame:
+    """Languages seen, the weight that they cover, and the labels' parts per mille as ``class:part,…``."""
     seen = A01_counters(s, d).where("tokens > 0").select("lang", F.lit(1).alias("has"))
-    out = weights(s, d).join(seen, "lang", "left")
-    return out.agg(F.sum(F.coalesce("has", F.lit(0))).alias("languages"), F.round(F.sum(F.when(F.col("has") == 1, F.col("weight")).otherwise(0.0)), 9).alias("weight_covered"))
+    cover = weights(s, d).join(seen, "lang", "left").agg(F.sum(F.coalesce("has", F.lit(0))).alias("languages"), F.round(F.sum(F.when(F.col("has") == 1, F.col("weight")).otherwise(0.0)), 9).alias("weight_covered"))
+    c = confusion(s, d).groupBy("gold").agg(F.sum("n").alias("n")).withColumn("part", F.floor(F.col("n") * 1000 / F.sum("n").over(Window.partitionBy())))  # nine classes
+    labels = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold", "part"))), lambda x: F.concat_ws(":", x["gold"].cast("string"), x["part"].cast("string"))), ",").alias("labels"))
+    return cover.withColumn("k", F.lit(1)).join(labels.withColumn("k", F.lit(1)), "k").drop("k")
 
 
 def class_counts(s: S, d: str) -> DataFrame:
@@ -260,7 +263,7 @@ SQL_CONSTRUCTS = f"""{SQL_LABELLED}, {_KEPT}, r AS (SELECT line_no, file_id, kx
       c AS (SELECT file_id, win, CASE WHEN scored >= 3 THEN least(s1, e1) + least(s2, e2) ELSE 0 END::BIGINT AS complete FROM o)"""
 SQL = {
     "A01_counters": f"WITH {SQL_GOLD} SELECT lang, count(DISTINCT file_id) AS files, count(*) AS tokens, count_if(gold >= 0)::BIGINT AS labelled, count_if(gold < 0)::BIGINT AS masked FROM gold GROUP BY lang",
-    "A02_coverage": f"WITH {_CONF} SELECT count(h.lang) AS languages, round(sum(CASE WHEN h.lang IS NOT NULL THEN weight ELSE 0 END), 9) AS weight_covered FROM w LEFT JOIN h USING (lang)",
+    "A02_coverage": f"WITH {_CONF} SELECT count(h.lang) AS languages, round(sum(CASE WHEN h.lang IS NOT NULL THEN weight ELSE 0 END), 9) AS weight_covered, (SELECT string_agg(gold || ':' || floor(n * 1000 / total)::BIGINT, ',' ORDER BY gold) FROM (SELECT gold, sum(n) AS n, sum(sum(n)) OVER () AS total FROM c GROUP BY gold)) AS labels FROM w LEFT JOIN h USING (lang)",
     "A03_class_weights": f"WITH {_CONF}, fr AS (SELECT i::INT AS cls, greatest(coalesce(sum(n), 0), 1) AS f FROM range(9) t(i) LEFT JOIN c ON c.gold = i GROUP BY i), r AS (SELECT cls, pow(sum(f) OVER () / f, 0.5) AS a, pow(sum(f) OVER () / f, 0.25) AS b FROM fr) SELECT cls, round(a / avg(a) OVER (), 9) AS compact, round(b / avg(b) OVER (), 9) AS large FROM r",
     "A04_language_accuracy": f"WITH {_CONF} SELECT lang, hit::BIGINT AS hit, total::BIGINT AS total, round(hit / total, 9) AS accuracy FROM h",
     "A05_class_recall": f"WITH {_CONF} SELECT gold AS cls, coalesce(sum(n) FILTER (gold = pred), 0)::BIGINT AS hit, sum(n)::BIGINT AS total, round(coalesce(sum(n) FILTER (gold = pred), 0) / sum(n), 9) AS recall FROM c GROUP BY gold",
